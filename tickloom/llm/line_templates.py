@@ -16,11 +16,15 @@ from tickloom.llm.common import SPACE_CLASS, cut, words
 FIELD = "<*>"
 #: Leading tokens of a leaf, tokens that a line needs, distinct texts in which a template recurs, share of constants.
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 5, 3, 0.6
+#: Buckets of the filter that says which documents are read again.
+FILTER = 1 << 20
 
 
 def masked(line: Column) -> Column:
+    """The line with FIELD for each token with a digit. The pattern only starts at tokens and never steps back."""
     inner = SPACE_CLASS[1:-1]
-    return F.regexp_replace(line, f"[^{inner}]*[0-9][^{inner}]*", FIELD)
+    replaced = F.regexp_replace(line, f"(?<![^{inner}])[^{inner}0-9]*+[0-9][^{inner}]*+", FIELD)
+    return F.when(line.rlike("[0-9]"), replaced).otherwise(line)
 
 
 def _lines(text: Column) -> Column:
@@ -30,34 +34,34 @@ def _lines(text: Column) -> Column:
 def line_keys(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, text_key, line_key, leaf and n_tokens of every line with enough tokens."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("line"))
-    lines = lines.select("doc_id", "text_key", masked(F.col("line")).alias("line")).withColumn("t", words(F.col("line")))
-    leaf = F.xxhash64(F.size("t"), *[F.get("t", F.lit(i)) for i in range(depth)])
-    return lines.where(F.size("t") >= min_tokens).select(
-        "doc_id", "text_key", F.xxhash64("line").alias("line_key"), leaf.alias("leaf"), F.size("t").alias("n_tokens")
-    )
+    count = F.regexp_count("line", F.lit(f"[^{SPACE_CLASS[1:-1]}]+"))
+    lines = lines.select("doc_id", "text_key", masked(F.col("line")).alias("line")).withColumn("n_tokens", count)
+    # Only the leading tokens are cut off; the last piece holds the rest of the line.
+    leading = F.filter(F.split("line", f"{SPACE_CLASS}+", depth + 2), lambda w: w != "")
+    lines = lines.where(F.col("n_tokens") >= min_tokens).withColumn("t", leading)
+    leaf = F.xxhash64("n_tokens", *[F.get("t", F.lit(i)) for i in range(depth)])
+    return lines.select("doc_id", "text_key", F.xxhash64("line").alias("line_key"), leaf.alias("leaf"), "n_tokens")
 
 
 def templates(docs: DataFrame, keys: DataFrame, min_docs: int, min_constant: float) -> DataFrame:
-    """line_key, template (a hash) and shown (the template's text) of lines in leaves that recur, if constant enough."""
-    distinct = keys.select("leaf", "line_key", "n_tokens", "text_key").distinct()
-    counted = distinct.groupBy("leaf", "line_key", "n_tokens").agg(F.count("*").alias("docs"))
-    busy = counted.groupBy("leaf").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("leaf")
-    counted = counted.join(busy, "leaf")
-    homes = keys.groupBy("line_key").agg(F.min("doc_id").alias("doc_id"))
-    sought = counted.join(homes, "line_key").groupBy("doc_id").agg(
-        F.collect_list(F.struct("line_key", "leaf", "n_tokens", "docs")).alias("sought")
-    )
-    # The text of one document for each distinct line: the line itself isn't shuffled.
-    found = docs.select("doc_id", "text").join(sought, "doc_id")
+    """line_key, template (a hash) and shown (the template's text) of the lines of keys that are constant enough."""
+    line = ["line_key", "leaf", "n_tokens"]
+    distinct = keys.groupBy(*line, "text_key").agg(F.min("doc_id").alias("doc_id"))
+    counted = cut(distinct.groupBy(*line).agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")))
+    sought = counted.groupBy("doc_id").agg(F.collect_list(F.struct(*line, "docs")).alias("sought"))
+    # The text of one document for each distinct line. A filter of at most FILTER rows keeps most others from the shuffle.
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    buckets = counted.select(bucket.alias("_bucket")).distinct()
+    found = docs.select("doc_id", "text").join(F.broadcast(buckets), bucket == F.col("_bucket"), "left_semi").join(sought, "doc_id")
     lines = found.select("sought", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), masked))).alias("line"))
     lines = lines.select(
         F.get(F.filter("sought", lambda s: s["line_key"] == F.xxhash64("line")), F.lit(0)).alias("s"), "line"
     ).where("s is not null")
-    lines = lines.select("s.*", words(F.col("line")).alias("t")).dropDuplicates(["line_key"])
-    tokens = lines.select("line_key", "leaf", "n_tokens", "docs", F.posexplode("t").alias("pos", "token"))
+    lines = cut(lines.select("s.*", words(F.col("line")).alias("t")).dropDuplicates(["line_key"]))
+    tokens = lines.select(*line, "docs", F.posexplode("t").alias("pos", "token"))
     support = tokens.where(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support"))
     constant = support.where(F.col("support") >= min_docs).withColumn("constant", F.lit(1)).drop("support")
-    parsed = tokens.join(constant, ["leaf", "pos", "token"], "left").groupBy("leaf", "line_key", "n_tokens").agg(
+    parsed = tokens.join(constant, ["leaf", "pos", "token"], "left").groupBy(*line).agg(
         F.sort_array(
             F.collect_list(F.struct("pos", F.when(F.col("constant") == 1, F.col("token")).otherwise(FIELD).alias("token")))
         ).alias("parts"),
@@ -74,16 +78,20 @@ def recurring(
 ) -> DataFrame:
     """doc_id and line_key of the lines to drop.
 
-    Documents are counted by distinct texts, so exact copies alone don't make their lines recur.
+    Documents are counted by distinct texts, so exact copies alone don't make their lines recur. Leaves with fewer lines
+    than a template needs, or of a single text, are left out first; the rest is what later steps shuffle.
     """
     keys = cut(line_keys(docs, depth, min_tokens))
-    of_line = templates(docs, keys, min_docs, min_constant).select("line_key", "template")
-    # Distinct before the joins, so that a line in a third of all rows is small.
-    used = cut(keys.select("line_key", "doc_id", "text_key").distinct().join(of_line, "line_key"))
-    often = used.select("template", "text_key").distinct().groupBy("template").agg(F.count("*").alias("texts"))
-    first = used.groupBy("template").agg(F.min("doc_id").alias("first"))
-    chosen = often.where(F.col("texts") >= min_docs).join(first, "template").select("template", "first")
-    return used.join(chosen, "template").where(F.col("doc_id") != F.col("first")).select("doc_id", "line_key").distinct()
+    busy = keys.groupBy("leaf").agg(F.count("*").alias("n"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+    busy = busy.where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
+    keys = cut(keys.join(busy, "leaf"))
+    of_line = cut(templates(docs, keys, min_docs, min_constant).select("line_key", "template"))
+    # Distinct before the join, so that a line in a third of all rows is small.
+    used = keys.groupBy("line_key", "text_key").agg(F.min("doc_id").alias("first")).join(of_line, "line_key")
+    texts = used.groupBy("template", "text_key").agg(F.min("first").alias("first"))
+    chosen = texts.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+    chosen = of_line.join(chosen.where(F.col("texts") >= min_docs), "template").select("line_key", "first")
+    return keys.join(chosen, "line_key").where(F.col("doc_id") != F.col("first")).select("doc_id", "line_key")
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
