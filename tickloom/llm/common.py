@@ -33,13 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into pieces of about SLICE_BYTES of the column; a longer single row is a piece of its own."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into pieces of about limit bytes of the column; a longer single row is a piece of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size

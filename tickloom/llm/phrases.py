@@ -24,6 +24,8 @@ SLOTS, EMPTY = 64, 0xFFFF
 #: Names from this level on make the fingerprint; of texts that end earlier, the last name.
 LEVEL = 2
 TOSSES = 4
+#: Bytes of text that are parsed at a time: the parse holds some sixty bytes for each character.
+SLICE = 1 << 20
 #: Documents of a range of doc_ids that one task reads in order, and ranges at most.
 RANGE_ROWS, RANGES = 1000, 65536
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -146,7 +148,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             if held is not None:
                 batch = pa.concat_batches([held, batch])
             if batch.num_rows > 1:
