@@ -75,8 +75,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large stars (each node hangs its larger neighbours on the smallest one that it sees) and small stars (each
     node hangs itself and its smaller neighbours on the smallest), until nothing changes; the number of rounds grows as
-    the logarithm of the component size. Each round is written to the checkpoint folder. Minima are combined before
-    the shuffle, and joins on a hub's key can be split by Spark.
+    the logarithm of the component size. Each round is written to the checkpoint folder. Minima are combined before the
+    shuffle and written too, so that both sides of the joins come straight from a shuffle and Spark can split a hub's key.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
@@ -84,9 +84,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not state[0]:
             break
         both = _both(edges)
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         small = (
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
