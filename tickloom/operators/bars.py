@@ -45,11 +45,10 @@ def detect_interval_issues(df: DataFrame, minutes: int) -> DataFrame:
 
 def check_bars(df: DataFrame, minutes: int = 1) -> DataFrame:
     """Defects: symbol, rn, column, category (invalid, out_of_range, out_of_sequence)."""
-    rows = number_rows(df)
+    rows = number_rows(df).withColumn("_after", F.lead("opentime").over(ordered())).withColumn("_before", F.lag("opentime").over(ordered()))
     value = lambda c: F.when(F.col(c).isNull() | F.isnan(c), "invalid").when((F.abs(F.col(c)) == float("inf")) | (F.col(c) < 0), "out_of_range")
-    step = lambda other, sign: F.timestamp_diff("SECOND", F.col("opentime"), other) * sign != 60 * minutes
-    after, before = F.lead("opentime").over(ordered()), F.lag("opentime").over(ordered())
-    order = F.when(F.coalesce(step(before, -1), F.lit(False)) | F.coalesce(step(after, 1), F.lit(False)), "out_of_sequence")
+    step = lambda a, b: F.coalesce(F.timestamp_diff("SECOND", F.col(a), F.col(b)) != 60 * minutes, F.lit(False))
+    order = F.when(step("_before", "opentime") | step("opentime", "_after"), "out_of_sequence")
     found = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("category")) for c in VALUES],
                     F.struct(F.lit("opentime").alias("column"), order.alias("category")))
     rows = rows.select("symbol", "rn", F.explode(found).alias("d"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import cycle, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,41 +13,53 @@ from pyspark.sql.window import Window
 from tickloom.operators.windows import KEY, TIME
 
 
-def partition_plan(rows: int, pattern: Sequence[str], size: int, gap: int, least: int, most: int) -> list[tuple[str, int, int]]:
-    """(set, first, last) of 1-based row ranges: the pattern repeats, a gap lies where the set changes, equal neighbours
-    are one range, and the size is adapted so that the rows are used up."""
+def partition_size(rows: int, pattern: Sequence[str], size: int, least: int, most: int) -> int:
+    """Size adapted to the rows that whole patterns leave over."""
     k = len(pattern)
-    if rows < size * k and rows < least * k:
+    whole = size * k + sum(pattern[i] != pattern[(i + 1) % k] for i in range(k))
+    over = round(rows % whole / k)
+    return max(over - 1, least) if rows < whole else min(size + over, most)
+
+
+def partition_plan(rows: int, pattern: Sequence[str], size: int, gap: int, least: int, most: int) -> list[tuple[str, int, int]]:
+    """(set, first, last) of 1-based row ranges; none if the rows don't hold the pattern once.
+
+    The pattern repeats; neighbours of one set, also across its ends, are one range; a gap lies before each other one.
+    A partition isn't begun for the very last row alone.
+    """
+    if rows < size * len(pattern):
         return []
-    gaps = sum(pattern[i] != pattern[(i + 1) % k] for i in range(k))
-    whole = size * k + gaps * gap
-    rest = round((rows % whole) / k) if rows >= whole else round(rows / k)
-    use = max(rest - 1, least) if rows < whole else min(size + rest // max(1, rows // whole), most)
+    use = partition_size(rows, pattern, size, least, most)
     out: list[tuple[str, int, int]] = []
-    at = i = 0
-    while at < rows:
-        name, end = pattern[i % k], min(at + use, rows)
-        if out and out[-1][0] == name and out[-1][2] == at:
-            out[-1] = (name, out[-1][1], end)
-        else:
-            out.append((name, at + 1, end))
-        at = end + (gap if pattern[(i + 1) % k] != name else 0)
-        i += 1
+    end = 0
+    for name, run in groupby(cycle(pattern)):
+        first = end + 1 + (gap if out else 0)
+        if end + 1 >= rows or first > rows:
+            return out
+        last, end = first, first - 1
+        for _ in run:  # endless if there is one set only
+            if end >= first and end + 1 >= rows:
+                break
+            end += use
+            last = min(end, rows)
+        out.append((name, first, last))
     return out
 
 
 def shared_plan(rows: int, shares: Sequence[tuple[str, float]], relative: float, gap: int) -> list[tuple[str, int, int]]:
-    """The older form: sets by share, in sub-ranges of a relative size."""
+    """The older form: sets in turn, their sizes in proportion to their shares, the smallest one about relative of all
+    rows; gaps are at most a third of that."""
+    if relative * rows <= 2 * gap:
+        gap = int(relative * rows / 3)
+    least = min(share for _, share in shares)
+    scale = [relative * share / least for _, share in shares]
+    spread = rows - gap * int(len(scale) / sum(scale))
     out: list[tuple[str, int, int]] = []
-    at = 0
-    while at < rows:
-        for name, share in shares:
-            end = min(at + max(1, int(rows * relative * share)), rows)
-            if end > at:
-                out.append((name, at + 1, end))
-            at = end + gap
-            if at >= rows:
-                break
+    for (name, _), part in cycle(list(zip(shares, scale, strict=True))):
+        first = out[-1][2] + 1 + gap if out else 1
+        if first > rows:
+            return out
+        out.append((name, first, min(rows, first + max(1, round(spread * part)) - 1)))
     return out
 
 

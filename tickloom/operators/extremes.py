@@ -99,7 +99,10 @@ def significant_peaks(df: DataFrame, mingain: float, minloss: float) -> DataFram
 
 
 def backward_extremes(high: np.ndarray, low: np.ndarray, amplitude: float, most: int) -> list[int]:
-    """Signed 1-based rows of turning points at least amplitude apart, newest first: highs positive, lows negative."""
+    """Signed 1-based rows of turning points at least amplitude apart, newest first: highs positive, lows negative.
+
+    The amplitude is the swing over its low, whichever comes first. The last row is no turning point.
+    """
     out: list[int] = []
     top = bottom = len(high) - 1
     for i in range(len(high) - 2, -1, -1):
@@ -126,7 +129,7 @@ def backward_extremes(high: np.ndarray, low: np.ndarray, amplitude: float, most:
         elif out and out[-1] < 0 and low[i] < low[-out[-1] - 1]:
             out[-1] = -(i + 1)
             bottom = top = i
-    return out[:most]
+    return [p for p in out if abs(p) < len(high)][:most]
 
 
 def amplitude_extremes(df: DataFrame, amplitude: float, most: int = 100) -> DataFrame:
