@@ -77,8 +77,9 @@ def features(docs: DataFrame) -> DataFrame:
 def votes() -> dict[str, Column]:
     """Each rule's vote: 1 good, 0 bad, null where it abstains. No rule votes on a document without words."""
     n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
-    mean, symbols, repeats = chars / n, F.col("n_symbols") / n, F.col("n_repeat_words") / n
-    letters, upper = F.col("n_letters") / chars, F.col("n_upper") / F.col("n_letters")
+    # A ratio to nothing is null, and its rule abstains.
+    mean, symbols, repeats = (F.try_divide(x, n) for x in (chars, F.col("n_symbols"), F.col("n_repeat_words")))
+    letters, upper = F.try_divide("n_letters", chars), F.try_divide("n_upper", "n_letters")
     vote = lambda good, bad: F.when(n == 0, None).when(good, 1).when(bad, 0)
     return {
         "length": vote(n >= 40, n < 15),
