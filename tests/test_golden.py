@@ -133,7 +133,7 @@ def test_amplitude_extremes():
 def test_zigzag_finds_the_peaks_of_a_sine():
     price = np.array([2 + 0.5 * math.sin(2 * math.pi * i / 20) for i in range(80)])
     peak = X.zigzag(price, 0.2, -0.2)
-    assert sorted(set(peak.tolist()) - {-1}) == [5, 15, 25, 35, 45, 55, 65, 75]
+    assert sorted(set(peak.tolist()) - {-1}) == [5, 15, 25, 35, 45, 55, 65, 75, 79]  # the last rise suffices
     assert peak[4] == 5 and peak[5] == 15 and peak[79] == -1
     assert (X.zigzag(np.ones(9), 0.1, -0.1) == -1).all()
 
