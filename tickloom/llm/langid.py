@@ -26,6 +26,8 @@ SHARE = 2e-5
 #: Labelled rows that the fit reads, up to chance; of more, each is taken with the same probability.
 FIT_ROWS = 40_000
 UNKNOWN = "und"
+#: Bytes of text that are looked up at a time: the lookup holds some hundred bytes for each character.
+SLICE = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -94,7 +96,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, share: float = SHARE) -> Mode
         rows = rows.where(F.rand(7) < fit_rows / total)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             langs, code = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
             keys, owner, _ = ngrams(batch.column("text").to_pylist())
             spoken = code[owner]
@@ -149,7 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         chance = known.chance()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             best, top, has = scores(known, texts_of(batch).to_pylist(), chance)
             has &= bool(known.languages)
             lang = [known.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
