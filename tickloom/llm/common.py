@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 #: ASCII white space as the operators define it: blank and \x09 to \x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
