@@ -68,7 +68,7 @@ def test_merge_lengths(spark, offset, rows):
 def test_merge_inside_by_policy(spark):
     a, b = series(spark, [1] * 6), series(spark, [2, 2], start=START + dt.timedelta(minutes=2))
     assert B.merge_bars(a, b).where("close = 2").count() == 2
-    assert B.merge_bars(a, b, "reference").where("close = 2").count() == 0
+    assert B.merge_bars(a, b, "keep_inside").where("close = 2").count() == 0
 
 
 def test_nearest_row(spark):

@@ -21,11 +21,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a over b; null where b is 0."""
+    return F.try_divide(a, b)
+
+
 def normalize_to_last(df: DataFrame, column: str, percent: bool = False, out: str = "normalized") -> DataFrame:
     """Value over the symbol's last value, less 1."""
     last = df.groupBy("symbol").agg(F.max_by(column, "opentime").alias("_last"))
-    ratio = col(column) / F.col("_last") - 1
-    return df.join(last, "symbol").withColumn(out, ratio * 100 if percent else ratio).drop("_last")
+    share = ratio(col(column), F.col("_last")) - 1
+    return df.join(last, "symbol").withColumn(out, share * 100 if percent else share).drop("_last")
 
 
 def time_cut(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "opentime") -> DataFrame:
@@ -36,7 +41,7 @@ def time_cut(df: DataFrame, start: str | None = None, end: str | None = None, ts
 
 def relative_gain(start: Column, end: Column, fee: float = 0.0, forward: bool = True) -> Column:
     start, end = start * (1 + fee), end * (1 - fee)
-    return (end - start) / (start if forward else end)
+    return ratio(end - start, start if forward else end)
 
 
 def relative_gain_regr(regry: Column, grad: Column, window: int, fee: float = 0.0, forward: bool = True) -> Column:
@@ -45,7 +50,7 @@ def relative_gain_regr(regry: Column, grad: Column, window: int, fee: float = 0.
 
 def gain_between(base: Column, test: Column) -> Column:
     """Difference over the size of the base price."""
-    return (test - base) / F.abs(base)
+    return ratio(test - base, F.abs(base))
 
 
 def relative_time(ts: Column, kind: str) -> Column:
@@ -118,7 +123,7 @@ def bin_bounds(bin_number: Column, bins: int) -> tuple[Column, Column]:
 def low_high_to_center_width(low: Column, high: Column, base: Column | None = None) -> tuple[Column, Column]:
     """Centre and width; relative to base if one is given."""
     center, width = (low + high) / 2, high - low
-    return (center, width) if base is None else ((center - base) / base, width / base)
+    return (center, width) if base is None else (ratio(center - base, base), ratio(width, base))
 
 
 def center_width_to_low_high(center: Column, width: Column, base: Column | None = None) -> tuple[Column, Column]:

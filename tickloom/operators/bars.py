@@ -65,8 +65,8 @@ def cure_bars(df: DataFrame) -> DataFrame:
 
 
 def merge_bars(a: DataFrame, b: DataFrame, policy: str = "newer") -> DataFrame:
-    """Both; where they overlap b wins. policy reference: a symbol's b that lies strictly inside a is left out."""
-    if policy == "reference":
+    """Both; where they overlap b wins. policy keep_inside: a symbol's b that lies strictly inside a is left out."""
+    if policy == "keep_inside":
         span = lambda df, n: df.groupBy("symbol").agg(F.min("opentime").alias(f"{n}0"), F.max("opentime").alias(f"{n}1"))
         inside = span(a, "a").join(span(b, "b"), "symbol").where("a0 < b0 and b1 < a1").select("symbol")
         b = b.join(inside, "symbol", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.functions.scalar import relative_time
+from tickloom.functions.scalar import ratio, relative_time
 from tickloom.operators.windows import KEY, TIME, number_rows, ordered, running, with_islands, with_sliding_extreme
 
 EPS = 1.1920929e-07  # of single precision: stands for a long-window volume of zero
@@ -77,7 +77,7 @@ def rolling_regression(
 def norm_rolling_regression(df: DataFrame, column: str, windows: Sequence[int]) -> DataFrame:
     out = rolling_regression(df, column, windows)
     for w in windows:
-        out = out.withColumn(f"regry_{w}", F.col(f"regry_{w}") / F.col(column)).withColumn(f"grad_{w}", F.col(f"grad_{w}") / F.col(column))
+        out = out.withColumn(f"regry_{w}", ratio(F.col(f"regry_{w}"), F.col(column))).withColumn(f"grad_{w}", ratio(F.col(f"grad_{w}"), F.col(column)))
     return out
 
 
@@ -91,8 +91,8 @@ def relative_volume(df: DataFrame, short: int, long: int, out: str | None = None
     volume = F.when(F.col("basevolume") < 0, F.raise_error(F.lit("negative volume"))).otherwise(F.col("basevolume"))
     df = rolling_median(df.withColumn("_v", volume), "_v", short, "_short")
     df = rolling_median(df, "_v", long, "_long")
-    ratio = F.col("_short") / F.when(F.col("_long") == 0, F.lit(EPS)).otherwise(F.col("_long"))
-    return df.withColumn(out or f"rv_{short}_{long}", ratio).drop("_v", "_short", "_long")
+    share = F.col("_short") / F.when(F.col("_long") == 0, F.lit(EPS)).otherwise(F.col("_long"))
+    return df.withColumn(out or f"rv_{short}_{long}", share).drop("_v", "_short", "_long")
 
 
 def extreme_distances(df: DataFrame, w: int, offset: int = 0, of_extreme: bool = False) -> DataFrame:
@@ -105,15 +105,15 @@ def extreme_distances(df: DataFrame, w: int, offset: int = 0, of_extreme: bool =
     back = lambda c: F.lag(c, offset).over(ordered()) if offset else F.col(c)
     df = df.withColumn("_low", back("_low")).withColumn("_high", back("_high"))
     base = lambda c: F.col(c) if of_extreme else F.col("pivot")
-    df = df.withColumn(f"mind{w}_{offset}", (F.col("pivot") - F.col("_low")) / base("_low"))
-    return df.withColumn(f"maxd{w}_{offset}", (F.col("pivot") - F.col("_high")) / base("_high")).drop("_low", "_high")
+    df = df.withColumn(f"mind{w}_{offset}", ratio(F.col("pivot") - F.col("_low"), base("_low")))
+    return df.withColumn(f"maxd{w}_{offset}", ratio(F.col("pivot") - F.col("_high"), base("_high"))).drop("_low", "_high")
 
 
 def regression_features(df: DataFrame, specs: Sequence[tuple[str, int, int]]) -> DataFrame:
     """Columns <kind><window>_<offset>: ry (distance of pivot to the line over pivot), rg (slope), rs (deviation)."""
     windows = sorted({w for _, w, _ in specs})
     out = rolling_regression(df, "pivot", windows, ["open", "high", "low", "close"])
-    source = {"ry": lambda w: (F.col("pivot") - F.col(f"regry_{w}")) / F.col("pivot"), "rg": lambda w: F.col(f"grad_{w}"), "rs": lambda w: F.col(f"std_{w}")}
+    source = {"ry": lambda w: ratio(F.col("pivot") - F.col(f"regry_{w}"), F.col("pivot")), "rg": lambda w: F.col(f"grad_{w}"), "rs": lambda w: F.col(f"std_{w}")}
     for kind, w, _ in specs:
         out = out.withColumn(f"_{kind}{w}", source[kind](w))
     shifted = [(F.lag(f"_{k}{w}", o).over(ordered()) if o else F.col(f"_{k}{w}")).alias(f"{k}{w}_{o}") for k, w, o in specs]
@@ -133,7 +133,7 @@ def delta_ohlc(df: DataFrame, lookbacks: int) -> DataFrame:
     for k in range(lookbacks):
         for c in ("open", "high", "low", "close"):
             delta = F.col(c) - F.col("pivot")
-            made.append((F.coalesce(F.lag(delta, k).over(w), F.lit(0.0)) / F.col("pivot")).alias(f"{c}{k:02d}"))
+            made.append(ratio(F.coalesce(F.lag(delta, k).over(w), F.lit(0.0)), F.col("pivot")).alias(f"{c}{k:02d}"))
     return df.select(*df.columns, *made)
 
 
@@ -144,8 +144,8 @@ def regression_lookbacks(df: DataFrame, windows: Sequence[int], n: int) -> DataF
     for w in windows:
         for k in range(n):
             at = lambda c, k=k, w=w: F.lag(c, k * w).over(ordered())
-            made.append((at(F.col(f"grad_{w}")) / F.col("pivot")).alias(f"grad{w}_{k:02d}"))
-            made.append((at(F.col("pivot") - F.col(f"regry_{w}")) / F.col("pivot")).alias(f"disty{w}_{k:02d}"))
+            made.append(ratio(at(F.col(f"grad_{w}")), F.col("pivot")).alias(f"grad{w}_{k:02d}"))
+            made.append(ratio(at(F.col("pivot") - F.col(f"regry_{w}")), F.col("pivot")).alias(f"disty{w}_{k:02d}"))
     return out.select(*df.columns, *made)
 
 
@@ -175,7 +175,7 @@ def last_extreme_distance(df: DataFrame, grad: str, price: str) -> DataFrame:
         seen = F.last(F.when(F.col("turn") == sign, F.struct("_rn", F.col(price).alias("p"))), ignorenulls=True).over(w)
         df = df.withColumn("_seen", seen)
         df = df.withColumn(f"rows_since_{name}", F.col("_rn") - F.col("_seen._rn"))
-        df = df.withColumn(f"dist_{name}", (F.col("_seen.p") - F.col(price)) / F.col(price)).drop("_seen")
+        df = df.withColumn(f"dist_{name}", ratio(F.col("_seen.p") - F.col(price), F.col(price))).drop("_seen")
     return df.drop("_rn", "turn")
 
 
@@ -184,7 +184,7 @@ def last_gain_loss(df: DataFrame, grad: str, price: str) -> DataFrame:
     df = turns(df, grad)
     w = ordered().rowsBetween(Window.unboundedPreceding, -1)
     before = F.last(F.when(F.col("turn") != 0, F.col(price)), ignorenulls=True).over(w)
-    df = df.withColumn("_swing", F.when(F.col("turn") != 0, (F.col(price) - before) / before))
+    df = df.withColumn("_swing", F.when(F.col("turn") != 0, ratio(F.col(price) - before, before)))
     for name, sign in (("last_gain", 1), ("last_loss", -1)):
         df = df.withColumn(name, F.last(F.when(F.col("turn") == sign, F.col("_swing")), ignorenulls=True).over(running()))
     return df.drop("_swing", "turn")

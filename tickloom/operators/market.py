@@ -19,17 +19,17 @@ from tickloom.sources.bars import epoch_minute
 DAY = 1440
 
 
-def _last_day():
-    return Window.partitionBy(KEY).orderBy("_minute").rangeBetween(-(DAY - 1), 0)
-
-
 def rolling_quote_volume_24h(df: DataFrame) -> DataFrame:
     """Quote volume (close times volume) of the 24 hours up to each row, the row 24 hours ago left out.
 
-    From running sums and the last row before that time, so dense bars cost no more than sparse ones.
+    The running sum less the running sum of that time, which is its largest value so far as volumes aren't negative; so
+    dense bars cost no more for each row than sparse ones.
     """
+    w = Window.partitionBy(KEY).orderBy("_minute")
     rows = df.withColumn("_minute", epoch_minute(F.col(TIME)))
-    return rows.withColumn("quotevolume24h", F.sum(quote_volume("close")).over(_last_day())).drop("_minute")
+    rows = rows.withColumn("_sum", F.sum(quote_volume("close")).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    before = F.max("_sum").over(w.rangeBetween(Window.unboundedPreceding, -DAY))
+    return rows.withColumn("quotevolume24h", F.col("_sum") - F.coalesce(before, F.lit(0.0))).drop("_minute", "_sum")
 
 
 def price_change_24h(df: DataFrame) -> DataFrame:

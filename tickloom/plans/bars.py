@@ -9,7 +9,7 @@ from tickloom.functions import scalar
 from tickloom.operators import bars as B
 from tickloom.operators import joins as J
 from tickloom.operators.windows import number_rows
-from tickloom.plans.registry import DAYS, HOURS, MINUTES, W, days, hours, minutes, query, table
+from tickloom.plans.registry import DAYS, HOURS, MINUTES, W, days, hours, line_sql, lined, minutes, query, table
 from tickloom.sources import bars as S
 
 OHLCV = "symbol, opentime, open, high, low, close, basevolume, pivot"
@@ -131,6 +131,27 @@ def _(spark, d):
     )
 
 
+@query("p3_time_cut", f"{HOURS} SELECT symbol, opentime, close FROM bars WHERE opentime BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-04 12:00:00'", "close")
+def _(spark, d):
+    return scalar.time_cut(hours(spark, d), "2024-01-03", "2024-01-04 12:00:00").select("symbol", "opentime", "close")
+
+
+@query("p5_relative_gain_regr", f"{HOURS}, {line_sql(24)} SELECT symbol, opentime, grad * 23 / (regry - grad * 23) AS forward, grad * 23 / regry AS backward FROM line", "forward backward")
+def _(spark, d):
+    y, g = F.col("regry_24"), F.col("grad_24")
+    return lined(spark, d).select("symbol", "opentime", scalar.relative_gain_regr(y, g, 24).alias("forward"), scalar.relative_gain_regr(y, g, 24, forward=False).alias("backward"))
+
+
+@query("p6_gain_between", f"{HOURS} SELECT symbol, opentime, (close - open) / abs(open) AS gain FROM bars", "gain")
+def _(spark, d):
+    return hours(spark, d).select("symbol", "opentime", scalar.gain_between(F.col("open"), F.col("close")).alias("gain"))
+
+
+@query("p13_select_features", f"{HOURS} SELECT symbol, opentime, high, low FROM bars", "high low")
+def _(spark, d):
+    return hours(spark, d).select("symbol", "opentime", *["high", "low"])
+
+
 @query(
     "p7_relative_time",
     "SELECT event_id, round_even((hour(ts) * 60 + minute(ts)) / 1440.0::DOUBLE, 4) AS rel_day, round_even(isodow(ts) / 7.0::DOUBLE, 4) AS rel_week, round_even(dayofyear(ts) / 365.0::DOUBLE, 4) AS rel_year FROM events",

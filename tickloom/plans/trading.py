@@ -248,26 +248,39 @@ def _drained(spark, df, mode: str):
     return spark.read.schema(df.schema).parquet(f"{name}/out")
 
 
-@query("l1_stream_bars")
+@query(
+    "l1_stream_bars",
+    f"""{HOURS} SELECT symbol, opentime, open, high, low, close, basevolume, pivot FROM bars
+    WHERE opentime + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "open high low close basevolume pivot",
+)
 def _(spark, d):
     return _drained(spark, L.stream_bars(_events(spark, d), 60, "10 minutes"), "append")
 
 
 @query("l4_gate_classification")
 def _(spark, d):
-    from tickloom.sources.bars import epoch_minute
-
-    rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), epoch_minute(F.col("ts")).cast("double").alias("minute"), F.col("value").alias("close"))
+    rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), _minute().alias("minute"), F.col("value").alias("close"))
     return _drained(spark, L.gate_classification(rows, 60.0, 0.5), "append")
 
 
-@query("l5_stream_advice")
-def _(spark, d):
-    from tickloom.sources.bars import epoch_minute
+def _minute():
+    """Minutes since 2024 with their fraction, so that events have an order."""
+    return F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")) / 6e7
 
+
+@query(
+    "l5_stream_advice",
+    """WITH l AS (SELECT event_type AS symbol, ts, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 6e7::DOUBLE AS minute, value AS close, event_id % 7 = 0 AS long, event_id % 7 = 3 AS short FROM events WHERE value IS NOT NULL)
+    SELECT symbol, minute, CASE WHEN long THEN close * 0.99 ELSE 0 END::DOUBLE AS lo, coalesce(last_value(CASE WHEN long THEN close END IGNORE NULLS) OVER w, 0) * 1.05 AS lc,
+    CASE WHEN short THEN close * 1.01 ELSE 0 END::DOUBLE AS so, coalesce(last_value(CASE WHEN short THEN close END IGNORE NULLS) OVER w, 0) * 0.95 AS sc FROM l
+    WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "minute lo lc so sc",
+)
+def _(spark, d):
     label = F.when(F.col("event_id") % 7 == 0, "longopen").when(F.col("event_id") % 7 == 3, "shortopen").otherwise("allclose")
     rows = _events(spark, d).where("value is not null").select(
-        F.col("event_type").alias("symbol"), epoch_minute(F.col("ts")).cast("double").alias("minute"), label.alias("label"), F.lit(0.9).alias("score"), F.col("value").alias("close")
+        F.col("event_type").alias("symbol"), _minute().alias("minute"), label.alias("label"), F.lit(0.9).alias("score"), F.col("value").alias("close")
     )
     return _drained(spark, L.stream_advice(rows, 0.01, 0.05, 0.5), "append")
 
