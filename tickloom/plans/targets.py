@@ -62,7 +62,22 @@ def _(spark, d):
     return out.select("symbol", "opentime", "maxreldiff", "minreldiff", "maxix", "minix", "longopen", "longhold", "shortopen", "shorthold")
 
 
-@query("t5_fixed_distance_label")
+FIRST = """CASE WHEN f.maxix < f.minix OR f.maxreldiff > 0 THEN CASE WHEN f.maxreldiff >= 0.3 THEN 'longopen' WHEN before IN ('longopen', 'longhold') THEN
+  CASE WHEN f.minreldiff >= 0.05 THEN 'longhold' ELSE 'longclose' END ELSE 'ignore' END ELSE 'ignore' END"""
+THEN = f"""CASE WHEN f.maxix > f.minix OR f.minreldiff < 0 THEN CASE WHEN f.minreldiff <= -0.3 THEN 'shortopen' WHEN before IN ('shortopen', 'shorthold') THEN
+  CASE WHEN f.maxreldiff <= -0.05 THEN 'shorthold' ELSE 'shortclose' END ELSE {FIRST} END ELSE {FIRST} END"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH bars0", "WITH RECURSIVE bars0", 1)
+
+
+@query(
+    "t5_fixed_distance_label",
+    f"""{recursive(GAIN)}, walk AS (SELECT f.symbol, f.rn, f.opentime, {THEN} AS label FROM (SELECT *, 'ignore' AS before FROM fdg WHERE rn = 1) f
+    UNION ALL SELECT f.symbol, f.rn, f.opentime, {THEN} FROM (SELECT fdg.*, walk.label AS before FROM walk JOIN fdg ON fdg.symbol = walk.symbol AND fdg.rn = walk.rn + 1) f)
+    SELECT {KEYS}, label FROM walk""",
+)
 def _(spark, d):
     return T.fixed_distance_labels(hours(spark, d), 10, THRES).select("symbol", "opentime", "label")
 
@@ -347,7 +362,19 @@ def trades(spark, d):
     return E.prediction_trades(scored(spark, d), 0.3, 0.4)
 
 
-@query("e5_prediction_trades")
+@query(
+    "e5_prediction_trades",
+    f"""{recursive(PRED)}, num AS (SELECT symbol, set, opentime, pivot, row_number() OVER (PARTITION BY symbol, set ORDER BY opentime) AS i, count(*) OVER (PARTITION BY symbol, set) AS n,
+      CASE WHEN score >= 0.3 THEN CASE label WHEN 'longopen' THEN 1 WHEN 'shortopen' THEN -1 ELSE 0 END ELSE 0 END AS want, label = 'allclose' AND score >= 0.4 AS shut FROM best),
+    walk AS (SELECT symbol, set, i, CASE WHEN i < n THEN want ELSE 0 END AS side, false AS ended, i < n AND want <> 0 AS started FROM num WHERE i = 1
+      UNION ALL SELECT x.symbol, x.set, x.i, CASE WHEN want <> 0 AND (NOT open OR ends) AND x.i < x.n THEN want WHEN ends THEN 0 ELSE before END, ends, want <> 0 AND (NOT open OR ends) AND x.i < x.n
+      FROM (SELECT num.*, w.side AS before, w.side <> 0 AS open, w.side <> 0 AND ((want <> 0 AND want <> w.side) OR shut OR num.i = num.n) AS ends
+        FROM walk w JOIN num ON num.symbol = w.symbol AND num.set = w.set AND num.i = w.i + 1) x),
+    pairs AS (SELECT a.symbol, a.set, a.side, a.i AS s, min(b.i) AS e FROM walk a JOIN walk b ON a.symbol = b.symbol AND a.set = b.set AND b.i > a.i AND b.ended WHERE a.started GROUP BY ALL)
+    SELECT p.symbol, p.set, CASE WHEN p.side > 0 THEN 'long' ELSE 'short' END AS trend, a.opentime AS opened, b.opentime AS closed, 100 * p.side * (b.pivot - a.pivot) / a.pivot AS gain
+    FROM pairs p JOIN num a ON a.symbol = p.symbol AND a.set = p.set AND a.i = p.s JOIN num b ON b.symbol = p.symbol AND b.set = p.set AND b.i = p.e""",
+    "gain",
+)
 def _(spark, d):
     return trades(spark, d)
 

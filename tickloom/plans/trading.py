@@ -13,7 +13,7 @@ from tickloom.operators.targets import bounds_target
 from tickloom.operators.windows import number_rows
 from tickloom.plans.pipelines import feature_columns, features_targets
 from tickloom.plans.registry import HOURS, W, hours, line_sql, lined, query, table
-from tickloom.plans.targets import scored
+from tickloom.plans.targets import recursive, scored
 from tickloom.streaming import bars as L
 
 KEYS = "symbol, opentime"
@@ -68,12 +68,32 @@ def _(spark, d):
     return R.rule_advice_focus(lined(spark, d, (6, 24)), [6, 24], 0.3, -0.3, 0.5, 0.05).select("symbol", "opentime", "label", "regrwindow")
 
 
-@query("r5_simulate_rule")
+def _simulated(keys: str, source: str) -> str:
+    """CTEs and select of trades from labelled rows lab (keys, rn, opentime, pivot, label): one open at a time."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    cols = ", ".join(f"l.{k}" for k in keys.split(", "))
+    return f"""{source}, walk AS (SELECT {keys}, rn, CASE label WHEN 'longopen' THEN 1 WHEN 'shortopen' THEN -1 ELSE 0 END AS side FROM lab WHERE rn = 1
+      UNION ALL SELECT {cols}, l.rn, CASE WHEN w.side = 1 THEN CASE WHEN l.label = 'longclose' THEN 0 ELSE 1 END WHEN w.side = -1 THEN CASE WHEN l.label = 'shortclose' THEN 0 ELSE -1 END
+        WHEN l.label = 'longopen' THEN 1 WHEN l.label = 'shortopen' THEN -1 ELSE 0 END FROM walk w JOIN lab l ON {on("l", "w")} AND l.rn = w.rn + 1),
+    m AS (SELECT *, lag(side) OVER (PARTITION BY {keys} ORDER BY rn) AS before, max(rn) OVER (PARTITION BY {keys}) AS n FROM walk),
+    o AS (SELECT {keys}, rn AS s, side, n FROM m WHERE side <> 0 AND coalesce(before, 0) = 0),
+    e AS (SELECT {", ".join("o." + k for k in keys.split(", "))}, o.s, o.side, coalesce(min(m.rn), any_value(o.n)) AS e FROM o LEFT JOIN m ON {on("o", "m")} AND m.rn > o.s AND m.side = 0 GROUP BY ALL)
+    SELECT {", ".join("e." + k for k in keys.split(", "))}, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS trade, a.opentime AS buydt, b.opentime AS selldt, date_diff('minute', a.opentime, b.opentime) AS minutes,
+    a.pivot AS buyprice, b.pivot AS sellprice, CASE WHEN side > 0 THEN (b.pivot * 0.999 - a.pivot * 1.001) / (a.pivot * 1.001) ELSE (a.pivot * 0.999 - b.pivot * 1.001) / (a.pivot * 0.999) END AS gain,
+    (a.pivot + b.pivot) * 0.001 AS fee FROM e JOIN lab a ON {on("a", "e")} AND a.rn = e.s JOIN lab b ON {on("b", "e")} AND b.rn = e.e"""
+
+
+@query("r5_simulate_rule", _simulated("symbol", f"{recursive(RULE)}, lab AS (SELECT symbol, rn, opentime, pivot, {_band_sql('regry', 'g', True)} AS label FROM ru)"), "buyprice sellprice gain fee")
 def _(spark, d):
     return R.simulate_rule(R.rule_advice_band(lined(spark, d), 24, BAND), 0.001)
 
 
-@query("r6_sweep_configs")
+GRID = "grid AS (SELECT range::INT AS cfgid, -0.05 - range * 0.02 AS buy, 0.05 + range * 0.02 AS sell FROM range(6))"
+SWEEP = """CASE WHEN (pivot < regry * (1 + buy) AND g >= -0.01) OR g >= 0.2 THEN 'longopen' WHEN before >= regry * (1 + sell) AND g < 0.2 THEN 'longclose'
+    WHEN (pivot > regry * (1 + sell) AND g <= 0.01) OR g <= -0.2 THEN 'shortopen' WHEN before <= regry * (1 + buy) AND g > -0.2 THEN 'shortclose' ELSE 'allclose' END"""
+
+
+@query("r6_sweep_configs", _simulated("symbol, cfgid", f"{recursive(RULE)}, {GRID}, lab AS (SELECT symbol, cfgid, rn, opentime, pivot, {SWEEP} AS label FROM ru, grid)"), "buyprice sellprice gain fee")
 def _(spark, d):
     grid = spark.range(6).select(
         F.col("id").cast("int").alias("cfgid"), (-0.05 - F.col("id") * 0.02).alias("buy"), (0.05 + F.col("id") * 0.02).alias("sell"), F.lit(-0.01).alias("volatility_long"),
