@@ -328,3 +328,50 @@ def test_extensions(spark):
     assert column(scorer.transform(df), "up") == pytest.approx([0.1, 0.2, 0.3])
     out = replay_strategy(df, lambda now, row: {"total": now["total"] + row["close"]}, {"total": 0.0}, ["total"])
     assert column(out, "total") == [1, 3, 6]
+
+
+def lined(spark, price, line=100.0, grad=0.0, std=1.0, w=5):
+    df = series(spark, price)
+    return df.withColumn(f"regry_{w}", F.lit(line)).withColumn(f"grad_{w}", F.lit(grad)).withColumn(f"std_{w}", F.lit(std))
+
+
+def test_several_positions_close_first_in_first_out(spark):
+    price = [95, 95, 95, 106, 106, 100]
+    out = R.multi_position_replay(lined(spark, price), 5, 0.04, 0.05, 1, 1, most=2).orderBy("closeix", "openix").collect()
+    longs = [(r["openix"], r["closeix"], r["tradelen"]) for r in out if r["longshort"] == "long"]
+    assert longs == [(1, 4, 3), (2, 5, 3)]  # two at most, each close takes the oldest
+    assert all(r["gain"] == pytest.approx((106 - 95) / 95) for r in out if r["longshort"] == "long")
+    few = R.multi_position_replay(lined(spark, price), 5, 0.04, 0.05, 3, 1).where("longshort = 'long'").count()
+    assert few == 1  # opens at least three rows apart
+    assert R.multi_position_replay(lined(spark, price, std=1.0), 5, 0.04, 0.05, 1, 1, stdcheck=True).count() == 0
+
+
+def test_focus_rule_opens_by_the_shortest_window_and_holds(spark):
+    df = lined(spark, [100, 100, 100, 107], w=3).withColumn("regry_9", F.lit(100.0))
+    grad = F.when(F.row_number().over(W.ordered()) == 1, 5.0).otherwise(0.0)
+    df = df.withColumn("grad_3", grad).withColumn("grad_9", F.lit(0.0))
+    out = R.rule_advice_focus(df, [3, 9], 0.08, -0.08, 0.5, 0.05).orderBy("opentime").collect()
+    assert [r["label"] for r in out] == ["longopen", "longhold", "longhold", "longclose"]
+    assert [r["regrwindow"] for r in out] == [3, 3, 3, 0]
+
+
+def test_budget_is_shared_until_it_is_used(spark):
+    rows = [(START, s, label, 10.0, held, 100.0, 1000.0) for s, label, held in (("A", "longopen", 0.0), ("B", "shortopen", 5.0), ("C", "allclose", 0.0), ("D", "longopen", 0.0))]
+    df = spark.createDataFrame(rows, "opentime timestamp_ntz, symbol string, label string, close double, position double, freequote double, equity double")
+    out = {r["symbol"]: (r["amount"], r["reason"]) for r in P.allocate_budget(df, 20.0, 120.0).collect()}
+    assert out == {"A": (4.0, "open"), "B": (0.0, "full position"), "C": (0.0, "no open"), "D": (4.0, "open")}
+    short = {r["symbol"]: r["reason"] for r in P.allocate_budget(df, 200.0, 120.0).collect()}
+    assert short["A"] == "insufficient quote"
+
+
+def test_trade_tables_compare_with_tolerance(spark):
+    a = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 2.0)], "k string, n int, v double")
+    b = spark.createDataFrame([("A", 1, 1.0000001), ("C", 1, 2.0)], "k string, n int, v double")
+    out = {r["k"]: (r["v_eq"], r["match_all"]) for r in J.compare_trade_tables(a, b, ["k"], ["v", "n"]).collect()}
+    assert out == {"A": (True, True), "B": (False, False), "C": (False, False)}
+
+
+def test_undersampling_evens_the_classes(spark):
+    df = spark.range(5000).withColumn("label", F.when(F.col("id") % 10 == 0, "rare").otherwise("common"))
+    counts = {r["label"]: r["count"] for r in C.undersample(df, "label", ["id"]).groupBy("label").count().collect()}
+    assert counts["rare"] == 500 and abs(counts["common"] - 500) < 90
