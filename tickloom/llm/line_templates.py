@@ -83,7 +83,8 @@ def recurring(
     """
     keys = cut(line_keys(docs, depth, min_tokens))
     busy = keys.groupBy("leaf").agg(F.count("*").alias("n"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
-    busy = busy.where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
+    # Written, so that both sides of the join come straight from a shuffle and Spark can split a leaf's lines.
+    busy = cut(busy.where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"))
     keys = cut(keys.join(busy, "leaf"))
     of_line = cut(templates(docs, keys, min_docs, min_constant).select("line_key", "template"))
     # Distinct before the join, so that a line in a third of all rows is small.
