@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import langid, line_templates, packing, secrets, simhash
-from tickloom.llm.common import table
+from tickloom.llm.common import table, written
 
 #: Columns of documents, in their order.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays, the one with the smallest doc_id."""
+    """One row of each component of near-duplicates stays, the one with the smallest doc_id (null last)."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
@@ -57,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each reads what the one before it wrote, so a stage that reads its rows twice sees the same ones."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

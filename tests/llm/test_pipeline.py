@@ -29,3 +29,15 @@ def test_run_equals_its_stages(spark, tmp_path):
     assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
     empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_without_or_with_repeated_ids_stay_unless_they_are_copies(spark):
+    from tests.llm.documents import SCHEMA, words
+    from tickloom.llm import simhash
+
+    a, b, c, d, e = (" ".join(words(seed, 80)) for seed in range(50, 55))
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (3, d), (None, e), (9, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    want = sorted([(None, a), (None, b), (7, c), (3, d), (9, e)], key=str)
+    for kept in (simhash.keep_one(docs), corpus_pipeline.near_dedup(spark, docs, "")):
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,11 +27,23 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one that the session names in spark.checkpoint.dir. Only a session without one (tests) gets a
     temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut, but as Parquet: smaller for rows with texts, and later steps read only the columns that they use."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

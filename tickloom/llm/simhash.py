@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, slices, texts_of
+from tickloom.llm.common import cut, slices, texts_of, written
 from tickloom.llm.graph import components, contracted
 
 WORDS, SEED = 4, 42
@@ -206,9 +206,28 @@ def document_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and _row, a number of each row, written so that every later read sees the same numbers and texts."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """One of numbered rows for each component: the smallest by doc_id (null last), then by number.
+
+    found: _row, doc_id and component of every row.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
+    kept = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; a doc_id's repeated rows give one row."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of docs for each component, whatever its doc_id: that of the smallest doc_id (null last).
+
+    Rows are told apart by number, so rows without a doc_id or with a repeated one only go if their text is a near copy.
+    """
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
+    chosen = first_rows(rows, found.join(rows.select("_row", "doc_id"), "_row"))
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
