@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, secret scan and best-fit packing over documents.
+"""Corpus pipeline: language ID, line dedup, near-dedup by word shingles, secret scan and best-fit packing over documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All stages but the last
 return the columns of documents; the last one returns the packed token pieces.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, line_templates, packing, secrets, simhash
+from tickloom.llm import langid, line_templates, near_copies, packing, secrets
 from tickloom.llm.common import table, written
 
 #: Columns of documents, in their order.
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates stays, the one with the smallest doc_id (null last)."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One row of each component of near copies (five-word Jaccard 0.8) stays, the one with the smallest doc_id (null last)."""
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,42 @@ def test_rows_without_or_with_repeated_ids_stay_unless_they_are_copies(spark):
     want = sorted([(None, a), (None, b), (7, c), (3, d), (9, e)], key=str)
     for kept in (simhash.keep_one(docs), corpus_pipeline.near_dedup(spark, docs, "")):
         assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+
+
+def test_near_dedup_equals_brute_force(spark, monkeypatch):
+    """Planted copies with one to a dozen replaced words, a cloud of copies around one text, and texts that share a passage."""
+    import random
+
+    from tests.llm.documents import SCHEMA, words
+    from tickloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "FEW", 4)
+    r = random.Random(9)
+    found = []
+    for seed, (size, copies, most) in enumerate([(100, 30, 3), (60, 3, 2), (200, 4, 12), (150, 6, 5), (12, 4, 1), (7, 4, 1), (3, 3, 0)]):
+        base = words(200 + seed, size)
+        found.append(base)
+        for _ in range(copies):
+            copy = [*(r.choice(found[-3:]) if seed == 3 and len(found) > 40 else base)]
+            for at in r.sample(range(size), r.randint(0, most)):
+                copy[at] = f"new{r.randint(0, 10**9)}"
+            found.append(copy)
+    passage = words(300, 30)
+    found += [words(400 + i, 20) + passage for i in range(12)] + [[], []]
+    r.shuffle(found)
+    docs = [" ".join(w) for w in found]
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, up = [shingles(t) for t in docs], list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    want = sorted(set(up))
+    assert 12 + 7 < len(want) < len(docs) - 20
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], SCHEMA).repartition(3)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, frame, "").collect()) == want

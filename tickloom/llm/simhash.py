@@ -214,7 +214,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """One of numbered rows for each component: the smallest by doc_id (null last), then by number.
 
-    found: _row, doc_id and component of every row.
+    found: _row, doc_id and component of every row, or of those that may be the smallest.
     """
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
     kept = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
