@@ -80,3 +80,13 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
     assert 12 + 7 < len(want) < len(docs) - 20
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(docs)], SCHEMA).repartition(3)
     assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, frame, "").collect()) == want
+
+
+def test_lines_that_only_begin_alike_stay(spark):
+    from tests.llm.documents import SCHEMA
+
+    tails = ["red fox", "blue sky", "old car", "wet day"]
+    lines = [f"We went there {t}\nPage {i} of {i + 3} pages\nEnd of the list here {i}" for i, t in enumerate(tails)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(lines)], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: lines[0]} | {i: f"We went there {t}" for i, t in enumerate(tails) if i}

@@ -43,8 +43,12 @@ def line_keys(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS)
     return lines.select("doc_id", "text_key", F.xxhash64("line").alias("line_key"), leaf.alias("leaf"), "n_tokens")
 
 
-def templates(docs: DataFrame, keys: DataFrame, min_docs: int, min_constant: float) -> DataFrame:
-    """line_key, template (a hash) and shown (the template's text) of the lines of keys that are constant enough."""
+def templates(docs: DataFrame, keys: DataFrame, min_docs: int, min_constant: float, depth: int | None = None) -> DataFrame:
+    """line_key, template (a hash) and shown (the template's text) of the lines of keys that are constant enough.
+
+    With depth, the tokens after the leading ones, which all lines of a leaf share, must be constant enough as well;
+    masked tokens don't count there.
+    """
     line = ["line_key", "leaf", "n_tokens"]
     distinct = keys.groupBy(*line, "text_key").agg(F.min("doc_id").alias("doc_id"))
     counted = cut(distinct.groupBy(*line).agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")))
@@ -66,7 +70,11 @@ def templates(docs: DataFrame, keys: DataFrame, min_docs: int, min_constant: flo
             F.collect_list(F.struct("pos", F.when(F.col("constant") == 1, F.col("token")).otherwise(FIELD).alias("token")))
         ).alias("parts"),
         F.sum(F.coalesce("constant", F.lit(0))).alias("n_constant"),
+        F.sum(F.when(F.col("pos") >= (depth or 0), F.coalesce("constant", F.lit(0))).otherwise(0)).alias("later_constant"),
+        F.sum(F.when((F.col("pos") >= (depth or 0)) & (F.col("token") != FIELD), 1).otherwise(0)).alias("later"),
     )
+    if depth is not None:
+        parsed = parsed.where(F.col("later_constant") >= min_constant * F.col("later"))
     shown = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
     return parsed.where(F.col("n_constant") >= min_constant * F.col("n_tokens")).select(
         "line_key", F.xxhash64("leaf", shown).alias("template"), shown.alias("shown")
@@ -74,8 +82,9 @@ def templates(docs: DataFrame, keys: DataFrame, min_docs: int, min_constant: flo
 
 
 def recurring(
-    docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, depth: int = DEPTH, min_tokens: int = MIN_TOKENS
-) -> DataFrame:
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
+    beyond: bool = False,
+) -> DataFrame:
     """doc_id and line_key of the lines to drop.
 
     Documents are counted by distinct texts, so exact copies alone don't make their lines recur. Leaves with fewer lines
@@ -86,7 +95,7 @@ def recurring(
     # Written, so that both sides of the join come straight from a shuffle and Spark can split a leaf's lines.
     busy = cut(busy.where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"))
     keys = cut(keys.join(busy, "leaf"))
-    of_line = cut(templates(docs, keys, min_docs, min_constant).select("line_key", "template"))
+    of_line = cut(templates(docs, keys, min_docs, min_constant, depth if beyond else None).select("line_key", "template"))
     # Distinct before the join, so that a line in a third of all rows is small.
     used = keys.groupBy("line_key", "text_key").agg(F.min("doc_id").alias("first")).join(of_line, "line_key")
     texts = used.groupBy("template", "text_key").agg(F.min("first").alias("first"))
@@ -95,15 +104,16 @@ def recurring(
     return keys.join(chosen, "line_key").where(F.col("doc_id") != F.col("first")).select("doc_id", "line_key")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, beyond: bool = False) -> DataFrame:
     """docs with recurring lines taken out of the text, n_lines and n_dropped.
 
     Lines are what newlines separate. Lines of fewer than MIN_TOKENS tokens stay. A null text stays null with no lines; a
     text that loses all its lines is empty. Rows of one doc_id lose the same lines; rows without doc_id lose none. Other
-    columns pass through (earlier n_lines and n_dropped are replaced). All documents are counted.
+    columns pass through (earlier n_lines and n_dropped are replaced). All documents are counted. With beyond, a template
+    must be constant enough after its leading tokens too, so lines that only begin alike stay (the SQL is without it).
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_gone")]
-    gone = recurring(docs.select("doc_id", "text"), min_docs, min_constant)
+    gone = recurring(docs.select("doc_id", "text"), min_docs, min_constant, beyond=beyond)
     gone = gone.groupBy("doc_id").agg(F.collect_set("line_key").alias("_gone"))
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, "doc_id", "left")
     lines = _lines(F.col("text"))
