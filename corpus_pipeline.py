@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; n_chars follows the text."""
-    cleaned = line_templates.drop_recurring(docs, beyond=True)
+    cleaned = line_templates.drop_recurring(docs, beyond=True, short=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -90,3 +90,13 @@ def test_lines_that_only_begin_alike_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(lines)], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {0: lines[0]} | {i: f"We went there {t}" for i, t in enumerate(tails) if i}
+
+
+def test_short_lines_recur_too(spark):
+    from tests.llm.documents import SCHEMA
+
+    lines = [f"All rights reserved.\nonly {w} here\nLes.\nPage {i}\n12 13\n\n{w}" for i, w in enumerate(["ab", "cd", "ef", "gh"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*lines, "Twice\nx", "Twice\ny"])], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    later = {i: f"only {w} here\n12 13\n\n{w}" for i, w in enumerate(["ab", "cd", "ef", "gh"]) if i}
+    assert got == {0: lines[0], 4: "Twice\nx", 5: "Twice\ny"} | later

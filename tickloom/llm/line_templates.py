@@ -104,16 +104,39 @@ def recurring(
     return keys.join(chosen, "line_key").where(F.col("doc_id") != F.col("first")).select("doc_id", "line_key")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, beyond: bool = False) -> DataFrame:
+def recurring_short(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """doc_id and line_key of the lines to drop that have fewer than min_tokens tokens: the masked line is the template.
+
+    Lines whose tokens are all masked have none, so columns of figures stay.
+    """
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("line"))
+    token = f"[^{SPACE_CLASS[1:-1]}]+"
+    lines = lines.where(F.regexp_count("line", F.lit(token)).between(1, min_tokens - 1))
+    lines = lines.select("doc_id", "text_key", masked(F.col("line")).alias("line"))
+    worded = lines.where(F.replace("line", F.lit(FIELD), F.lit("")).rlike(token))
+    keys = cut(worded.select("doc_id", "text_key", F.xxhash64("line").alias("line_key")).distinct())
+    texts = keys.groupBy("line_key", "text_key").agg(F.min("doc_id").alias("first"))
+    chosen = texts.groupBy("line_key").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+    # Written, so that Spark can split a line that a large share of the documents have.
+    chosen = cut(chosen.where(F.col("texts") >= min_docs).select("line_key", "first"))
+    return keys.join(chosen, "line_key").where(F.col("doc_id") != F.col("first")).select("doc_id", "line_key")
+
+
+def drop_recurring(
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, beyond: bool = False, short: bool = False
+) -> DataFrame:
     """docs with recurring lines taken out of the text, n_lines and n_dropped.
 
-    Lines are what newlines separate. Lines of fewer than MIN_TOKENS tokens stay. A null text stays null with no lines; a
+    Lines are what newlines separate. Lines of fewer than MIN_TOKENS tokens stay without short. A null text stays null with no lines; a
     text that loses all its lines is empty. Rows of one doc_id lose the same lines; rows without doc_id lose none. Other
     columns pass through (earlier n_lines and n_dropped are replaced). All documents are counted. With beyond, a template
-    must be constant enough after its leading tokens too, so lines that only begin alike stay (the SQL is without it).
+    must be constant enough after its leading tokens too, so lines that only begin alike stay; with short, shorter lines go by recurring_short (the SQL is
+    without both).
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_gone")]
     gone = recurring(docs.select("doc_id", "text"), min_docs, min_constant, beyond=beyond)
+    if short:
+        gone = gone.union(recurring_short(docs.select("doc_id", "text"), min_docs))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line_key").alias("_gone"))
     joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, "doc_id", "left")
     lines = _lines(F.col("text"))
