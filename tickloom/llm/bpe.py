@@ -28,8 +28,10 @@ from tickloom.llm.common import slices, texts_of
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-#: Words whose encoding a Python worker remembers; beyond it the memory starts anew.
-KNOWN_WORDS = 600_000
+#: Bytes of words and their encodings that a Python worker remembers (about); beyond it the memory starts anew.
+KNOWN_BYTES = 96 << 20
+#: What an entry takes besides its word and ids, and the longest word that is remembered.
+ENTRY, LONGEST = 160, 256
 #: Up to so many positions, a pair is merged one position at a time.
 FEW = 24
 #: Characters for which Python's regex classes and lower() surely agree with the library's.
@@ -188,10 +190,11 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.bytes_of = {c: b for b, c in enumerate(byte_characters())}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.index.special)) + ")")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | int, bytes] = {}
+        self.forget()
 
-    def words(self, chunk: str) -> list[str]:
-        """The words of a chunk; special strings become words of their own, marked by a zero."""
+    def words(self, chunk: str) -> list[str | int]:
+        """The words of a chunk; a special string is its id."""
         if chunk.isascii() or PLAIN.fullmatch(chunk):
             low = chunk.lower()
             if low.isalpha():
@@ -203,7 +206,7 @@ class ChunkEncoder:
         found = []
         for part in self.marks.split(chunk):
             if part in self.index.special:
-                found.append(f"\0{self.index.special[part]}")
+                found.append(self.index.special[part])
             elif part:
                 part = self.library.normalizer.normalize_str(part)
                 for word, _ in self.library.pre_tokenizer.pre_tokenize_str(part):
@@ -213,23 +216,28 @@ class ChunkEncoder:
     def encode(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk as little-endian 32-bit integers."""
         split = [self.words(c) for c in chunks]
-        wanted = {w for ws in split for w in ws}
-        fresh = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known.clear()
-            fresh = list(wanted)
-        plain = [w for w in fresh if w[0] != "\0" or len(w) == 1]
-        for w in fresh:
-            if w[0] == "\0" and len(w) > 1:
-                self.known[w] = np.array([int(w[1:])], "<u4").tobytes()
-        ids, counts = self.index.encode([w.encode() for w in plain])
-        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        at = 0
-        for w, end in zip(plain, ends, strict=True):
-            self.known[w] = raw[at:end]
-            at = end
         known = self.known
-        return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split]
+        fresh = list({w for ws in split for w in ws if w not in known})
+        raw = [w.encode() for w in fresh]
+        ids, counts = self.index.encode(raw)
+        coded, at = ids.astype("<u4").tobytes(), 0
+        for w, end in zip(fresh, (4 * np.cumsum(counts)).tolist(), strict=True):
+            known[w] = coded[at:end]
+            at = end
+        out = [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in split]
+        for w, r, n in zip(fresh, raw, counts.tolist(), strict=True):
+            if len(r) > LONGEST:
+                del known[w]
+            else:
+                self.held += ENTRY + 2 * len(r) + 4 * n
+        if self.held > KNOWN_BYTES:
+            self.forget()
+        return out
+
+    def forget(self) -> None:
+        """Remember the special strings only."""
+        self.held = 0
+        self.known = {i: np.array([i], "<u4").tobytes() for i in self.index.special.values()}
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes these ids, special tokens kept: token strings joined by blanks."""
@@ -257,8 +265,8 @@ def encoded_chunks(texts: pa.Array, encoder: ChunkEncoder) -> tuple[list[list[in
 def encode(docs: DataFrame, name: str = WORD_BPE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """ids (array of int) and the decoded text of each row; a null or empty text has no ids and decodes to ''.
 
-    Rows stay where they are: no shuffle, and memory is bounded by a slice of a batch. Repeated rows and ids give a
-    row each.
+    Rows stay where they are: no shuffle; a worker holds a slice of a batch and KNOWN_BYTES of remembered words, or a
+    single longer text. Repeated rows and ids give a row each, an empty table none; other columns aren't returned.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +282,10 @@ def encode(docs: DataFrame, name: str = WORD_BPE, id_column: str = "doc_id", tex
 
 
 def digests(docs: DataFrame, name: str = WORD_BPE) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of documents, computed where the row lies."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of documents, computed where the row lies.
+
+    Nulls, empty and long texts, repeated rows, empty tables and other columns as in encode().
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, decoded in _coded(batches, name):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,11 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there.
-
-    The folder is the one that the session names in spark.checkpoint.dir. Only a session without one (tests) gets a
-    temporary folder.
-    """
+    """Write df to the cluster's checkpoint folder, the one that the session names in spark.checkpoint.dir, and go on from there."""
     _folder(df.sparkSession)
     return df.checkpoint()
 
@@ -35,13 +30,20 @@ def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not named:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder that nothing else uses."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """As cut, but as Parquet: smaller for rows with texts, and later steps read only the columns that they use."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = new_folder(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -64,6 +66,18 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column), "")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from these that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Words of a text: maximal runs outside ASCII white space. Null gives no words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+"), lambda w: w != "")

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.bpe import BYTE_BPE, KNOWN_WORDS, PairIndex, byte_characters
+from tickloom.llm.bpe import BYTE_BPE, ENTRY, KNOWN_BYTES, LONGEST, PairIndex, byte_characters
 from tickloom.llm.common import slices, texts_of
 
 #: Characters for which Python's regex classes surely agree with the library's.
@@ -42,6 +42,7 @@ class TokenCounter:
         self.marks = re.compile("(" + "|".join(map(re.escape, self.index.special)) + ")")
         self.whole = self.prove()
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def prove(self) -> frozenset[str]:
         """Vocabulary strings that are valid text and come out of the merges as one token."""
@@ -66,14 +67,20 @@ class TokenCounter:
         """Tokens of each unit: text between special strings, cut before white space only."""
         split = [self.pretokens(u) for u in units]
         whole, known = self.whole, self.known
-        rest = {w for ws in split for w in ws if w not in whole}
-        fresh = [w for w in rest if w not in known]
-        if len(known) + len(fresh) > KNOWN_WORDS:
-            known.clear()
-            fresh = list(rest)
-        _, counts = self.index.encode([w.encode() for w in fresh])
+        fresh = list({w for ws in split for w in ws if w not in whole and w not in known})
+        raw = [w.encode() for w in fresh]
+        _, counts = self.index.encode(raw)
         known.update(zip(fresh, counts.tolist(), strict=True))
-        return np.array([sum([1 if w in whole else known[w] for w in ws]) for ws in split], np.int64)
+        out = np.array([sum([1 if w in whole else known[w] for w in ws]) for ws in split], np.int64)
+        for w, r in zip(fresh, raw, strict=True):
+            if len(r) > LONGEST:
+                del known[w]
+            else:
+                self.held += ENTRY + 2 * len(r)
+        if self.held > KNOWN_BYTES:
+            known.clear()
+            self.held = 0
+        return out
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text. Texts without special strings and runs of white space are cut by Arrow at blanks."""
@@ -131,7 +138,9 @@ def counter(name: str = BYTE_BPE) -> TokenCounter:
 def count_tokens(docs: DataFrame, limit: int = 1024, name: str = BYTE_BPE) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row; a null text counts as empty.
 
-    Rows are counted where they lie, without a shuffle; a worker holds a slice of a batch and the words it remembers.
+    Rows are counted where they lie, without a shuffle; a worker holds a slice of a batch (or a single longer text) and
+    KNOWN_BYTES of words that it remembers. Repeated rows and null ids give a row each, an empty table none; other columns
+    aren't returned.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
