@@ -1,23 +1,32 @@
 """Line deduplication by a log-template tree, in DataFrame operations only.
 
-Tokens with a digit are masked. The tree has a fixed depth: a line's leaf is its count of tokens and its first tokens.
-Within a leaf, a token that enough documents have at a position is a constant there and any other one is a variable
-field. The constants and fields of a line are its template. Templates that recur across documents are dropped from all
-of them but the one with the smallest doc_id.
+Texts are cut into units: lines, and in lines the sentences. Tokens with a digit are masked. The tree has a fixed depth: a
+unit's leaf is its count of tokens and its first tokens. Within a leaf, a token that enough of the leaf's texts have at a
+position is a constant there and any other one is a variable field. The constants and fields of a unit are its template; a
+unit with too few constants is a template by itself. Templates that recur across documents are dropped from all of them
+but the one with the smallest doc_id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tickloom.llm.common import SPACE_CLASS, cut, words
+from tickloom.llm.common import SPACE_CLASS, cut, fresh, words
 
 FIELD = "<*>"
-#: Leading tokens of a leaf, tokens that a line needs, distinct texts in which a template recurs, share of constants.
-DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 3, 5, 3, 0.6
+TOKEN = f"[^{SPACE_CLASS[1:-1]}]+"
+#: Leading tokens of a leaf, tokens of a whole line from which on it has fields, tokens that a sentence inside a line needs.
+DEPTH, MIN_TOKENS, MIN_SENTENCE = 3, 5, 8
+#: Distinct texts in which a template recurs, and share of the leaf's texts (MIN_DOCS at least) that make a token constant.
+MIN_DOCS, MIN_SHARE = 3, 0.1
+#: Share of constants among all tokens, and among the unmasked ones after the leading tokens.
+MIN_CONSTANT = 0.6
 #: Buckets of the filter that says which documents are read again.
 FILTER = 1 << 20
+#: The place of a missing doc_id in the order of documents: last.
+NO_ID = (1 << 63) - 1
 
 
 def masked(line: Column) -> Column:
@@ -27,147 +36,178 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), replaced).otherwise(line)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+def units(text: Column) -> Column:
+    """The text in pieces that end after a newline, or after a full stop, ! or ? with a blank or tab; the last may be ''."""
+    return F.split(F.coalesce(text, F.lit("")), "(?<=\n)|(?<=[.!?][ \t])")
 
 
-def line_keys(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, text_key, line_key, leaf and n_tokens of every line with enough tokens."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("line"))
-    count = F.regexp_count("line", F.lit(f"[^{SPACE_CLASS[1:-1]}]+"))
-    lines = lines.select("doc_id", "text_key", masked(F.col("line")).alias("line")).withColumn("n_tokens", count)
-    # Only the leading tokens are cut off; the last piece holds the rest of the line.
-    leading = F.filter(F.split("line", f"{SPACE_CLASS}+", depth + 2), lambda w: w != "")
-    lines = lines.where(F.col("n_tokens") >= min_tokens).withColumn("t", leading)
-    leaf = F.xxhash64("n_tokens", *[F.get("t", F.lit(i)) for i in range(depth)])
-    return lines.select("doc_id", "text_key", F.xxhash64("line").alias("line_key"), leaf.alias("leaf"), "n_tokens")
+def _line(unit: Column) -> Column:
+    """A unit without white space at its ends, masked."""
+    return masked(F.trim(unit, F.lit(" \t\r\n")))
 
 
-def templates(docs: DataFrame, keys: DataFrame, min_docs: int, min_constant: float, depth: int | None = None) -> DataFrame:
-    """line_key, template (a hash) and shown (the template's text) of the lines of keys that are constant enough.
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
 
-    With depth, the tokens after the leading ones, which all lines of a leaf share, must be constant enough as well;
-    masked tokens don't count there.
-    """
-    line = ["line_key", "leaf", "n_tokens"]
-    distinct = keys.groupBy(*line, "text_key").agg(F.min("doc_id").alias("doc_id"))
-    counted = cut(distinct.groupBy(*line).agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id")))
-    sought = counted.groupBy("doc_id").agg(F.collect_list(F.struct(*line, "docs")).alias("sought"))
-    # The text of one document for each distinct line. A filter of at most FILTER rows keeps most others from the shuffle.
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    buckets = counted.select(bucket.alias("_bucket")).distinct()
-    found = docs.select("doc_id", "text").join(F.broadcast(buckets), bucket == F.col("_bucket"), "left_semi").join(sought, "doc_id")
-    lines = found.select("sought", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), masked))).alias("line"))
-    lines = lines.select(
-        F.get(F.filter("sought", lambda s: s["line_key"] == F.xxhash64("line")), F.lit(0)).alias("s"), "line"
-    ).where("s is not null")
-    lines = cut(lines.select("s.*", words(F.col("line")).alias("t")).dropDuplicates(["line_key"]))
-    tokens = lines.select(*line, "docs", F.posexplode("t").alias("pos", "token"))
-    support = tokens.where(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support"))
-    constant = support.where(F.col("support") >= min_docs).withColumn("constant", F.lit(1)).drop("support")
-    parsed = tokens.join(constant, ["leaf", "pos", "token"], "left").groupBy(*line).agg(
-        F.sort_array(
-            F.collect_list(F.struct("pos", F.when(F.col("constant") == 1, F.col("token")).otherwise(FIELD).alias("token")))
-        ).alias("parts"),
-        F.sum(F.coalesce("constant", F.lit(0))).alias("n_constant"),
-        F.sum(F.when(F.col("pos") >= (depth or 0), F.coalesce("constant", F.lit(0))).otherwise(0)).alias("later_constant"),
-        F.sum(F.when((F.col("pos") >= (depth or 0)) & (F.col("token") != FIELD), 1).otherwise(0)).alias("later"),
+
+def unit_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, pos, line_key, leaf and n_tokens of every unit that has a template."""
+    cutting = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("text_key"), units(F.col("text")).alias("units"))
+    marked = F.transform(
+        "units",
+        lambda u, i: F.struct(
+            u.alias("unit"),
+            (((i == 0) | F.endswith(F.get("units", i - 1), F.lit("\n"))) & (F.endswith(u, F.lit("\n")) | (F.coalesce(F.get("units", i + 1), F.lit("")) == ""))).alias("whole"),
+        ),
     )
-    if depth is not None:
-        parsed = parsed.where(F.col("later_constant") >= min_constant * F.col("later"))
-    shown = F.array_join(F.transform("parts", lambda p: p["token"]), " ")
-    return parsed.where(F.col("n_constant") >= min_constant * F.col("n_tokens")).select(
-        "line_key", F.xxhash64("leaf", shown).alias("template"), shown.alias("shown")
+    rows = cutting.select("doc_id", "text_key", F.posexplode(marked).alias("pos", "u"))
+    rows = rows.select("doc_id", "text_key", "pos", "u.whole", _line(F.col("u.unit")).alias("line"))
+    rows = rows.withColumn("n_tokens", F.regexp_count("line", F.lit(TOKEN)))
+    worded = F.replace("line", F.lit(FIELD), F.lit("")).rlike(TOKEN)
+    rows = rows.where((F.col("n_tokens") >= MIN_SENTENCE) | (F.col("whole") & ((F.col("n_tokens") >= MIN_TOKENS) | worded)))
+    # Only the leading tokens are cut off; the last piece holds the rest of the line.
+    leading = F.split("line", f"{SPACE_CLASS}+", DEPTH + 1)
+    rows = rows.withColumn("t", F.when(F.col("n_tokens") >= MIN_TOKENS, leading))
+    deep = F.xxhash64("n_tokens", *[F.get("t", F.lit(i)) for i in range(DEPTH)])
+    leaf = F.when(F.col("n_tokens") >= MIN_TOKENS, deep).otherwise(F.xxhash64("n_tokens", "line"))
+    return rows.select("doc_id", "text_key", "pos", F.xxhash64("line").alias("line_key"), leaf.alias("leaf"), "n_tokens")
+
+
+def _tokens(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """lines (with place: doc_id, text_key and pos of one of its units) and t, the line's tokens."""
+    sought = lines.groupBy("place.doc_id", "place.text_key").agg(F.collect_list(F.struct("place.pos", *lines.columns)).alias("sought"))
+    # A filter of at most FILTER rows keeps most of the other documents from the shuffle.
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    buckets = lines.select(F.pmod(F.xxhash64("place.doc_id"), F.lit(FILTER)).alias("bucket")).distinct()
+    texts = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.join(F.broadcast(buckets), bucket == F.col("bucket"), "left_semi").join(sought, ["doc_id", "text_key"])
+    found = texts.select("sought", units(F.col("text")).alias("units"))
+    found = found.select(F.explode(F.transform("sought", lambda s: F.struct(s.alias("s"), _line(F.get("units", s["pos"])).alias("line")))).alias("f"))
+    found = found.select(*[F.col(f"f.s.{c}").alias(c) for c in lines.columns if c != "place"], words(F.col("f.line")).alias("t"))
+    return found.dropDuplicates(["line_key"])
+
+
+def templates(docs: DataFrame, pairs: DataFrame, min_docs: int, min_share: float, min_constant: float) -> DataFrame:
+    """line_key and template (a hash) of every line of pairs."""
+    long = F.col("n_tokens") >= MIN_TOKENS
+    line = ["line_key", "leaf", "n_tokens"]
+    counted = pairs.where(long).groupBy(*line).agg(F.sum(F.when(F.col("lines") == 1, 1).otherwise(0)).alias("single"), F.min("place").alias("place"))
+    lines = cut(_tokens(docs, cut(counted)))
+    tokens = lines.select(*line, "single", F.posexplode("t").alias("at", "token"))
+    # Texts that have a token there: those with one line in the leaf are added up by lines, the others are told apart.
+    slot = ["leaf", "at", "token"]
+    alone = tokens.where((F.col("token") != FIELD) & (F.col("single") > 0)).groupBy(*slot).agg(F.sum("single").alias("texts"))
+    several = pairs.where(long & (F.col("lines") > 1)).select("line_key", "text_key").join(lines.select("line_key", "leaf", "t"), "line_key")
+    several = several.select("leaf", "text_key", F.posexplode("t").alias("at", "token")).where(F.col("token") != FIELD)
+    several = several.distinct().groupBy(*slot).agg(F.count("*").alias("texts"))
+    support = alone.unionByName(several).groupBy(*slot).agg(F.sum("texts").alias("texts")).where(F.col("texts") >= min_docs)
+    in_leaf = cut(pairs.where(long & F.col("of_text")).groupBy("leaf").agg(F.count("*").alias("all_texts")))
+    constant = support.join(in_leaf, "leaf").where(F.col("texts") >= min_share * F.col("all_texts")).select(*slot, F.lit(1).alias("constant"))
+    hit = F.coalesce("constant", F.lit(0))
+    later = F.col("at") >= DEPTH
+    parsed = tokens.join(constant, slot, "left").groupBy(*line).agg(
+        F.sort_array(F.collect_list(F.struct("at", "token", hit.alias("constant")))).alias("parts"),
+        F.sum(hit).alias("n_constant"),
+        F.sum(F.when(later, hit).otherwise(0)).alias("later_constant"),
+        F.sum(F.when(later & (F.col("token") != FIELD), 1).otherwise(0)).alias("later"),
     )
+    enough = (F.col("n_constant") >= min_constant * F.col("n_tokens")) & (F.col("later_constant") >= min_constant * F.col("later"))
+    general = F.transform("parts", lambda p: F.when(p["constant"] == 1, p["token"]).otherwise(FIELD))
+    itself = F.transform("parts", lambda p: p["token"])
+    shown = F.array_join(F.when(enough, general).otherwise(itself), " ")
+    # A line too short for fields is its own template and alone in its leaf.
+    short = pairs.where(~long).select("line_key", F.col("leaf").alias("template")).distinct()
+    return parsed.select("line_key", F.xxhash64("leaf", shown).alias("template")).unionByName(short)
 
 
 def recurring(
-    docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, depth: int = DEPTH, min_tokens: int = MIN_TOKENS,
-    beyond: bool = False,
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_constant: float = MIN_CONSTANT
 ) -> DataFrame:
-    """doc_id and line_key of the lines to drop.
+    """doc_id, text_key and pos of the units to drop.
 
-    Documents are counted by distinct texts, so exact copies alone don't make their lines recur. Leaves with fewer lines
-    than a template needs, or of a single text, are left out first; the rest is what later steps shuffle.
+    Documents are counted by distinct texts, so exact copies alone don't make their lines recur, nor do repeats in one
+    text. Leaves with fewer units than a template needs, or of a single text, are left out first.
     """
-    keys = cut(line_keys(docs, depth, min_tokens))
+    keys = cut(unit_keys(docs))
     busy = keys.groupBy("leaf").agg(F.count("*").alias("n"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
-    # Written, so that both sides of the join come straight from a shuffle and Spark can split a leaf's lines.
+    # Written, so that both sides of the join come straight from a shuffle and Spark can split a leaf's units.
     busy = cut(busy.where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"))
     keys = cut(keys.join(busy, "leaf"))
-    of_line = cut(templates(docs, keys, min_docs, min_constant, depth if beyond else None).select("line_key", "template"))
-    # Distinct before the join, so that a line in a third of all rows is small.
-    used = keys.groupBy("line_key", "text_key").agg(F.min("doc_id").alias("first")).join(of_line, "line_key")
+    pairs = keys.groupBy("line_key", "leaf", "n_tokens", "text_key").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("place"))
+    of_text = Window.partitionBy("leaf", "text_key")
+    pairs = cut(
+        pairs.withColumn("lines", F.count("*").over(of_text))
+        .withColumn("of_text", F.row_number().over(of_text.orderBy("line_key")) == 1)
+    )
+    of_line = cut(templates(docs, pairs, min_docs, min_share, min_constant))
+    used = pairs.select("line_key", "text_key", F.col("place.doc_id").alias("first")).join(of_line, "line_key")
     texts = used.groupBy("template", "text_key").agg(F.min("first").alias("first"))
     chosen = texts.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    chosen = of_line.join(chosen.where(F.col("texts") >= min_docs), "template").select("line_key", "first")
-    return keys.join(chosen, "line_key").where(F.col("doc_id") != F.col("first")).select("doc_id", "line_key")
-
-
-def recurring_short(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id and line_key of the lines to drop that have fewer than min_tokens tokens: the masked line is the template.
-
-    Lines whose tokens are all masked have none, so columns of figures stay.
-    """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(_lines(F.col("text"))).alias("line"))
-    token = f"[^{SPACE_CLASS[1:-1]}]+"
-    lines = lines.where(F.regexp_count("line", F.lit(token)).between(1, min_tokens - 1))
-    lines = lines.select("doc_id", "text_key", masked(F.col("line")).alias("line"))
-    worded = lines.where(F.replace("line", F.lit(FIELD), F.lit("")).rlike(token))
-    keys = cut(worded.select("doc_id", "text_key", F.xxhash64("line").alias("line_key")).distinct())
-    texts = keys.groupBy("line_key", "text_key").agg(F.min("doc_id").alias("first"))
-    chosen = texts.groupBy("line_key").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    # Written, so that Spark can split a line that a large share of the documents have.
-    chosen = cut(chosen.where(F.col("texts") >= min_docs).select("line_key", "first"))
-    return keys.join(chosen, "line_key").where(F.col("doc_id") != F.col("first")).select("doc_id", "line_key")
+    chosen = cut(of_line.join(cut(chosen.where(F.col("texts") >= min_docs)), "template").select("line_key", "first"))
+    return keys.join(chosen, "line_key").where(F.col("doc_id") != F.col("first")).select("doc_id", "text_key", "pos")
 
 
 def drop_recurring(
-    docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, beyond: bool = False, short: bool = False
-) -> DataFrame:
-    """docs with recurring lines taken out of the text, n_lines and n_dropped.
-
-    Lines are what newlines separate. Lines of fewer than MIN_TOKENS tokens stay without short. A null text stays null with no lines; a
-    text that loses all its lines is empty. Rows of one doc_id lose the same lines; rows without doc_id lose none. Other
-    columns pass through (earlier n_lines and n_dropped are replaced). All documents are counted. With beyond, a template
-    must be constant enough after its leading tokens too, so lines that only begin alike stay; with short, shorter lines go by recurring_short (the SQL is
-    without both).
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_constant: float = MIN_CONSTANT
+) -> DataFrame:
+    """docs with recurring units taken out of the text, n_lines (lines of the text before) and n_dropped (units).
+
+    A unit is a line or, in a line of several sentences, a sentence with the white space after it; a line keeps its newline
+    unless all of it goes. Whole lines need a token without a digit, or MIN_TOKENS tokens; sentences inside lines need
+    MIN_SENTENCE, so common short sentences of prose stay. A null text stays null with no lines; a text that loses all its
+    units is empty. Rows that share a doc_id count as one document, as do those without doc_id, which come last. Repeated
+    rows lose the same units. Other columns pass through (earlier n_lines and n_dropped are replaced). All documents are
+    counted. An empty table gives none. Time grows in proportion to a text's units, however many of them recur.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_gone")]
-    gone = recurring(docs.select("doc_id", "text"), min_docs, min_constant, beyond=beyond)
-    if short:
-        gone = gone.union(recurring_short(docs.select("doc_id", "text"), min_docs))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("line_key").alias("_gone"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(gone, "doc_id", "left")
-    lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", F.xxhash64(masked(x))))
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long")
-    text = F.when(F.col("_kept").isNotNull() & F.col("text").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], n_lines.alias("n_lines"), dropped.alias("n_dropped")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    gone = recurring(docs.select("doc_id", "text"), min_docs, min_share, min_constant)
+    gone = gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    # One character for each unit up to the last one that goes: 1 if it goes.
+    before = lambda i: F.coalesce(F.get("gone", i - 1), F.lit(-1))
+    flags = F.array_join(F.transform("gone", lambda p, i: F.concat(F.repeat(F.lit("0"), p - before(i) - 1), F.lit("1"))), "")
+    doc_id, text_key, mark, cuts = fresh(docs, "doc_id_", "text_key_", "flags_", "units_")
+    gone = gone.select(
+        F.col("doc_id").alias(doc_id), F.col("text_key").alias(text_key), flags.cast("binary").alias(mark), F.size("gone").cast("long").alias("n_dropped")
     )
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], _id().alias(doc_id), F.xxhash64("text").alias(text_key))
+    joined = rows.join(gone, [doc_id, text_key], "left").withColumn(cuts, F.when(F.col(mark).isNotNull(), units(F.col("text"))))
+    newline = F.lit("\n")
+    rest = lambda u, i: F.when((i > 0) & F.endswith(u, newline) & ~F.endswith(F.get(cuts, i - 1), newline), newline).otherwise("")
+    kept = F.transform(cuts, lambda u, i: F.when(F.substring(mark, i + 1, F.lit(1)) == F.lit(b"1"), rest(u, i)).otherwise(u))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    text = F.when(F.col(cuts).isNotNull(), F.array_join(kept, "")).otherwise(F.col("text"))
+    return joined.select(
+        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], n_lines.alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped")
+    )
 
 
 # The same for DuckDB, with strings in place of hashes.
 SQL = r"""
-WITH docs AS (SELECT doc_id, text, coalesce(text, '') AS body FROM documents),
-raw AS (SELECT doc_id, text, unnest(string_split(body, chr(10))) AS raw_line, unnest(range(len(string_split(body, chr(10))))) AS line_no FROM docs),
-marked AS (SELECT *, regexp_replace(raw_line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS line FROM raw),
-cut AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS t FROM marked),
-keys AS (SELECT doc_id, text, line_no, line, t, len(t) AS n, len(t)::varchar || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM cut WHERE len(t) >= 5),
-distinct_lines AS (SELECT leaf, line, any_value(t) AS t, any_value(n) AS n, count(DISTINCT coalesce(text, '')) AS docs FROM keys GROUP BY leaf, line),
-tokens AS (SELECT leaf, line, n, docs, unnest(t) AS token, unnest(range(n)) AS pos FROM distinct_lines),
-support AS (SELECT leaf, pos, token, sum(docs) >= 3 AND token <> '<*>' AS constant FROM tokens GROUP BY leaf, pos, token),
-parsed AS (SELECT leaf, line, any_value(n) AS n, sum(constant::int) AS n_constant,
-  string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS template
-  FROM tokens JOIN support USING (leaf, pos, token) GROUP BY leaf, line),
-used AS (SELECT k.doc_id, k.text, k.line_no, k.leaf, p.template FROM keys k JOIN parsed p USING (leaf, line) WHERE p.n_constant >= 0.6 * p.n),
-chosen AS (SELECT leaf, template, min(doc_id) AS first FROM used GROUP BY leaf, template HAVING count(DISTINCT text) >= 3),
-gone AS (SELECT DISTINCT doc_id, line_no FROM used JOIN chosen USING (leaf, template) WHERE doc_id <> first)
-SELECT raw.doc_id, CASE WHEN any_value(raw.text) IS NULL THEN 0 ELSE count(*) END AS n_lines, count(gone.line_no) AS n_dropped,
-  CASE WHEN any_value(raw.text) IS NULL THEN NULL
-    ELSE coalesce(string_agg(raw_line, chr(10) ORDER BY raw.line_no) FILTER (gone.line_no IS NULL), '') END AS text
-FROM raw LEFT JOIN gone USING (doc_id, line_no) GROUP BY raw.doc_id
+WITH docs AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS id FROM documents),
+cuts AS (SELECT DISTINCT id, text, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?][ \t]|\z)'), lambda u: u <> '') AS units FROM docs),
+flat AS (SELECT id, text, unnest(units) AS unit, unnest(range(len(units))) AS pos, len(units) AS n_units FROM cuts),
+raw AS (SELECT *, pos = 0 OR ends_with(lag(unit) OVER (PARTITION BY id, text ORDER BY pos), chr(10)) AS starts FROM flat),
+marked AS (SELECT id, text, unit, pos, starts, starts AND (ends_with(unit, chr(10)) OR pos = n_units - 1) AS whole,
+  regexp_replace(trim(unit, concat(' ', chr(9), chr(10), chr(13))), '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g') AS line FROM raw),
+split AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS t FROM marked),
+keys AS (SELECT id, text, pos, t, len(t) AS n, array_to_string(t, ' ') AS line,
+  len(t)::varchar || ' ' || CASE WHEN len(t) >= 5 THEN array_to_string(t[1:3], ' ') ELSE array_to_string(t, ' ') END AS leaf
+  FROM split WHERE len(t) >= 8 OR whole AND (len(t) >= 5 OR len(list_filter(t, lambda w: replace(w, '<*>', '') <> '')) > 0)),
+lines AS (SELECT leaf, line, any_value(t) AS t, any_value(n) AS n FROM keys GROUP BY leaf, line),
+tokens AS (SELECT leaf, line, n, unnest(t) AS token, unnest(range(n)) AS place FROM lines),
+leaves AS (SELECT leaf, count(DISTINCT text) AS all_texts FROM keys GROUP BY leaf),
+seen AS (SELECT k.leaf, k.text, unnest(k.t) AS token, unnest(range(k.n)) AS place FROM keys k),
+support AS (SELECT s.leaf, place, token, token <> '<*>' AND count(DISTINCT text) >= 3 AND count(DISTINCT text) >= 0.1 * any_value(all_texts) AS constant
+  FROM seen s JOIN leaves USING (leaf) GROUP BY s.leaf, place, token),
+parsed AS (SELECT leaf, line, any_value(n) AS n, sum(constant::int) AS n_constant, coalesce(sum(constant::int) FILTER (place >= 3), 0) AS later_constant,
+  count(*) FILTER (place >= 3 AND token <> '<*>') AS later, string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY place) AS general
+  FROM tokens JOIN support USING (leaf, place, token) GROUP BY leaf, line),
+used AS (SELECT k.id, k.text, k.pos, k.leaf, CASE WHEN p.n >= 5 AND n_constant >= 0.6 * p.n AND later_constant >= 0.6 * later THEN general ELSE p.line END AS template
+  FROM keys k JOIN parsed p USING (leaf, line)),
+chosen AS (SELECT leaf, template, min(id) AS first FROM used GROUP BY leaf, template HAVING count(DISTINCT text) >= 3),
+gone AS (SELECT DISTINCT id, text, pos FROM used JOIN chosen USING (leaf, template) WHERE id <> first),
+kept AS (SELECT raw.id, raw.text, count(gone.pos) AS n_dropped, string_agg(CASE WHEN gone.pos IS NULL THEN unit WHEN NOT starts AND ends_with(unit, chr(10)) THEN chr(10) ELSE '' END, ''
+  ORDER BY raw.pos) AS body FROM raw LEFT JOIN gone USING (id, text, pos) GROUP BY raw.id, raw.text)
+SELECT doc_id, CASE WHEN docs.text IS NULL THEN 0 ELSE len(string_split(docs.text, chr(10))) END AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+  coalesce(body, docs.text) AS text FROM docs LEFT JOIN kept ON docs.id = kept.id AND docs.text IS NOT DISTINCT FROM kept.text
 """
