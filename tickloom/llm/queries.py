@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import bpe, langid, line_templates, packing, phrases, quality, secrets, sharding, simhash, token_counts
-from tickloom.llm.common import table
+from tickloom.llm.common import new_folder, table
 
 
 def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op7_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.document_findings(table(spark, sf_dir, "documents"))
+    return secrets.ledger_findings(table(spark, sf_dir, "documents"), new_folder(spark, "ledger"))
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices
+from tickloom.llm.common import fresh, slices
 
 RULE_VERSION = 1
 LEDGER = "blob binary, rule_version int, spans array<struct<kind:string, start:int, end:int>>"
@@ -33,7 +34,8 @@ HEX = re.compile("[0-9a-f]{24,}")
 #: Further kinds that the method adds, after the base ones.
 ADDED = {
     "private_key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # Of a run of token characters only the first eyJ can begin a match, so a run is passed once; "at" is where it begins.
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(?P<at>)eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     "vendor": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|[sr]k_live_[A-Za-z0-9]{20,})"),
     "url_login": re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@"),
 }
@@ -57,23 +59,24 @@ def find(text: str) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for kind, rule in ADDED.items():
         if any(h in text for h in HINTS[kind]):
-            found += [(kind, m.start(), m.end()) for m in rule.finditer(text)]
+            found += [(kind, m.start("at") if "at" in rule.groupindex else m.start(), m.end()) for m in rule.finditer(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def with_blobs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column blob; a null text is the empty blob."""
-    return docs.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+def blob() -> Column:
+    """The address of a row's text; a null text is the empty blob."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
     """The ledger rows to add for the texts of docs: blob, rule_version, spans (empty if nothing is found).
 
-    docs: column text, any number of versions and copies. Copies meet after a partial aggregation, so a text that a
-    third of all rows share is shuffled once per task. Blobs that the ledger has for this rule version aren't scanned.
+    docs: column text, any number of versions and copies; nulls count as empty texts, an empty table gives no rows.
+    Copies meet after a partial aggregation, so a text that a third of all rows share is shuffled once per task. Blobs that
+    the ledger has for this rule version aren't scanned. Rules pass a text once, whatever its length.
     """
     # A blob's text is any of its copies; they are equal.
-    blobs = with_blobs(docs.select("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = docs.select(blob().alias("blob"), F.col("text").cast("string").alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
 
@@ -90,16 +93,34 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = R
     return blobs.mapInArrow(work, LEDGER)
 
 
-def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """docs (with all their columns) and spans: an array, empty where the blob has no findings.
+def update(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """Bring the ledger in the folder path up to date with the texts of docs, and give all of it.
 
-    Only blobs with findings join, so clean texts cost nothing; equal texts all get their blob's findings.
+    The folder is made if need be and should be one that outlives the job: what earlier runs scanned, of any version of any
+    document, isn't scanned again, and a new rule version scans all blobs that are still there once more.
     """
-    some = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = with_blobs(docs).join(some, F.col("blob") == F.col("_blob"), "left")
+    spark = docs.sparkSession
+    try:
+        seen = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException:
+        seen = None
+    scan(docs, seen, rule_version).write.mode("append").partitionBy("rule_version").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def findings(docs: DataFrame, ledger: DataFrame, name: str = "spans", rule_version: int = RULE_VERSION) -> DataFrame:
+    """docs (with all their columns) and the array of findings in the column name (an earlier one is replaced).
+
+    The array is empty where the blob has no findings. Only blobs with findings join, so clean texts cost nothing; equal
+    texts all get their blob's findings, and a ledger that has a blob twice changes nothing.
+    """
+    key, spans = fresh(docs, "blob_", "spans_")
+    some = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+    some = some.groupBy(F.col("blob").alias(key)).agg(F.first("spans").alias(spans))
+    joined = docs.withColumn(key, blob()).join(some, key, "left")
     none = F.array().cast("array<struct<kind:string, start:int, end:int>>")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("blob", "spans")]
-    return joined.select(*kept, F.coalesce("_spans", none).alias("spans"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+    return joined.select(*kept, F.coalesce(spans, none).alias(name))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -112,40 +133,49 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def _covered(text: str, spans: list[dict]) -> str:
+    parts, at = [], 0
+    for s in spans:
+        if s["end"] > at:
+            parts += [text[at : max(at, s["start"])], f"[{s['kind']}]" if s["start"] >= at else ""]
+            at = s["end"]
+    return "".join(parts) + text[at:]
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every finding in the text replaced by its kind in brackets; other texts stay as they are."""
+    """docs with every finding in the text replaced by its kind in brackets; other texts, nulls too, stay as they are.
+
+    All columns stay, whatever their names. Only texts with findings reach Python.
+    """
 
-    def covered(text: str | None, spans: list[dict]) -> str | None:
-        parts, at = [], 0
-        for s in spans:
-            if s["end"] > at:
-                parts += [text[at : max(at, s["start"])], f"[{s['kind']}]" if s["start"] >= at else ""]
-                at = s["end"]
-        return text if text is None else "".join(parts) + text[at:]
+    @F.arrow_udf("string")
+    def covered(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        both = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([None if t is None else _covered(t, s) for t, s in both], pa.string())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            spans, texts = batch.column("spans").to_pylist(), batch.column("text")
-            hit = [i for i, s in enumerate(spans) if s]
-            if hit:
-                changed = texts.to_pylist()
-                for i in hit:
-                    changed[i] = covered(changed[i], spans[i])
-                texts = pa.array(changed, texts.type)
-            columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "spans"]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != "spans"])
-
-    return findings(docs, scan(docs)).mapInArrow(work, docs.schema)
+    (name,) = fresh(docs, "found_")
+    found = findings(docs, scan(docs), name)
+    some = F.size(name) > 0
+    hidden = covered(F.when(some, F.col("text")), F.when(some, F.col(name)))
+    return found.withColumn("text", F.when(some, hidden).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def document_findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, counts and digests of each row of documents; with a ledger, its findings count as well."""
+    """doc_id, counts and digests of each row of documents; with a ledger, only what it lacks is scanned.
+
+    A null text is empty; repeated rows and null ids give a row each, an empty table none; other columns aren't returned.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     new = scan(rows, ledger)
-    known = new if ledger is None else new.unionByName(ledger.filter(F.col("rule_version") == RULE_VERSION))
-    return digest(findings(rows, known).select("doc_id", "spans"))
+    return digest(findings(rows, new if ledger is None else new.unionByName(ledger)).select("doc_id", "spans"))
+
+
+def ledger_findings(docs: DataFrame, path: str) -> DataFrame:
+    """document_findings() in two runs over a ledger in the folder path, as a nightly job would have it: the first run sees
+    some half of the documents, the second one all of them and scans the blobs that are new to it."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    update(rows.where(F.coalesce(F.xxhash64("doc_id") > 0, F.lit(False))), path)
+    return digest(findings(rows, update(rows, path)).select("doc_id", "spans"))
 
 
 def base_sha256(spans: list[tuple[str, int, int]]) -> str:
