@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import slices, texts_of
+from tickloom.llm.common import fresh, slices, texts_of
 
 NGRAM = 3
 #: Slots of the filter (a power of two) and slots per n-gram.
 SLOTS, PROBES = 1 << 20, 3
 #: An n-gram belongs to a language if it makes up this share of the language's n-grams, so at most 1 / SHARE do.
 SHARE = 2e-5
-#: Labelled rows that the fit reads, up to chance; of more, each is taken with the same probability.
-FIT_ROWS = 40_000
+#: Labelled rows of a language that the fit reads, up to chance; of more, each is taken with the same probability.
+FIT_ROWS = 10_000
+#: Languages that are learned, those with most labelled rows.
+LANGUAGES = 256
 UNKNOWN = "und"
 #: Bytes of text that are looked up at a time: the lookup holds some hundred bytes for each character.
 SLICE = 1 << 20
@@ -87,13 +89,14 @@ def slots(keys: np.ndarray, probe: int) -> np.ndarray:
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, share: float = SHARE) -> Model:
     """A model from labelled rows (columns text and lang; rows with a null in either are left out).
 
-    The fit reads about fit_rows rows, chosen by a seeded draw, all of them if there are fewer. What reaches the
-    driver is bounded: at most 1 / share n-grams of each language. No labelled rows give a model without languages.
+    The fit reads about fit_rows rows of each language, chosen by a seeded draw, all of them if there are fewer, so rare
+    languages are learned from any size of input. What reaches the driver is bounded: at most LANGUAGES languages and
+    1 / share n-grams of each. No labelled rows give a model without languages. Repeated rows count each.
     """
-    rows = rows.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    total = rows.count()
-    if total > fit_rows:
-        rows = rows.where(F.rand(7) < fit_rows / total)
+    rows = rows.select(F.col("text").cast("string").alias("text"), "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rates = rows.sparkSession.createDataFrame([(r["lang"], fit_rows / r["n"]) for r in counted], "lang string, rate double")
+    rows = rows.join(F.broadcast(rates), "lang").where(F.rand(7) < F.col("rate")).select("text", "lang")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
@@ -146,22 +149,25 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     model, whose size is fixed by SLOTS and the number of languages, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only the text goes to Python; the other columns wait in the JVM.
+    @F.arrow_udf("lang string, score double")
+    def predicted(texts: pa.Array) -> pa.Array:
         known = shared.value
         chance = known.chance()
-        for batch in slices(batches, limit=SLICE):
+        langs, tops = [], []
+        for batch in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), limit=SLICE):
             best, top, has = scores(known, texts_of(batch).to_pylist(), chance)
             has &= bool(known.languages)
-            lang = [known.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(np.where(has, top, 0.0))], [*names, "lang_pred", "score"]
-            )
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double")
+            langs += [known.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+            tops.append(np.where(has, top, 0.0))
+        scored = pa.array(np.concatenate(tops) if tops else [], pa.float64())
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), scored], ["lang", "score"])
+
+    (found,) = fresh(docs, "found_")
+    rows = docs.withColumn(found, predicted(F.col("text").cast("string")))
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.col(f"{found}.lang").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
 
 
 def held_out() -> F.Column:
