@@ -1,9 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard likeness of at least 4/5, found exactly.
 
-Texts with equal sets are one node. All shingles have one order, rare ones first; of two sets of likeness 4/5 or more, each
-has a shingle of the other among its first n - ceil(4 n / 5) + 1 (n: its size). Sets are filed under these, and all pairs that
-meet under a shingle are compared in full unless other links connect them already. The order says how much work there is,
-never what is found, so it may come from a sample.
+Texts with equal sets are one node. Nodes whose SimHash fingerprints (of the five-word shingles) link by pigeonring filtering
+are compared first; that finds most copies. A fingerprint can't promise a likeness, so what it misses comes from a prefix
+filter: all shingles have one order, rare ones first; of two sets of likeness 4/5 or more, each has a shingle of the other
+among its first n - ceil(4 n / 5) + 1 (n: its size). Sets are filed under these, and all pairs that meet under a shingle are
+compared in full unless other links connect them already. The order says how much work there is, never what is found, so it
+may come from a sample.
 
 Where many sets meet, the most central one (that with the largest share of its shingles filed with others) is compared with
 all of them first, so a cloud of copies around a text costs as many comparisons as it has members.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, slices, texts_of, written
 from tickloom.llm.graph import components
-from tickloom.llm.simhash import _LOWER, SEED, first_rows, numbered
+from tickloom.llm.simhash import _LOWER, SEED, first_rows, links, numbered
 
 WORDS = 5
 #: Rows that the order of shingles is learned from (about), times that a shingle counts there, most shingles that are kept.
@@ -60,6 +62,14 @@ def first_grams(g: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarr
     return g[np.lexsort((g, rank))[: n - -(-4 * n // 5) + 1]]
 
 
+def bits_of(g: np.ndarray) -> int:
+    """SimHash of a set of shingles: the bits that over half of them have; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(g), 4096):
+        ones += np.unpackbits(g[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(g), bitorder="little").view("<u8")[0])
+
+
 def _lists(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)])
     flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -70,7 +80,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of a sample of rows and how often they are there."""
     total = rows.count()
     if total > SAMPLE:
-        rows = rows.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
+        rows = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -85,7 +95,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """_row, node (hash of the set), n (its size) and filed (shingles under which it is filed) of each row."""
+    """row, node (hash of the set), fp (its SimHash), n (its size) and filed (shingles under which it is filed) of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +105,15 @@ def _sets(rows: DataFrame) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_row"), pa.array(node), pa.array([len(g) for g in found], pa.int32()),
+                    batch.column("row"), pa.array(node), pa.array(np.array([bits_of(g) for g in found], np.uint64).view(np.int64)),
+                    pa.array([len(g) for g in found], pa.int32()),
                     _lists([first_grams(g, often, times) for g in found]),
                 ],
-                ["_row", "node", "n", "filed"],
+                ["row", "node", "fp", "n", "filed"],
             )
 
-    return rows.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(
-        work, "_row long, node long, n int, filed array<long>"
+    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(
+        work, "row long, node long, fp long, n int, filed array<long>"
     )
 
 
@@ -176,14 +187,14 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose likeness is 4/5 or more, by all shingles of both."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("_row").alias("_row"))
+    asked = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = _lists([grams(t) for t in texts_of(batch).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "grams"])
 
-    texts = rows.select("_row", F.col("text").cast("string").alias("text")).join(asked, "_row").select("node", "text")
+    texts = rows.select("row", F.col("text").cast("string").alias("text")).join(asked, "row").select("node", "text")
     full = written(texts.mapInArrow(work, "node long, grams array<long>"))
     left = full.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = full.select(F.col("node").alias("b"), F.col("grams").alias("y"))
@@ -191,17 +202,31 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.col("both") >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _simhash_pairs(sets: DataFrame) -> DataFrame:
+    """a and b: pairs of nodes that have one fingerprint or whose fingerprints link (a spanning forest of them)."""
+    of_fp = cut(sets.select("fp", "node").distinct())
+    first = cut(of_fp.groupBy("fp").agg(F.min("node").alias("a")))
+    same = of_fp.join(first, "fp").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    met = links(first, contract=False).distinct()
+    left = first.select(F.col("fp").alias("a"), F.col("a").alias("x"))
+    right = first.select(F.col("fp").alias("b"), F.col("a").alias("y"))
+    met = met.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(met.where("a <> b")).distinct()
+
+
 def near_components(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and root of the sets that are connected to others, but for the roots (see graph.components)."""
+    """node and root of the sets that are connected to others, but for the roots (see graph.components).
+
+    rows: row and text; sets: what _sets() gives for them.
+    """
     nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("filed").alias("filed"))
     entries = cut(_shared(nodes))
     central = entries.groupBy("node").agg((F.count("*") / F.max(F.col("n") - F.ceil(4 * F.col("n") / 5) + 1)).alias("central"))
     entries = cut(entries.join(central, "node"))
-    links, hung = None, None
+    found = cut(_verified(cut(_simhash_pairs(sets)), rows, sets))
+    hung = components(found)
     for step in range(ROUNDS + 1):
-        marked = entries.withColumn("label", F.col("node"))
-        if hung is not None:
-            marked = entries.join(hung, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        marked = entries.join(hung, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         if step < ROUNDS:
             many = marked.where(F.col("size") > FEW)
             if step:
@@ -220,23 +245,24 @@ def near_components(rows: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         if pairs.isEmpty():
             continue
-        found = cut(_verified(pairs, rows, sets))
-        links = found if links is None else links.union(found)
-        hung = components(links)
-    return hung if hung is not None else components(entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+        found = found.union(cut(_verified(pairs, rows, sets)))
+        hung = components(found)
+    return hung
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of near copies, whatever its doc_id: that of the smallest doc_id (null last).
 
-    Words are what ASCII white space separates, ASCII letters in lower case. Rows without words are one component.
+    Words are what ASCII white space separates, ASCII letters in lower case. Rows without words (null, empty) are one
+    component; equal texts are. An empty table stays empty; all columns stay, whatever their names. Whole texts count.
     """
-    rows = numbered(docs)
+    whole, name = numbered(docs)
+    rows = whole.select(F.col(name).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     sets = written(_sets(rows))
     hung = near_components(rows, sets)
-    placed = sets.select("_row", "node").join(rows.select("_row", "doc_id"), "_row")
-    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
+    placed = sets.select("row", "node").join(rows.select("row", "doc_id"), "row")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
     # Copies are combined before the join, so a text in a third of all rows is small.
-    firsts = placed.groupBy("node").agg(F.min(place).alias("first")).select("node", "first.doc_id", "first._row")
-    found = firsts.join(hung, "node", "left").select("_row", "doc_id", F.coalesce("root", "node").alias("component"))
-    return first_rows(rows, found).select(*[F.col(f"`{c}`") for c in docs.columns])
+    firsts = placed.groupBy("node").agg(F.min(place).alias("first")).select("node", "first.doc_id", "first.row")
+    found = firsts.join(hung, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("component"))
+    return first_rows(whole, name, found)

@@ -21,14 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, slices, texts_of, written
+from tickloom.llm.common import cut, fresh, slices, texts_of, written
 from tickloom.llm.graph import components, contracted
 
 WORDS, SEED = 4, 42
 DISTANCE = 4
 SEGMENTS, CHAIN = 5, 2
-#: Members of a key up to which all pairs are tested side by side.
-FEW = 6
+#: Members of a key up to which all pairs are tested side by side, and from which on it is split by its chain's next segment.
+FEW, MANY = 6, 4096
+#: Rows of a split key that are held at a time.
+HELD = 1 << 21
+#: Parts that a component's nodes are dealt into when they get its name.
+SALTS = 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SALT = 0x9E3779B97F4A7C15
 
@@ -128,8 +132,49 @@ def _chains(distance: int, count: int) -> tuple[list[np.ndarray], list[int]]:
     return chains, budgets
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is linked under each key; key is sorted, fp unsigned."""
+def flips(bits: list[int], most: int) -> list[tuple[int, int]]:
+    """Patterns that flip up to so many of these bits, and how many each flips."""
+    return [(sum(1 << b for b in some), n) for n in range(most + 1) for some in combinations(bits, n)]
+
+
+def split_key(key: int, fp: np.ndarray, distance: int, count: int, chain: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A large key's members under keys of a chain that is longer by a segment, a bounded number of rows at a time.
+
+    Two members that are linked from the key's segment on meet under one of the longer keys, as under the key itself; links
+    from other segments on meet under other keys.
+    """
+    bits = segments(count)
+    for first in range(count):
+        mask = sum(1 << b for k in range(chain) for b in bits[(first + k) % count])
+        value = (key ^ (_SALT * (first + 1))) % (1 << 64)
+        if value & ~mask:
+            continue
+        used = np.bitwise_count((fp ^ np.uint64(value)) & np.uint64(mask))
+        following = bits[(first + chain) % count]
+        budget = (chain + 1) * distance // count
+        part = np.uint64(sum(1 << b for b in following))
+        patterns = np.array([(p, n) for p, n in flips(following, budget)], np.uint64)
+        # In rounds by the first bits of the new segment, so that few rows are held at a time.
+        top = min(len(following), max(0, (len(fp) * len(patterns) // HELD).bit_length()))
+        head = np.uint64(sum(1 << b for b in following[:top]))
+        for some in range(1 << top):
+            wanted = np.uint64(sum(1 << b for k, b in enumerate(following[:top]) if some >> k & 1))
+            keys, members = [], []
+            for pattern, n in patterns:
+                longer = (fp & part) ^ pattern
+                ok = (used + np.uint8(n) <= budget) & ((longer & head) == wanted)
+                keys.append(longer[ok])
+                members.append(fp[ok])
+            keys, members = np.concatenate(keys), np.concatenate(members)
+            order = np.argsort(keys, kind="stable")
+            yield keys[order], members[order]
+
+
+def bucket_links(
+    key: np.ndarray, fp: np.ndarray, distance: int, count: int, chain: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is linked under each key; key is sorted, fp unsigned. With chain (the segments that the keys
+    are made of), large keys are split."""
     chains, budgets = _chains(distance, count)
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
@@ -143,6 +188,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int, count: int) ->
         yield a[ok].view(np.int64), b[ok].view(np.int64)
     for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
         waiting = np.unique(fp[s : s + n])
+        if chain is not None and chain < count - 1 and len(waiting) > MANY:
+            # Most of a cloud of copies is reached from one of them; only what isn't is split.
+            ok = _near(np.full(len(waiting), waiting[0]), waiting, distance, chains, budgets)
+            yield np.full(int(ok.sum()), waiting[0]).view(np.int64), waiting[ok].view(np.int64)
+            for keys, members in split_key(int(key[s]) % (1 << 64), waiting, distance, count, chain):
+                if len(keys):
+                    yield from bucket_links(keys.view(np.int64), members, distance, count)
+            continue
         reached: list[int] = []
         while len(waiting) or reached:
             if not reached:
@@ -157,28 +210,37 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int, count: int) ->
                 waiting = waiting[~ok]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, count: int = SEGMENTS, chain: int = CHAIN) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, count: int = SEGMENTS, chain: int = CHAIN, contract: bool = True) -> DataFrame:
     """Pairs a, b of distinct fingerprints (column fp, no repeats) whose components are those of all links.
 
     No link between two components of the result is missed: any two linked fingerprints meet under some key, and the
-    links of a key's members connect all of its members that links connect.
+    links of a key's members connect all of its members that links connect. Without contract, each pair is itself a link
+    (and may repeat).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            # A key's rows follow each other; the last key of a batch waits for the next batch.
-            key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            # A key's rows follow each other; the last key of a batch waits for the batches that go on with it.
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
-                key = np.concatenate((key, batch.column(0).to_numpy()))
-                fp = np.concatenate((fp, batch.column(1).to_numpy().view(np.uint64)))
+                key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
                 whole = int(np.searchsorted(key, key[-1]))
-                if whole:
-                    yield from bucket_links(key[:whole], fp[:whole], distance, count)
-                    key, fp = key[whole:], fp[whole:]
-            if len(key):
-                yield from bucket_links(key, fp, distance, count)
-
-        yield from contracted(pairs())
+                if held and (whole or held[-1][0][-1] != key[0]):
+                    held.append((key[:whole], fp[:whole]))
+                    yield from bucket_links(*map(np.concatenate, zip(*held, strict=True)), distance, count, chain)
+                    held = []
+                elif whole:
+                    yield from bucket_links(key[:whole], fp[:whole], distance, count, chain)
+                held.append((key[whole:], fp[whole:]))
+            if held:
+                yield from bucket_links(*map(np.concatenate, zip(*held, strict=True)), distance, count, chain)
+
+        def plain() -> Iterator[pa.RecordBatch]:
+            for a, b in pairs():
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        yield from contracted(pairs()) if contract else plain()
 
     sorted_rows = filed(fps, distance, count, chain).repartition("key").sortWithinPartitions("key")
     return sorted_rows.mapInArrow(work, "a long, b long")
@@ -192,33 +254,39 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, count: int = SEGM
     than some 10**8 documents, a longer chain keeps keys selective; the result is the same for any count and chain.
     """
     marked = cut(fingerprints(docs))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    hung = components(links(nodes, distance, count, chain))
-    # Nodes that hang on no other are their own root.
-    rooted = nodes.join(hung.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    hung = components(links(nodes, distance, count, chain)).withColumnRenamed("node", "fp")
+    # Only components of several fingerprints need a name of their own. Their nodes are dealt into SALTS parts, so that no
+    # task gets all nodes of one.
+    joint = cut(hung.union(hung.select("root", "root").distinct()))
+    names = joint.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    names = cut(names).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    joint = joint.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    named = joint.join(names, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("joint"))
+    named = cut(nodes.join(named, "fp", "left").select("fp", F.when(F.col("joint"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def document_components(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of each row of documents; nulls, repeats and empties as in near_duplicates()."""
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs and _row, a number of each row, written so that every later read sees the same numbers and texts."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row, written so that every later read sees the same numbers and texts, and its name."""
+    (name,) = fresh(docs, "row_")
+    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
-def first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """One of numbered rows for each component: the smallest by doc_id (null last), then by number.
+def first_rows(rows: DataFrame, name: str, found: DataFrame) -> DataFrame:
+    """One of the numbered rows for each component: the smallest by doc_id (null last), then by number.
 
-    found: _row, doc_id and component of every row, or of those that may be the smallest.
+    found: row, doc_id and component of every row, or of those that may be the smallest.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")
-    kept = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
+    kept = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias(name))
+    return rows.join(kept, name, "left_semi").drop(name)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -226,8 +294,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by number, so rows without a doc_id or with a repeated one only go if their text is a near copy.
     """
-    rows = numbered(docs)
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
-    chosen = first_rows(rows, found.join(rows.select("_row", "doc_id"), "_row"))
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, name = numbered(docs)
+    found = near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    return first_rows(rows, name, found.join(rows.select(F.col(name).alias("row"), "doc_id"), "row"))
