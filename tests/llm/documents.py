@@ -5,7 +5,13 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Names that operators use inside or return.
+CLASHES = (
+    "fp", "blob", "Blob_", "spans", "spans_", "found_", "score", "lang_pred", "shard", "slot", "n_lines", "n_dropped", "key", "number", "row",
+    "row_", "_row", "_kept", "_gone", "_blob", "_spans", "flags_", "units_", "doc_id_", "text_key_", "component_id", "first", "root", "part", "rank",
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -34,9 +40,7 @@ def documents(spark: SparkSession, extra: bool = False) -> DataFrame:
     rows += [rows[5], rows[5]]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     if extra:
-        for name in ("fp", "blob", "spans", "score", "lang_pred", "shard", "slot", "n_lines", "n_dropped", "key", "number"):
-            from pyspark.sql import functions as F
-
+        for name in CLASHES:
             df = df.withColumn(name, F.lit("x"))
     return df
 

@@ -7,13 +7,15 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.documents import documents, empty, texts
 from tests.oracle import DATA, connection, differences
-from tickloom.llm import bpe, langid, line_templates, packing, phrases, quality, queries, secrets, sharding, simhash, token_counts
+from tickloom.llm import bpe, common, langid, line_templates, packing, phrases, quality, queries, secrets, sharding, simhash, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,6 +55,18 @@ def test_matrix_has_its_margins_and_law():
     assert m.sum(1).tolist() == counts and m.sum(0).tolist() == sizes.tolist()
     draws = [sharding.communication_matrix([10, 10], np.array([10, 10]), s)[0, 0] for s in range(400)]
     assert abs(np.mean(draws) - 5) < 0.3 and abs(np.var(draws) - 10 * 10 * 10 * 10 / (20 * 20 * 19)) < 0.4
+    # A large population by its own method, and small ones by both.
+    rng = np.random.Generator(np.random.PCG64(4))
+    for good, bad, taken in ((30, 50, 20), (1000, 3000, 500), (25 * 10**9, 975 * 10**9, 10**9)):
+        n = good + bad
+        found = np.array([sharding.draw(rng, good, bad, taken, 0) for _ in range(4000)])
+        variance = taken * good / n * bad / n * (n - taken) / (n - 1)
+        assert abs(found.mean() - taken * good / n) < 4 * (variance / 4000) ** 0.5 and abs(found.var() / variance - 1) < 0.12
+    from math import comb, log
+
+    for x in range(21):
+        want = log(comb(30, x) * comb(50, 20 - x)) - log(comb(80, 20))
+        assert abs(sharding.log_hypergeometric(x, 30, 50, 20) - want) < 1e-9
     big = sharding.communication_matrix([6 * 10**9, 4 * 10**9], np.array([5 * 10**9, 5 * 10**9]), 3)
     assert big.sum(1).tolist() == [6 * 10**9, 4 * 10**9] and (big >= 0).all()
 
@@ -68,6 +82,39 @@ def test_token_counts_equal_the_library(docs):
         assert (out[i]["n_tokens"], out[i]["n_bytes"], out[i]["over_limit"]) == (n, len((t or "").encode()), n > 1024), repr(t)[:80]
 
 
+#: Pieces of which the odd texts below are made.
+ODD = ["\0", "!", "y", "x ", "\x01", "\x1f", "\x7f", "\x85", "\xa0", "\u0301", "é", "e\u0301", "İ", "ﬁ", "Σς", "<|endoftext|>", "<|startoftext|>", "<|"]
+ODD += ["|>", "'s", "'LL", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "12", "½", "日本", "👍🏽", "\u200d", "\u2028", "\ufeff", "a.", "ẞ", "\0\0", "\x007", "ǅ", "A", "token"]
+
+
+def test_odd_texts_are_encoded_as_by_the_library():
+    import random
+
+    r = random.Random(5)
+    odd = ["".join(r.choice(ODD) for _ in range(r.randint(0, 14))) for _ in range(4000)] + ["x\0!y", "\0!!!", "\0" + "5", "a" * 5000, "\0" * 300]
+    words, counts = (Tokenizer.from_file(public_tokenizers.path(f"{n}.json")) for n in ("word_bpe_49k", "byte_bpe_50k"))
+    encoder = bpe.chunk_encoder()
+    for at in range(0, len(odd), 500):
+        batch = pa.array(odd[at : at + 500])
+        numbers, distinct = bpe.encoded_chunks(batch, encoder)
+        n_tokens = token_counts.counter().texts(batch)
+        for i, t in enumerate(batch.to_pylist()):
+            ids = words.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(b"".join([distinct[k] for k in numbers[i]]), "<u4").tolist() == ids, repr(t)
+            assert " ".join([encoder.decode(distinct[k]) for k in numbers[i] if distinct[k]]) == words.decode(ids, skip_special_tokens=False)
+            assert n_tokens[i] == len(counts.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 20_000)
+    encoder = bpe.ChunkEncoder()
+    want = bpe.chunk_encoder().encode(["abc", "x" * 1000, "<|endoftext|>"])
+    for i in range(5):
+        assert encoder.encode(["abc", "x" * 1000, "<|endoftext|>"]) == want
+        encoder.encode([f"word{i}{k}" for k in range(300)])
+        assert encoder.held <= 20_000 and "x" * 1000 not in encoder.known
+
+
 def test_whole_tokens_are_proved():
     counter = token_counts.counter()
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -170,6 +217,50 @@ def test_line_templates_equal_their_sql(spark, docs):
     assert differences(found, con.execute(line_templates.SQL).df()) == ""
 
 
+def dropped(spark, rows, **settings):
+    df = spark.createDataFrame(list(enumerate(rows)) if isinstance(rows[0], str) else rows, "doc_id long, text string")
+    return {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(df, **settings).collect()}
+
+
+def test_passages_inside_longer_lines_go(spark):
+    from tests.llm.documents import words
+
+    passage = " ".join(" ".join(words(600 + i, 12)).capitalize() + "." for i in range(5))
+    own = [" ".join(words(700 + i, 14)) + "." for i in range(8)]
+    rows = [f"{a} {passage} {b}\nlast of {a}" for a, b in zip(own[:4], own[4:], strict=True)]
+    got = dropped(spark, rows)
+    assert got[0] == rows[0] and [got[i] for i in (1, 2, 3)] == [f"{own[i]} {own[4 + i]}\nlast of {own[i]}" for i in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("n", [60, 3000])
+def test_fields_are_fields_in_small_and_large_leaves(spark, n):
+    rows = [f"Posted by user name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} in section {'abcdefghijklmnopqrstuvwxyz'[i % 20] * 3} of the old board\nown line {chr(97 + i % 26)} {i}x" for i in range(n)]
+    got = dropped(spark, rows)
+    assert got[0] == rows[0] and all(not got[i].startswith("Posted") for i in range(1, n))
+
+
+def test_one_text_does_not_make_a_token_recur(spark):
+    rows = [" is here to stay\n".join(f"alpha beta gamma {w}" for w in ("one", "two", "three")) + " is here to stay", "alpha beta gamma four was not here to go", "other"]
+    assert dropped(spark, rows) == dict(enumerate(rows))
+
+
+def test_documents_of_very_many_recurring_lines(spark):
+    import time
+
+    lines = [f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} of the very long list of words" for i in range(100_000)]
+    start = time.time()
+    got = dropped(spark, ["\n".join([f"own {i}z", *lines]) for i in "abcd"])
+    assert [len(got[i]) < 20 for i in range(4)] == [False, True, True, True] and time.time() - start < 120
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    line = "a line that all of these rows do have"
+    rows = [(None, f"{line}\nx"), (None, f"{line}\ny"), (5, f"{line}\nz"), (5, f"{line}\nw"), (7, f"{line}\nv"), (7, f"{line}\nv"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in line_templates.drop_recurring(df).collect()), key=str)
+    assert got == sorted([(None, "x"), (None, "y"), (5, f"{line}\nz"), (5, f"{line}\nw"), (7, "v"), (7, "v"), (8, None), (9, "")], key=str)
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -189,6 +280,67 @@ def test_fingerprints_follow_the_next_document(docs):
     assert phrases.fingerprint(docs).count() == docs.count()
 
 
+def brute_names(text):
+    """The sketch of one text, symbol by symbol."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    out, level = [0xFFFF] * 64, 0
+    names = [ord(c) + 1 for c in text]
+    while names:
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [x if n == 1 else mixed((x * 2 + mixed(n)) & full) for x, n in runs]
+        labels = names
+        for _ in range(4):
+            new = []
+            for i, x in enumerate(labels):
+                low = 0 if not i else (x ^ labels[i - 1] & full).bit_length() and ((x ^ labels[i - 1]) & -(x ^ labels[i - 1])).bit_length() - 1
+                new.append(2 * low + (x >> low & 1))
+            labels = new
+        blocks = []
+        for i, x in enumerate(names):
+            top = i and labels[i] > labels[i - 1] and (i + 1 == len(names) or labels[i] > labels[i + 1])
+            if not i or top:
+                blocks.append(0)
+                place = 0
+            blocks[-1] = (blocks[-1] + mixed((x + place * 0x94D049BB133111EB) & full)) & full
+            place += 1
+        names = [mixed(b) for b in blocks]
+        level += 1
+        if level >= 2 or len(names) == 1:
+            for x in names:
+                out[x % 64] = min(out[x % 64], (x >> 6) % 0xFFFF)
+        if len(names) == 1:
+            break
+    return out
+
+
+def test_fingerprints_equal_brute_force():
+    from tests.llm.documents import words
+
+    every = [t or "" for t in texts()] + ["a" * 3000, "ab" * 500, " ".join(words(77, 300)), "\0\0x", "日本" * 40]
+    got = phrases.signatures(every)
+    for i, t in enumerate(every):
+        assert got[i].tolist() == brute_names(t), repr(t)[:60]
+
+
+def test_rows_of_one_id_follow_each_other(spark):
+    rows = [(None, "ab cd"), (None, "abc"), (3, "x y z"), (3, "x y z"), (3, "x a b"), (9, None)]
+    got = phrases.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in got) == sorted((i or -1, len(t or "")) for i, t in rows)
+    a = next(r for r in got if r["doc_id"] == 9)
+    assert a["edited_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_equal_substrings_share_names_at_any_offset():
     from tests.llm.documents import words
 
@@ -251,6 +403,38 @@ def test_languages_are_told_apart(spark):
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (90, 91, 92))
 
 
+def test_scores_equal_exact_ngram_sets(spark):
+    """A filter that is nearly empty answers as sets of n-grams do."""
+    from tests.llm.documents import words
+
+    def grams(text):
+        flat = "".join(c if c.isalpha() else " " for c in text.lower())
+        flat = " " + re.sub(" +", " ", flat) + " "
+        flat = re.sub(" +", " ", flat)
+        return [flat[i : i + 3] for i in range(len(flat) - 2) if flat[i + 1] != " "]
+
+    kinds = {"aa": "abcdef", "bb": "defghi", "cc": "ghijkl"}
+    rows = [(i, " ".join(words(i, 40, alphabet)), lang) for i, (lang, alphabet) in enumerate(list(kinds.items()) * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    known = {lang: {g for _, t, k in rows if k == lang for g in grams(t)} for lang in kinds}
+    asked = [" ".join(words(900 + i, 30, "abcdefghijkl"[i % 7 : i % 7 + 5])) + ", 12 " for i in range(20)] + ["zzz", "a", "é ab"]
+    best, top, has = langid.scores(model, asked)
+    for i, t in enumerate(asked):
+        shares = {lang: sum(g in known[lang] for g in grams(t)) / len(grams(t)) for lang in kinds}
+        assert abs(top[i] - max(shares.values())) < 1e-3 and has[i], t
+        assert shares[model.languages[best[i]]] >= max(shares.values()) - 1e-3
+
+
+def test_ties_repeats_and_rare_languages(spark):
+    rows = [(1, "abc abc", "bb"), (1, "abc abc", "bb"), (2, "abc abc", "aa"), (3, "xyz xyz", "cc"), (4, None, "aa"), (None, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    got = sorted((r["doc_id"] or 0, r["lang_pred"]) for r in langid.predict(df, model).collect())
+    assert model.languages == ("aa", "bb", "cc")
+    assert got == [(0, "aa"), (1, "aa"), (1, "aa"), (2, "aa"), (3, "cc"), (4, "und")]  # ties go to the first language
+
+
 def test_filter_has_no_false_negatives_and_known_chance():
     rng = np.random.default_rng(1)
     keys = rng.integers(1, 1 << 62, 20_000).astype(np.uint64)
@@ -303,6 +487,30 @@ def test_only_unseen_blobs_are_scanned(spark, docs):
     assert secrets.document_findings(more, ledger).count() == more.count()
 
 
+def test_a_ledger_outlives_a_run(spark, docs, tmp_path):
+    path = f"{tmp_path}/ledger"
+    first = docs.where("doc_id < 12")
+    n = secrets.update(first, path).count()
+    assert n == first.select("text").fillna("").distinct().count()
+    both = secrets.update(docs, path)
+    assert both.count() == docs.select("text").fillna("").distinct().count() == secrets.update(docs, path).count()
+    assert secrets.update(docs.where("doc_id < 4"), path, rule_version=2).where("rule_version = 2").count() == 3
+    got = secrets.findings(docs, spark.read.schema(secrets.LEDGER).parquet(path))
+    assert rows_by_id(secrets.digest(got)) == rows_by_id(secrets.document_findings(docs))
+    assert rows_by_id(secrets.ledger_findings(docs, f"{tmp_path}/other")) == rows_by_id(secrets.document_findings(docs))
+
+
+def test_long_hostile_texts_are_scanned_once():
+    import time
+
+    start = time.time()
+    for t in ("eyJ" * 2_000_000, "token " * 500_000, "a" * 5_000_000, "ghp_" * 800_000, "x://" * 800_000, "-----BEGIN " * 200_000, "AKIA" * 4):
+        secrets.find(t)
+    assert time.time() - start < 40
+    whole = "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh_-1"
+    assert [x for x in secrets.find(f"a={whole} x{whole}") if x[0] == "jwt"] == [("jwt", 2, 2 + len(whole)), ("jwt", 4 + len(whole), 4 + 2 * len(whole))]
+
+
 def test_redaction_covers_what_was_found(docs):
     out = rows_by_id(secrets.redact(docs))
     for i, t in enumerate(texts()):
@@ -371,6 +579,33 @@ def test_no_link_is_lost(spark, distance, count, chain):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize(("distance", "count", "chain"), [(4, 5, 2), (4, 5, 1), (3, 4, 1)])
+def test_split_keys_lose_no_link(monkeypatch, distance, count, chain):
+    from tickloom.llm.graph import Forest
+
+    monkeypatch.setattr(simhash, "MANY", 10)
+    monkeypatch.setattr(simhash, "HELD", 500)
+    rng = np.random.default_rng(chain)
+    # All share the first two segments but for a bit or so, so their keys are hot.
+    fps = set()
+    for _ in range(150):
+        fp = int(rng.integers(0, 1 << 38)) << 26
+        for _ in range(3):
+            fps.add(fp)
+            for b in rng.choice(64, int(rng.integers(1, distance + 1)), replace=False).tolist():
+                fp ^= 1 << b
+    filed = [(((f & m) ^ p) ^ (simhash._SALT * (i + 1) % (1 << 64)), f) for f in fps for i, (m, ps) in enumerate(simhash.key_masks(distance, count, chain)) for p in ps]
+    filed = np.array(filed, np.uint64)
+    filed = filed[np.argsort(filed[:, 0].view(np.int64), kind="stable")]
+    forest = Forest()
+    for a, b in simhash.bucket_links(filed[:, 0].view(np.int64).copy(), filed[:, 1].copy(), distance, count, chain):
+        for x, y in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist(), strict=True):
+            assert (x ^ y).bit_count() <= distance
+            forest.join(x, y)
+    want = brute_components({f: f for f in sorted(fps)}, distance)
+    assert all(forest.root(f) == want[f] for f in fps) and len(set(want.values())) < len(fps)
+
+
 def test_components_of_chains_and_stars(spark):
     from tickloom.llm.graph import components
 
@@ -394,3 +629,38 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
     documents(spark, extra=True).write.parquet(f"{tmp_path}/extra/documents.parquet")
     assert queries.QUERIES[name](spark, f"{tmp_path}/extra").count() >= len(texts())
+
+
+def test_operators_keep_clashing_columns_and_null_ids(spark):
+    df = documents(spark, extra=True)
+    loose = spark.createDataFrame([(None, "kilo lima mike"), (None, "four five six seven")], "doc_id long, text string")
+    df = df.unionByName(loose, allowMissingColumns=True).cache()
+    n = df.count()
+    returned = {
+        "drop": (line_templates.drop_recurring(df), {"n_lines", "n_dropped"}), "redact": (secrets.redact(df), set()),
+        "findings": (secrets.findings(df, secrets.scan(df)), {"spans"}), "shard": (sharding.shard(df, 3), {"shard", "slot"}),
+        "predict": (langid.predict(df, langid.fit(df)), {"lang_pred", "score"}),
+    }
+    for name, (out, new) in returned.items():
+        assert out.count() == n and set(out.columns) == set(df.columns) | new, name
+        for c in set(df.columns) - new - {"text", "doc_id", "lang", "source", "n_chars"}:
+            assert {r[0] for r in out.select(F.col(f"`{c}`")).distinct().collect()} == {"x", None}, (name, c)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.where("doc_id is null").count() == 2
+    for f in (token_counts.count_tokens, bpe.digests, quality.score, phrases.fingerprint, simhash.document_components, secrets.document_findings):
+        assert f(df).where("doc_id is null").count() == 2, f
+    assert packing.pack(df).where("doc_id is null").count() == 2
+
+
+def test_a_long_text_of_each_kind(spark):
+    """One line, one word, one repeated character, more bytes than a slice holds."""
+    from tests.llm.documents import words
+
+    rows = [" ".join(words(1, 40)) + " " + " ".join(["abc def ghi"] * 800_000), "y" * 300_000, "no. " * 100_000, "ok"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(1)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = rows_by_id(token_counts.count_tokens(df))
+    assert out[0]["n_bytes"] > common.SLICE_BYTES and out[2]["n_tokens"] == len(library.encode(rows[2], add_special_tokens=False).ids)
+    for f in (bpe.digests, simhash.document_components, secrets.document_findings, phrases.fingerprint, quality.score, line_templates.drop_recurring, packing.pack):
+        assert f(df).select("doc_id").distinct().count() == 4, f
+    assert langid.predict(df, langid.fit(df.withColumn("lang", F.lit("aa")))).count() == 4

@@ -89,7 +89,7 @@ def test_lines_that_only_begin_alike_stay(spark):
     lines = [f"We went there {t}\nPage {i} of {i + 3} pages\nEnd of the list here {i}" for i, t in enumerate(tails)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(lines)], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
-    assert got == {0: lines[0]} | {i: f"We went there {t}" for i, t in enumerate(tails) if i}
+    assert got == {0: lines[0]} | {i: f"We went there {t}\n" for i, t in enumerate(tails) if i}
 
 
 def test_short_lines_recur_too(spark):
@@ -100,3 +100,25 @@ def test_short_lines_recur_too(spark):
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     later = {i: f"only {w} here\n12 13\n\n{w}" for i, w in enumerate(["ab", "cd", "ef", "gh"]) if i}
     assert got == {0: lines[0], 4: "Twice\nx", 5: "Twice\ny"} | later
+
+
+def test_stages_with_null_ids_clashing_columns_and_an_empty_table(spark, tmp_path):
+    docs = documents(spark, extra=True)
+    loose = spark.createDataFrame([(None, "one two three four five six", "en", "s", 27), (None, "a b c d e f g h", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(loose, allowMissingColumns=True)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty(spark), "").count() == 0
+        docs = stage(spark, docs, "")
+        docs.write.parquet(f"{tmp_path}/{stage.__name__}")
+        docs = spark.read.parquet(f"{tmp_path}/{stage.__name__}")
+        assert {r["text"] for r in docs.where("doc_id is null").collect()} == {r["text"] for r in loose.collect()}, stage.__name__
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("doc_id is null").count() == 2
+
+
+def test_texts_without_learned_ngrams_keep_their_language(spark):
+    from tests.llm.documents import SCHEMA
+
+    rows = [(i, "abc abd abe abf " * 5, "aa", "s", 80) for i in range(20)] + [(50, "日本語", "ja", "s", 3), (51, "123", "ja", "s", 3)]
+    held = [r for r in rows if r[0] != 50] + [(50, "日本語", "ja", "s", 3)]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(held, SCHEMA), "").collect()}
+    assert got[0] == "aa" and got[50] == "ja" and 51 not in got
