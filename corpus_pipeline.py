@@ -17,20 +17,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go (null texts and texts without a letter); lang becomes the predicted one."""
+    """Documents without a language go (null texts and texts without a letter); lang becomes the predicted one.
+
+    A text of letters that has no learned n-gram (score 0) stays with the lang that it has.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
-    kept = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
-    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    kept = langid.predict(docs.select(*COLUMNS), model).where(F.col("lang_pred") != langid.UNKNOWN)
+    return kept.withColumn("lang", F.when(F.col("score") > 0, F.col("lang_pred")).otherwise(F.col("lang"))).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; n_chars follows the text."""
-    cleaned = line_templates.drop_recurring(docs, beyond=True, short=True)
+    """Lines and sentences of recurring templates go from all documents but the first; n_chars follows the text."""
+    cleaned = line_templates.drop_recurring(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies (five-word Jaccard 0.8) stays, the one with the smallest doc_id (null last)."""
+    """One row of each component of near copies (five-word Jaccard 0.8) stays, the one with the smallest doc_id (null last).
+
+    Candidates come from SimHash with pigeonring filtering, and from a prefix filter for the copies that it misses; all are
+    verified.
+    """
     return near_copies.keep_one(docs).select(*COLUMNS)
 
 
