@@ -29,7 +29,9 @@ from tickloom.llm.common import slices, texts_of
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Bytes of words and their encodings that a Python worker remembers (about); beyond it the memory starts anew.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 64 << 20
+#: Bytes of text that are encoded at a time: the index holds some forty bytes for each byte of a new word.
+SLICE = 4 << 20
 #: What an entry takes besides its word and ids, and the longest word that is remembered.
 ENTRY, LONGEST = 160, 256
 #: Up to so many positions, a pair is merged one position at a time.
@@ -306,7 +308,7 @@ def digests(docs: DataFrame, name: str = WORD_BPE) -> DataFrame:
 
 def _coded(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[str]]]:
     encoder = chunk_encoder(name)
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE):
         numbers, distinct = encoded_chunks(texts_of(batch), encoder)
         shown = [encoder.decode(x) for x in distinct]
         ids = [b"".join([distinct[i] for i in at]) for at in numbers]

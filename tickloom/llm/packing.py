@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.bpe import WORD_BPE, chunk_encoder, encoded_chunks
+from tickloom.llm.bpe import SLICE, WORD_BPE, chunk_encoder, encoded_chunks
 from tickloom.llm.common import cut, slices, texts_of
 
 CAPACITY = 4096
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, name: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(name)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             numbers, distinct = encoded_chunks(texts_of(batch), encoder)
             row, piece, start, length, crc = [], [], [], [], []
             for i, at in enumerate(numbers):
