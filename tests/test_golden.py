@@ -174,7 +174,108 @@ def test_trend_labels_pass_their_check(spark, mode, anchor):
     walk = T.trend_labels(series(spark, (100 * np.exp(np.cumsum(rng.normal(0, 0.01, 400)))).tolist()), 4, 60, t, anchor, mode)
     assert T.check_trend_labels(walk, t, 4).count() == 0
     assert T.trend_relative_gain(walk).count() == 400
-    assert walk.where("label = 'longopen' and rn = relix").join(walk.select(F.col("relix").alias("r")), F.col("r") == F.col("rn")).count() > 0
+    assert walk.where("label = 'longopen' and rn = relix").count() > 0
+
+
+def walked(prices, low, high, thresholds, anchor="last_buy_anchor", mode="within_maxwindow"):
+    w = T.TrendWalk(np.array(prices, float), low, high, T.Thresholds(*thresholds), anchor, mode)
+    w.run()
+    return w.label.tolist(), (w.at + 1).tolist()
+
+
+def test_trend_holds_are_measured_from_their_anchor():
+    prices = [100.0, 104.031, 99.91, 105.402, 106.31, 108.852, 107.052, 106.409, 107.576]
+    for anchor, sixth in (("entry_anchor", 0), ("last_buy_anchor", 2)):
+        label, _ = walked(prices, 1, 5, (0.04, 0.02, -0.01, -0.04), anchor)
+        assert (label[2], label[5]) == (2, sixth)
+    prices = [100.0, 99.886, 98.557, 97.65, 101.708, 104.445, 107.335]
+    for mode, last in (("within_maxwindow", 0), ("beyond_maxwindow", 2), ("no_hold", 0)):
+        label, at = walked(prices, 2, 3, (0.06, 0.02, -0.01, -0.06), mode=mode)
+        assert label[6] == last and (not last or at[6] == 6)  # a hold refers to the open row
+
+
+def test_trend_cases():
+    t = (0.025, 0.01, -0.01, -0.025)
+    assert walked([100.0, 103.0, 105.0, 106.0, 106.5], 2, 10, t)[0] == [1] * 5
+    assert walked([106.0, 103.0, 101.0, 100.0, 99.5], 2, 10, t)[0] == [-1] * 5
+    label, at = walked([100.0, 95.0, 100.0, 106.0, 112.0], 2, 10, (0.03, 0.005, -0.005, -0.03))
+    assert label == [0, 1, 1, 1, 1] and at[1] == 2  # from the local low
+    label, _ = walked([4631.0, 4632.0, 4610.0, 4590.0, 4558.94, 4558.94], 2, 10, (0.01, 0.005, -0.005, -0.01))
+    assert -2 not in label or -1 in label
+    label, _ = walked([3819.6, 3816.3, 3890.0, 3890.0, 3885.0, 3850.0, 3804.8, 3779.2, 3754.7, 3754.7, 3751.4, 3758.0, 3758.0, 3830.7], 10, 240, (0.03, 0.005, -0.005, -0.03))
+    assert -1 not in label  # no ten rows from a high to a low
+
+
+def test_trend_labels_equal_a_plain_walk():
+    """The same rules row by row, without views of the arrays."""
+    rng = np.random.default_rng(8)
+    for anchor, mode in (("last_buy_anchor", "within_maxwindow"), ("last_buy_anchor", "beyond_maxwindow"), ("entry_anchor", "within_maxwindow")):
+        prices = (100 * np.exp(np.cumsum(rng.normal(0, 0.02, 250)))).round(2).tolist()
+        assert walked(prices, 3, 20, (0.05, 0.02, -0.02, -0.05), anchor, mode) == plain_trend(prices, 3, 20, (0.05, 0.02, -0.02, -0.05), anchor, mode)
+
+
+def plain_trend(p, low, high, t, anchor_mode, mode):
+    n, far, near = len(p), {1: t[0], -1: -t[3]}, {1: t[1], -1: -t[2]}
+    label, at = [0] * n, list(range(n))
+    rise = lambda a, e, s: s * (p[e] - p[a]) / p[a]
+    top = lambda a, e, s: all(s * p[e] >= s * x for x in p[a : e + 1])
+    bottom = lambda a, e, s: all(s * p[a] <= s * x for x in p[a : e + 1])
+    segment = lambda a, e, s: low <= e - a + 1 <= high and rise(a, e, s) >= far[s] and bottom(a, e, s) and top(a, e, s)
+    held = lambda a, e, s: low <= e - a + 1 and (e - a + 1 <= high or mode == "beyond_maxwindow") and rise(a, e, s) >= near[s] and top(a, e, s)
+
+    def give(e, first, lab, ref):
+        same = label[e - 1] == lab and at[e - 1] == ref
+        for k in [e] if same else range(first, e + 1):
+            label[k], at[k] = lab, ref
+
+    for e in range(1, n):
+        closed, i = [], e - 1
+        while i >= max(0, e - high + 1) and not label[i]:
+            if e - i + 1 >= low:
+                closed.append(i)
+            i -= 1
+        if i >= max(0, e - high + 1):
+            s = 1 if label[i] > 0 else -1
+            is_open = abs(label[i]) == 1
+            opened = i if is_open else at[i]
+            a = at[i] if is_open or anchor_mode != "entry_anchor" else at[at[i]]
+            hold = lambda: give(e, max(opened + (label[opened] != 2 * s), e - high + 1), 2 * s, opened)  # noqa: B023, E731
+            trim_to = None
+            if rise(i, e, s) < 0:
+                m = max(range(opened, e + 1), key=lambda k: (s * p[k], -k))  # noqa: B023
+                if held(a, e, s):
+                    hold()
+                elif e - m + 1 >= low and rise(m, e, -s) >= far[-s] and top(m, e, -s):
+                    trim_to = m - 1
+            elif is_open and segment(a, e, s):
+                give(e, a, s, a)
+            elif not is_open and segment(a, e, s) and segment(m := min(range(i, e + 1), key=lambda k: (s * p[k], k)), e, s):  # noqa: B023
+                give(e, m, s, m)
+            elif held(a, e, s):
+                hold()
+            else:
+                trim_to = e - 1 if is_open else None
+                give(e, i + 1, 0, i + 1)
+            if trim_to is not None:
+                good = [k for k in range(a, trim_to + 1) if segment(a, k, s)]
+                for k in range(good[-1] + 1 if good else a, trim_to + 1):
+                    if label[k] * s > 0:
+                        label[k], at[k] = 0, good[-1] if good else a
+                if rise(i, e, s) < 0:
+                    give(e, m, -s, m)
+                else:
+                    give(e, i + 1, 0, i + 1)
+        if not label[e]:
+            at[e] = closed[-1] if closed else e
+            best = {}
+            for s in (1, -1):
+                k = max(closed, key=lambda k: (rise(k, e, s), k), default=e)  # noqa: B023
+                if k < e and rise(k, e, s) > 0 and rise(k, e, s) >= far[s] and bottom(k, e, s):
+                    best[s] = k
+            s = 1 if 1 in best and (-1 not in best or rise(best[1], e, 1) >= rise(best[-1], e, -1)) else -1
+            if s in best and top(best[s], e, s):
+                give(e, best[s], s, best[s])
+    return label, [x + 1 for x in at]
 
 
 def test_trend_check_finds_faults(spark):
