@@ -33,7 +33,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         if isinstance(v, (int, np.integer)):
             return float(v)
         if isinstance(v, (float, np.floating)):
-            return round(float(v), 5) + 0.0
+            return float(v) + 0.0
         if isinstance(v, pd.Timestamp):
             return v.isoformat()
         if isinstance(v, np.ndarray):
@@ -45,7 +45,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 
 
 def differences(ours: pd.DataFrame, theirs: pd.DataFrame) -> str:
-    """Empty if both have the same columns and rows; floats may differ in the last rounded digit."""
+    """Empty if both have the same columns and rows; queries and SQL round floats alike, so they must be equal."""
     if sorted(ours.columns) != sorted(theirs.columns):
         return f"columns {sorted(ours.columns)} and {sorted(theirs.columns)}"
     a, b = canonical(ours), canonical(theirs)
@@ -53,6 +53,6 @@ def differences(ours: pd.DataFrame, theirs: pd.DataFrame) -> str:
         return f"{len(a)} rows and {len(b)}"
     for x, y in zip(a, b, strict=True):
         for u, v in zip(x, y, strict=True):
-            if u != v and not (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 2e-5 * max(1.0, abs(u))):
+            if u != v and not (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-9 * max(1.0, abs(u))):
                 return f"{sorted(ours.columns)}: {x} and {y}"
     return ""

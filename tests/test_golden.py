@@ -321,6 +321,9 @@ def test_bounds_quality(spark):
     assert out["train"]["mae_center"] == 0 and round(out["train"]["upper_pct"], 2) == 66.67 and out["train"]["upper_rows"] == 1.5
     assert round(out["train"]["lower_pct"], 2) == 33.33 and out["train"]["lower_rows"] == 2.0
     assert out["test"]["upper_pct"] == 50 and out["test"]["lower_pct"] == 50
+    assert round(out["train"]["lower_late_pct"], 2) == 66.67 and out["train"]["lower_late_rows"] == 3.5 and out["train"]["upper_late_rows"] == 3.0
+    halves = df.withColumn("rangeid", F.when(F.minute("opentime") == 57, 2).otherwise(1))
+    assert E.bound_status(halves, 2, ("symbol", "rangeid")).where("status = 'pending' and side = 'upper'").count() > 0
     late = {(r["opentime"].minute, r["side"]): (r["status"], r["delay"]) for r in E.bound_status(df, 2).collect()}
     assert late[(54, "upper")] == ("within", 1) and late[(54, "lower")] == ("opposite", 4) and late[(55, "lower")] == ("late", 3)
 
@@ -475,4 +478,43 @@ def test_trade_tables_compare_with_tolerance(spark):
 def test_undersampling_evens_the_classes(spark):
     df = spark.range(5000).withColumn("label", F.when(F.col("id") % 10 == 0, "rare").otherwise("common"))
     counts = {r["label"]: r["count"] for r in C.undersample(df, "label", ["id"]).groupBy("label").count().collect()}
-    assert counts["rare"] == 500 and abs(counts["common"] - 500) < 90
+    assert counts == {"rare": 500, "common": 500}
+    few = spark.createDataFrame([(1, "a")] * 3 + [(2, "b")] * 7 + [(3, "b")], "id int, label string")
+    assert {r["label"]: r["count"] for r in C.undersample(few, "label", ["id"]).groupBy("label").count().collect()} == {"a": 3, "b": 3}
+
+
+def test_rows_with_missing_features_are_predicted_as_null(spark):
+    from tickloom.operators import ml
+
+    df = spark.range(400).select(F.when(F.col("id") % 50 != 7, F.col("id") % 10 / 10).alias("x"), F.when(F.col("id") % 10 < 3, "low").otherwise("high").alias("label"), "id")
+    for hidden in ((), (4,)):
+        out = ml.predict(ml.fit_trend_classifier(df, ["x"], hidden=hidden), df)
+        assert out.count() == 400 and out.where("x is null and label is null and score is null").count() == 8
+        assert out.where("x is not null and score is not null").count() == 392
+        assert out.where("x < 0.25 and label = 'low' or x > 0.35 and label = 'high'").count() > 300
+
+
+def test_ranges_meet_their_rows(spark):
+    rows = spark.range(1, 31).select(F.lit("A").alias("symbol"), F.col("id").alias("rn"))
+    ranges = spark.createDataFrame([("A", 3, 5, "x"), ("A", 6, 6, "y"), ("B", 1, 30, "z"), ("A", 20, 40, "w")], "symbol string, a long, b long, name string")
+    out = {r["rn"]: r["name"] for r in J.with_range(rows, ranges, ["symbol"], "rn", "a", "b", ["name"]).collect()}
+    assert out == {i: "x" if 3 <= i <= 5 else "y" if i == 6 else "w" if i >= 20 else None for i in range(1, 31)}
+    over = spark.createDataFrame([("A", 1, 10), ("A", 2, 3), ("A", 9, 12)], "symbol string, a long, b long")
+    assert sorted(r["rn"] for r in J.in_some_range(rows, over, ["symbol"], "rn", "a", "b").collect()) == list(range(1, 13))
+
+
+def test_short_windows_keep_their_digits_on_long_histories(spark):
+    n, windows = 2_000_000, (5, 24, 60)
+    price = lambda i: 100 + 30 * np.sin(i / 90_000.0) + ((i * i) % 1009) / 1009.0
+    i = F.col("id")
+    df = spark.range(n).select(F.lit("A").alias("symbol"), i.alias("opentime"), (100 + 30 * F.sin(i / 90_000.0) + ((i * i) % 1009) / 1009.0).alias("pivot"))
+    got = G.rolling_regression(df, "pivot", windows, ["pivot"]).where(F.col("opentime") >= n - 500).toPandas()
+    for r in got.iloc[::25].itertuples():
+        for w in windows:
+            y = price(np.arange(r.opentime - w + 1, r.opentime + 1).astype(np.longdouble))
+            k = np.arange(w) - (w - 1) / 2
+            slope = (k * (y - y.mean())).sum() / (k * k).sum()
+            rest = y - y.mean() - slope * k
+            want = (slope, y.mean() + slope * k[-1], np.sqrt((rest * rest).sum() / (w - 1)))
+            have = [getattr(r, f"{c}_{w}") for c in ("grad", "regry", "std")]
+            assert all(abs(a - b) <= 1e-6 * abs(b) for a, b in zip(have, want, strict=True)), (r.opentime, w)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.operators.joins import with_range
 from tickloom.operators.windows import latch, number_rows, ordered, with_islands, with_sliding_sum
 from tickloom.sources.bars import epoch_minute, floor_time, from_minute, pivot_price
 
@@ -147,7 +148,5 @@ def volume_segments(df: DataFrame, start: float, window: int, stop: float, minti
 
 
 def slice_ranges(df: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Bars inside the ranges (symbol, rangeid, start_ts, end_ts), with the rangeid."""
-    within = (F.col("opentime") >= F.col("start_ts")) & (F.col("opentime") <= F.col("end_ts"))
-    joined = df.join(ranges.withColumnRenamed("symbol", "_symbol"), (F.col("symbol") == F.col("_symbol")) & within)
-    return joined.drop("_symbol", "start_ts", "end_ts")
+    """Bars inside the ranges (symbol, rangeid, start_ts, end_ts), which don't overlap, with the rangeid."""
+    return with_range(df, ranges, ["symbol"], "opentime", "start_ts", "end_ts", ["rangeid"]).where(F.col("rangeid").isNotNull())

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.operators.joins import in_some_range, with_range
 from tickloom.operators.windows import KEY, TIME
 
 
@@ -75,12 +76,7 @@ def _assigned(df: DataFrame, plan, keys: Sequence[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", set string, _a int, _b int, rangeid int"
     ranges = lengths.mapInPandas(work, schema)
-    names = [F.col(f"d.{k}") == F.col(f"r.{k}") for k in keys]
-    within = (F.col("d.rn") >= F.col("r._a")) & (F.col("d.rn") <= F.col("r._b"))
-    condition = within
-    for n in names:
-        condition = condition & n
-    return df.alias("d").join(ranges.alias("r"), condition).select("d.*", "r.set", "r.rangeid")
+    return with_range(df.drop("set", "rangeid"), ranges, keys, "rn", "_a", "_b", ["set", "rangeid"]).where(F.col("set").isNotNull())
 
 
 def assign_partitions(df: DataFrame, pattern: Sequence[str], size: int, gap: int, least: int, most: int, keys: Sequence[str] = (KEY,)) -> DataFrame:
@@ -107,9 +103,8 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def subset_rows(df: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows inside the listed ranges (symbol, a, b)."""
-    r = ranges.select(F.col(KEY).alias("_key"), "a", "b")
-    return df.join(r, (F.col(KEY) == F.col("_key")) & (F.col("rn") >= F.col("a")) & (F.col("rn") <= F.col("b")), "left_semi")
+    """Rows inside the listed ranges (symbol, a, b); ranges may overlap."""
+    return in_some_range(df, ranges, [KEY], "rn", "a", "b")
 
 
 def sequence_windows(df: DataFrame, columns: Sequence[str], n: int, keys: Sequence[str] = (KEY,), by: str = TIME) -> DataFrame:
@@ -134,22 +129,29 @@ def broadcast_bucket_scores(df: DataFrame, buckets: DataFrame, n: int, keys: Seq
 
 
 def undersample(df: DataFrame, label: str, keys: Sequence[str], seed: int = 7) -> DataFrame:
-    """Every class cut to about the size of the smallest one, by a seeded hash of the keys.
+    """Every class cut to exactly the size of the smallest one: the rows with the smallest seeded hashes of their keys.
 
-    A row stays if its hash is below the class's share, so no class is sorted in one task.
+    Rows are counted by class and slot of the hash. Whole slots stay up to the one in which the size is reached; only that
+    slot's rows, a small share of the class, are put in order. Rows with equal keys are told apart by chance.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    smallest = counts.agg(F.min("_n").alias("_min"))
-    shares = counts.crossJoin(F.broadcast(smallest)).select(label, (F.col("_min") / F.col("_n")).alias("_share"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(shares, label).where(draw < F.col("_share")).drop("_share")
+    rows = df.withColumn("_hash", F.xxhash64(F.lit(seed), *keys)).withColumn("_slot", F.shiftright("_hash", 50))
+    slots = rows.groupBy(label, "_slot").agg(F.count("*").alias("_n"))
+    smallest = slots.groupBy(label).agg(F.sum("_n").alias("_n")).agg(F.min("_n").alias("_size"))
+    before = Window.partitionBy(label).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).crossJoin(F.broadcast(smallest))
+    slots = slots.where(F.col("_before") < F.col("_size")).select(label, "_slot", F.least("_n", F.col("_size") - F.col("_before")).alias("_take"), "_n")
+    found = rows.join(slots, [label, "_slot"])
+    whole = found.where(F.col("_take") == F.col("_n"))
+    last = found.where(F.col("_take") < F.col("_n"))
+    place = F.row_number().over(Window.partitionBy(label, "_slot").orderBy("_hash"))
+    last = last.withColumn("_place", place).where(F.col("_place") <= F.col("_take")).drop("_place")
+    return whole.unionByName(last).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def prediction_table(predictions: DataFrame, partitions: DataFrame) -> DataFrame:
     """Predictions with the set of their partition (symbol, set, a, b: rows), "unused" outside."""
-    p = partitions.select(F.col(KEY).alias("_key"), "set", "a", "b")
-    within = (F.col(KEY) == F.col("_key")) & (F.col("rn") >= F.col("a")) & (F.col("rn") <= F.col("b"))
-    return predictions.join(p, within, "left").withColumn("set", F.coalesce("set", F.lit("unused"))).drop("_key", "a", "b")
+    found = with_range(predictions, partitions, [KEY], "rn", "a", "b", ["set"])
+    return found.withColumn("set", F.coalesce("set", F.lit("unused")))
 
 
 def max_prediction(df: DataFrame, labels: Sequence[str]) -> DataFrame:

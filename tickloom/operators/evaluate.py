@@ -117,20 +117,16 @@ def segment_distances(gains: DataFrame) -> DataFrame:
     )
 
 
-def first_hits(df: DataFrame, w: int) -> DataFrame:
-    """Rows until the upper and the lower predicted bound is first reached within the next w rows; null if never."""
-    ahead = ordered().rowsBetween(1, w)
-    first = lambda values, test: F.nullif(F.array_position(F.transform(values, test), True), F.lit(0))
-    df = df.withColumn("_highs", F.collect_list("high").over(ahead)).withColumn("_lows", F.collect_list("low").over(ahead))
-    up = first(F.col("_highs"), lambda x: x >= F.col("upper"))
-    down = first(F.col("_lows"), lambda x: x <= F.col("lower"))
-    return df.withColumn("upper_hit", up).withColumn("lower_hit", down).drop("_highs", "_lows")
+def first_hits(df: DataFrame, w: int, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """late_hits(), and upper_hit and lower_hit: the same within the next w rows, else null."""
+    rows = late_hits(df, keys)
+    return rows.withColumns({f"{s}_hit": F.when(F.col(f"{s}_late") <= w, F.col(f"{s}_late")) for s in ("upper", "lower")})
 
 
-def late_hits(df: DataFrame) -> DataFrame:
-    """Rows until the bounds are first reached at any later row of the symbol; null if never.
+def late_hits(df: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """Rows until the bounds are first reached at any later row of the keys (symbol, or symbol and range); null if never.
 
-    Rows wait on a stack of unreached bounds, so each symbol is one pass over its rows.
+    Rows wait on a heap of unreached bounds, so each symbol (and range) is one pass over its rows.
     """
 
     def until(bound: np.ndarray, price: np.ndarray) -> np.ndarray:
@@ -153,28 +149,32 @@ def late_hits(df: DataFrame) -> DataFrame:
         )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(KEY).applyInPandas(walk, f"{kinds}, upper_late bigint, lower_late bigint")
+    return df.groupBy(*keys).applyInPandas(walk, f"{kinds}, upper_late bigint, lower_late bigint")
 
 
-def bounds_quality(df: DataFrame, w: int) -> DataFrame:
-    """Per set: mean absolute errors of centre and width, percent of rows whose bounds are reached in the next w rows,
-    mean rows until then, and mean distance of the close to the bounds in percent."""
-    rows = first_hits(df, w)
+def bounds_quality(df: DataFrame, w: int, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """Per set: mean absolute errors of centre and width, percent of rows whose bounds are reached in the next w rows, and
+    only later, mean rows until then, and mean distance of the close to the bounds in percent."""
+    rows = first_hits(df, w, keys)
     pct = lambda c: F.round(100.0 * F.avg(F.col(c).isNotNull().cast("double")), 4)
+    late = lambda s: F.when(F.col(f"{s}_hit").isNull(), F.col(f"{s}_late"))
+    rows = rows.withColumn("_up", late("upper")).withColumn("_low", late("lower"))
     return rows.groupBy("set").agg(
         F.round(F.avg(F.abs(F.col("centerpred") - F.col("centertarget"))), 6).alias("mae_center"),
         F.round(F.avg(F.abs(F.col("widthpred") - F.col("widthtarget"))), 6).alias("mae_width"),
         pct("upper_hit").alias("upper_pct"), pct("lower_hit").alias("lower_pct"),
         F.round(F.avg("upper_hit"), 6).alias("upper_rows"), F.round(F.avg("lower_hit"), 6).alias("lower_rows"),
+        pct("_up").alias("upper_late_pct"), pct("_low").alias("lower_late_pct"),
+        F.round(F.avg("_up"), 6).alias("upper_late_rows"), F.round(F.avg("_low"), 6).alias("lower_late_rows"),
         F.round(F.avg(100.0 * (F.col("upper") - F.col("close")) / F.col("close")), 6).alias("upper_dist_pct"),
         F.round(F.avg(100.0 * (F.col("close") - F.col("lower")) / F.col("close")), 6).alias("lower_dist_pct"),
     )
 
 
-def bound_status(df: DataFrame, w: int) -> DataFrame:
+def bound_status(df: DataFrame, w: int, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """Per row and side: within (reached in the next w rows), opposite (only the other bound is), late or pending, with
     the rows until then."""
-    rows = late_hits(first_hits(df, w))
+    rows = first_hits(df, w, keys)
 
     def status(side: str, other: str) -> Column:
         return (
@@ -182,7 +182,7 @@ def bound_status(df: DataFrame, w: int) -> DataFrame:
             .when(F.col(f"{side}_late").isNotNull(), "late").otherwise("pending")
         )
 
-    sides = [F.struct(F.lit(s).alias("side"), status(s, o).alias("status"), F.coalesce(F.col(f"{s}_hit").cast("bigint"), F.col(f"{s}_late")).alias("delay"))
+    sides = [F.struct(F.lit(s).alias("side"), status(s, o).alias("status"), F.col(f"{s}_late").alias("delay"))
              for s, o in (("upper", "lower"), ("lower", "upper"))]
     return rows.select(KEY, TIME, F.explode(F.array(*sides)).alias("s")).select(KEY, TIME, "s.side", "s.status", "s.delay")
 

@@ -157,7 +157,7 @@ def regression_price_peaks(df: DataFrame, grad: str) -> DataFrame:
     return price_extreme_between(df, spans).select(KEY, F.col("extreme_rn").alias("rn"), "kind", F.col("a").alias("regression_rn"))
 
 
-def best_path(price: np.ndarray, peaks: dict[int, list[int]], t: Thresholds) -> list[int]:
+def best_path(price: Sequence[float] | dict[int, float], peaks: dict[int, list[int]], t: Thresholds) -> list[int]:
     """Signed 1-based peaks of the path with the highest sum of qualified gains.
 
     peaks: for each window its signed peaks in order. An edge leads from a peak to the next peak of the other kind of
@@ -168,11 +168,17 @@ def best_path(price: np.ndarray, peaks: dict[int, list[int]], t: Thresholds) ->
     if not nodes:
         return []
     best, came = dict.fromkeys(nodes, 0.0), dict.fromkeys(nodes, 0)
+    # Of each window its highs and lows, and how many of them the nodes have passed.
+    kinds = [{high: [q for q in ps if (q > 0) == high] for high in (True, False)} for ps in peaks.values()]
+    passed = [{True: 0, False: 0} for _ in kinds]
     for node in nodes:
-        for ps in peaks.values():
-            nxt = next((q for q in ps if abs(q) > abs(node) and (q > 0) != (node > 0)), None)
-            if nxt is None:
+        for of, at in zip(kinds, passed, strict=True):
+            high = node < 0
+            while at[high] < len(of[high]) and abs(of[high][at[high]]) <= abs(node):
+                at[high] += 1
+            if at[high] == len(of[high]):
                 continue
+            nxt = of[high][at[high]]
             gain = (price[abs(nxt) - 1] - price[abs(node) - 1]) / price[abs(node) - 1]
             worth = gain if gain >= t.longopen else -gain if gain <= t.shortopen else 0.0
             if best[node] + worth > best[nxt] or (came[nxt] == 0 and best[node] + worth == best[nxt]):
@@ -187,21 +193,19 @@ def best_path(price: np.ndarray, peaks: dict[int, list[int]], t: Thresholds) ->
 
 def best_peak_path(df: DataFrame, peaks: DataFrame, t: Thresholds) -> DataFrame:
     """symbol, path (array of signed rows) and gain of the best path over the peaks (symbol, window, rn, kind)."""
-    prices = number_rows(df).groupBy(KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "pivot"))), lambda x: x["pivot"]).alias("price"))
-    signed = peaks.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("window", "rn", "kind"))).alias("peaks"))
+    priced = peaks.select(KEY, "window", "rn", "kind").join(number_rows(df).select(KEY, "rn", "pivot"), [KEY, "rn"])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        by: dict[int, list[int]] = {}
-        for p in row["peaks"]:
-            by.setdefault(p["window"], []).append(int(p["rn"]) * int(p["kind"]))
-        price = np.asarray(row["price"], float)
+        pdf = pdf.sort_values(["window", "rn", "kind"])
+        signed = pdf["rn"].astype(int) * pdf["kind"].astype(int)
+        by = {w: ps.tolist() for w, ps in signed.groupby(pdf["window"])}
+        price = dict(zip((pdf["rn"].astype(int) - 1).tolist(), pdf["pivot"].astype(float).tolist(), strict=True))
         path = best_path(price, by, t)
         steps = [(price[abs(b) - 1] - price[abs(a) - 1]) / price[abs(a) - 1] for a, b in zip(path, path[1:], strict=False)]
         gain = sum(abs(g) for g in steps if g >= t.longopen or g <= t.shortopen)
-        return pd.DataFrame({KEY: [row[KEY]], "path": [path], "gain": [gain]})
+        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "path": [path], "gain": [gain]})
 
-    return prices.join(signed, KEY).groupBy(KEY).applyInPandas(walk, f"{KEY} string, path array<int>, gain double")
+    return priced.groupBy(KEY).applyInPandas(walk, f"{KEY} string, path array<int>, gain double")
 
 
 def peak_labels(df: DataFrame, paths: DataFrame, t: Thresholds) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,19 +14,49 @@ from tickloom.operators.windows import KEY, TIME, number_rows, ordered, running,
 EPS = 1.1920929e-07  # of single precision: stands for a long-window volume of zero
 
 
-def _sums(df: DataFrame, columns: Sequence[str], keys: tuple[str, ...]) -> DataFrame:
-    """Running sums of y, i * y and y * y for each column, y less the first value of the first column in its partition.
+#: Windows up to so many times smaller share the blocks of the largest one. Smallest blocks: small ones cost time, and sums
+#: over some hundred rows still have their digits.
+SHARED, SMALLEST = 64, 512
 
-    Subtracting the first value keeps the sums small, so that their differences keep their digits.
+
+def _sums(df: DataFrame, columns: Sequence[str], keys: tuple[str, ...], size: int) -> DataFrame:
+    """Sums of y, k * y and y * y of each column from the start of the row's block (_s, _x, _q) and to its end (_es, _ex, _eq).
+
+    Blocks have size rows; k counts from 1 in each, and y is less the first value of the first column in the block (_0).
+    Sums that begin anew in each block stay small, so their differences keep their digits on histories of any length.
     """
-    df = number_rows(df, *keys, name="_i").withColumn("_0", F.first(columns[0]).over(running(*keys)))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_i")
+    so_far, whole = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumn("_b", F.floor((F.col("_i") - 1) / size)).withColumn("_k", (F.col("_i") - F.col("_b") * size).cast("double"))
+    df = df.withColumn("_0", F.first(columns[0]).over(so_far))
+    sums = {}
     for c in columns:
-        df = df.withColumn(f"_y_{c}", F.col(c) - F.col("_0"))
+        y = F.col(c) - F.col("_0")
+        sums |= {f"_y_{c}": y, f"_s_{c}": F.sum(y).over(so_far), f"_x_{c}": F.sum(F.col("_k") * y).over(so_far), f"_q_{c}": F.sum(y * y).over(so_far)}
+    df = df.withColumns(sums)
+    return df.withColumns({f"_e{k}_{c}": F.last(f"_{k}_{c}").over(whole) - F.col(f"_{k}_{c}") for k in "sxq" for c in columns})
+
+
+def _in_window(columns: Sequence[str], keys: tuple[str, ...], w: int, size: int) -> dict[str, Column]:
+    """Sums over the last w rows: y, p * y (p counts from 1 in the window) and y * y, y less the _0 of the last row.
+
+    The window's rows lie in the row's block or in that one and the block before.
+    """
+    back = Window.partitionBy(*keys).orderBy("_b", "_i")
+    k = F.col("_k")
+    n = F.least(F.col("_i"), F.lit(w)).cast("double")
+    inside, across = F.coalesce(k > w, F.lit(False)), (k < w) & (F.col("_i") > w)
+    d = F.lag("_0", w).over(back) - F.col("_0")
+    m = n - k  # rows of the block before
+    out = {}
     for c in columns:
-        y = F.col(f"_y_{c}")
-        for name, term in (("s", y), ("x", F.col("_i") * y), ("q", y * y)):
-            df = df.withColumn(f"_{name}_{c}", F.sum(term).over(running(*keys)))
-    return df
+        now, old = ({name: F.lag(f"_{name}_{c}", w).over(back) for name in names} for names in (("s", "x", "q"), ("es", "ex", "eq")))
+        s, x, q = (F.col(f"_{name}_{c}") - F.when(inside, now[name]).otherwise(0.0) for name in "sxq")
+        out[f"s_{c}"] = s + F.when(across, old["es"] + m * d).otherwise(0.0)
+        shifted = old["ex"] - (k - n + size) * old["es"] + d * m * (m + 1) / 2
+        out[f"x_{c}"] = x - (k - n) * s + F.when(across, shifted).otherwise(0.0)
+        out[f"q_{c}"] = q + F.when(across, old["eq"] + 2 * d * old["es"] + m * d * d).otherwise(0.0)
+    return out
 
 
 def rolling_regression(
@@ -36,42 +66,55 @@ def rolling_regression(
 
     At the start the line goes through all rows so far; the first row has its own value and slope 0. std_of adds std_w,
     the sample deviation of these columns from the line, with mean_w and last_w of the residuals. Everything comes from
-    running sums, so the cost doesn't depend on the window.
+    sums that begin anew in blocks of the window's size or a few times more, so neither the cost depends on the window
+    nor the digits on the length of the history.
     """
     keys = tuple(keys)
     columns = list(dict.fromkeys([column, *(std_of or ())]))
-    df = _sums(df, columns, keys)
-    made = []
-    for w in windows:
-        n = F.least(F.col("_i"), F.lit(w)).cast("double")
-        start = F.col("_i") - n
-        part = {(k, c): F.col(f"_{k}_{c}") - F.coalesce(F.lag(f"_{k}_{c}", w).over(ordered(*keys)), F.lit(0.0)) for k in "sxq" for c in columns}
-        sxx = n * (n * n - 1) / 12  # of 1 to n
-        centred = lambda c, part=part, start=start, n=n: (part["x", c] - start * part["s", c]) - (n + 1) / 2 * part["s", c]
-        slope = F.when(n > 1, centred(column) / sxx).otherwise(0.0)
-        df = df.withColumn(f"grad_{w}", slope)
-        line = part["s", column] / n + F.col(f"grad_{w}") * (n - 1) / 2
-        df = df.withColumn(f"_line_{w}", line)
-        made += [(F.col("_0") + F.col(f"_line_{w}")).alias(f"regry_{w}"), F.col(f"grad_{w}")]
-        if std_of:
-            # Residuals r = y - (a + b k), k = 1 to n: their sum and sum of squares from the running sums.
-            b = F.col(f"grad_{w}")
-            a = F.col(f"_line_{w}") - b * n
-            total = count = square = F.lit(0.0)
-            for c in std_of:
-                sy, sky, syy = part["s", c], part["x", c] - start * part["s", c], part["q", c]
-                sk, skk = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
-                total = total + sy - a * n - b * sk
-                square = square + syy - 2 * a * sy - 2 * b * sky + a * a * n + 2 * a * b * sk + b * b * skk
-                count = count + n
-            variance = F.greatest(square - total * total / count, F.lit(0.0)) / (count - 1)
-            made += [
-                F.when(count > 1, F.sqrt(variance)).otherwise(0.0).alias(f"std_{w}"), (total / count).alias(f"mean_{w}"),
-                (F.col(f"_y_{std_of[-1]}") - F.col(f"_line_{w}")).alias(f"last_{w}"),
-            ]
-    dropped = {m for w in windows for m in (f"grad_{w}",)}
-    names = [c for c in df.columns if not c.startswith("_") and c not in dropped]
-    return df.select(*names, *made)
+    out, names = number_rows(df, *keys, name="_i"), list(df.columns)
+    left = sorted(set(windows), reverse=True)
+    while left:
+        size = max(left[0], SMALLEST)
+        shared = [w for w in left if w * SHARED > size or w == left[0] or size == SMALLEST]
+        left = [w for w in left if w not in shared]
+        out = _sums(out, columns, keys, size)
+        for w in shared:
+            out = _line(out, column, columns, std_of, keys, w, size)
+            names += [f"regry_{w}", f"grad_{w}", *([f"std_{w}", f"mean_{w}", f"last_{w}"] if std_of else [])]
+            out = out.select(*dict.fromkeys([*names, *(c for c in out.columns if c.startswith("_"))]))
+        out = out.select(*names, "_i")
+    order = [f"{kind}_{w}" for w in windows for kind in (("regry", "grad", "std", "mean", "last") if std_of else ("regry", "grad"))]
+    return out.select(*df.columns, *dict.fromkeys(order))
+
+
+def _line(
+    df: DataFrame, column: str, columns: Sequence[str], std_of: Sequence[str] | None, keys: tuple[str, ...], w: int, size: int
+) -> DataFrame:
+    """The columns of rolling_regression() for one window."""
+    part = {name: f"_w{name}" for k in "sxq" for name in (f"{k}_{c}" for c in columns)}
+    df = df.withColumns({part[name]: value for name, value in _in_window(columns, keys, w, size).items()})
+    n = F.least(F.col("_i"), F.lit(w)).cast("double")
+    sy, sky = F.col(part[f"s_{column}"]), F.col(part[f"x_{column}"])
+    slope = (sky - (n + 1) / 2 * sy) / (n * (n * n - 1) / 12)
+    df = df.withColumn(f"grad_{w}", F.when(n > 1, slope).otherwise(0.0))
+    b = F.col(f"grad_{w}")
+    df = df.withColumn("_line", sy / n + b * (n - 1) / 2).withColumn(f"regry_{w}", F.col("_0") + F.col("_line"))
+    if not std_of:
+        return df
+    # Residuals r = y - (a + b p), p = 1 to n: their sum and sum of squares.
+    a = F.col("_line") - b * n
+    total = count = square = F.lit(0.0)
+    sp, spp = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
+    for c in std_of:
+        sy, sky, syy = (F.col(part[f"{k}_{c}"]) for k in "sxq")
+        total = total + sy - a * n - b * sp
+        square = square + syy - 2 * a * sy - 2 * b * sky + a * a * n + 2 * a * b * sp + b * b * spp
+        count = count + n
+    variance = F.greatest(square - total * total / count, F.lit(0.0)) / (count - 1)
+    return df.withColumns({
+        f"std_{w}": F.when(count > 1, F.sqrt(variance)).otherwise(0.0), f"mean_{w}": total / count,
+        f"last_{w}": F.col(f"_y_{std_of[-1]}") - F.col("_line"),
+    })
 
 
 def norm_rolling_regression(df: DataFrame, column: str, windows: Sequence[int]) -> DataFrame:

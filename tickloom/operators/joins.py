@@ -44,6 +44,34 @@ def nearest_row(left: DataFrame, right: DataFrame, on: str = "opentime", by: str
     return both.select(*left.columns, *[F.when(some, F.col(f"{c}_b")).otherwise(F.col(f"{c}_f")).alias(f"{c}_r") for c in values])
 
 
+def with_range(df: DataFrame, ranges: DataFrame, by: Sequence[str], on: str, start: str, end: str, values: Sequence[str]) -> DataFrame:
+    """df with the values of the range (start to end, both included) of its keys that holds the row's on; null outside.
+
+    The ranges of a key don't overlap. Rows and ranges are united and shuffled once, and the last range that began is
+    carried along, so a row meets one range only, however many there are.
+    """
+    found, held = _last_range(df, ranges, by, on, start, F.struct(F.col(end).alias("end"), *values), lambda c, w: F.last(c, ignorenulls=True).over(w))
+    inside = F.col(f"{held}.end") >= F.col("_t")
+    return found.select("_l.*", *[F.when(inside, F.col(f"{held}.{v}")).alias(v) for v in values])
+
+
+def in_some_range(df: DataFrame, ranges: DataFrame, by: Sequence[str], on: str, start: str, end: str) -> DataFrame:
+    """Rows whose on lies in a range of its keys; ranges may overlap: the latest end of those that began decides."""
+    found, held = _last_range(df, ranges, by, on, start, F.struct(F.col(end).alias("end")), lambda c, w: F.max(c).over(w))
+    return found.where(F.col(f"{held}.end") >= F.col("_t")).select("_l.*")
+
+
+def _last_range(df: DataFrame, ranges: DataFrame, by: Sequence[str], on: str, start: str, value: Column, carried) -> tuple[DataFrame, str]:
+    row = F.struct(*[F.col(c) for c in df.columns])
+    rows_type, range_type = df.select(row.alias("x")).schema["x"].dataType, ranges.select(value.alias("x")).schema["x"].dataType
+    keys = [f"_k{i}" for i in range(len(by))]
+    names = lambda t: [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)] + [t.alias("_t")]
+    both = df.select(*names(F.col(on)), F.lit(1).alias("_s"), row.alias("_l"), F.lit(None).cast(range_type).alias("_r"))
+    both = both.unionByName(ranges.select(*names(F.col(start)), F.lit(0).alias("_s"), F.lit(None).cast(rows_type).alias("_l"), value.alias("_r")))
+    w = Window.partitionBy(*keys).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_r", carried(F.col("_r"), w)).where("_s = 1"), "_r"
+
+
 def align_features_prices(features: DataFrame, bars: DataFrame) -> DataFrame:
     return features.join(bars, ["symbol", "opentime"])
 

@@ -12,15 +12,22 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.dataset import class_weights, max_prediction
+from tickloom.operators.dataset import class_weights, max_prediction, undersample
 
 
 def fit_trend_classifier(df: DataFrame, features: Sequence[str], label: str = "label", hidden: Sequence[int] = (), balance: bool = True, seed: int = 7) -> PipelineModel:
-    """A label model: logistic regression with class weights, or a perceptron with hidden layers."""
+    """A label model: logistic regression, or a perceptron with hidden layers; rows with a null feature are left out.
+
+    With balance, all classes count alike: by weights, or for the perceptron, which knows no weights, by undersampling.
+    """
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
     scale = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True)
-    rows = class_weights(df, label) if balance else df.withColumn("weight", F.lit(1.0))
+    rows = df.where(F.col(label).isNotNull()).dropna(subset=list(features))
+    if balance:
+        rows = undersample(rows, label, features, seed) if hidden else class_weights(rows, label)
+    elif not hidden:
+        rows = rows.withColumn("weight", F.lit(1.0))
     if hidden:
         classes = rows.select(label).distinct().count()
         layers = [len(features), *hidden, classes]
@@ -50,8 +57,15 @@ def class_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Class scores, best label and its score."""
-    return max_prediction(class_scores(model, df.drop("label", "score")), model.stages[0].labels)
+    """Class scores, best label and its score of every row; all null where a feature is missing."""
+    labels = model.stages[0].labels
+    features = model.stages[1].getInputCols()
+    missing = F.lit(False)
+    for c in features:
+        missing = missing | F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`")
+    found = max_prediction(class_scores(model, df.drop("label", "score").withColumn("_missing", missing)), labels)
+    shown = [F.when(~F.col("_missing"), F.col(f"`{c}`")).alias(c) if c in (*labels, "score", "label") else F.col(f"`{c}`") for c in found.columns]
+    return found.select(*[x for x, c in zip(shown, found.columns, strict=True) if c != "_missing"])
 
 
 def predict_bounds(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:

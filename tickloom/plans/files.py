@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,9 @@ BARS = f"{HOURS} SELECT {OHLCV} FROM bars"
 
 def folder(spark: SparkSession) -> str:
     """A new folder that all executors see: beside the session's checkpoints."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{root}/tables-{uuid.uuid4().hex}"
 
 
@@ -39,11 +40,12 @@ def _(spark, d):
     return S.read_bars(spark, path).select(*OHLCV.split(", "))
 
 
-@query("s3_scan_all_bars", f"{HOURS} SELECT symbol, 'USDT' AS quote, opentime, close FROM bars WHERE symbol IN ('click', 'view')", "close")
+@query("s3_scan_all_bars", f"{HOURS} SELECT symbol, 'USDT' AS quote, opentime, close FROM bars", "close")
 def _(spark, d):
-    path, df = folder(spark), hours(spark, d)
-    for symbol in ("click", "view"):
+    path, df = folder(spark), hours(spark, d).cache()
+    for symbol in [r["symbol"] for r in df.select("symbol").distinct().collect()]:
         df.where(F.col("symbol") == symbol).drop("symbol").write.parquet(f"{path}/{symbol}-USDT")
+    df.unpersist()
     return S.scan_all_bars(spark, path).select("symbol", "quote", "opentime", "close")
 
 

@@ -17,9 +17,14 @@ SQL: dict[str, str] = {}
 DIGITS = 6
 
 
+#: Moves ties of the last digit up before rounding, so that sums in another order round alike.
+TIE = 1e-4
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to DIGITS digits, without negative zeros."""
-    return df.select(*[(F.round(F.col(f"`{c}`"), DIGITS) + F.lit(0.0)).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
+    digits = lambda c: F.rint(F.col(f"`{c}`") * 10.0**DIGITS + TIE) / 10.0**DIGITS + F.lit(0.0)
+    return df.select(*[digits(c).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Query], Query]:
@@ -32,7 +37,7 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
             # pivot is a keyword of DuckDB.
             text = re.sub(r"""(?<!["'\w])pivot(?!["'\w])""", '"pivot"', sql)
             names = ['"pivot"' if n == "pivot" else n for n in names]
-            parts = ", ".join(f"round({c}, {DIGITS}) + 0.0::DOUBLE AS {c}" for c in names)
+            parts = ", ".join(f"round({c}::DOUBLE * 1e{DIGITS}::DOUBLE + {TIE}::DOUBLE) / 1e{DIGITS}::DOUBLE + 0.0::DOUBLE AS {c}" for c in names)
             SQL[name] = f"SELECT * REPLACE ({parts}) FROM ({text})" if names else text
         return f
 

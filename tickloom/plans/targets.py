@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tickloom.operators import dataset as C
 from tickloom.operators import evaluate as E
 from tickloom.operators import targets as T
-from tickloom.operators.windows import number_rows
+from tickloom.operators.windows import number_rows, ordered, running
 from tickloom.plans.features import L24, lined
 from tickloom.plans.registry import HOURS, W, hours, query, table
 
@@ -126,6 +126,19 @@ def _(spark, d):
     return T.trend_relative_gain(smooth(spark, d)).select("symbol", "opentime", "relative_gain")
 
 
+@query(
+    "t9_gain_since_label_began",
+    f"""{TREND}, s AS (SELECT *, (label IS DISTINCT FROM lag(label) OVER ({W}))::INT AS new FROM target), r AS (SELECT *, max(CASE WHEN new = 1 THEN rn END) OVER ({W}) AS relix FROM s)
+    SELECT a.symbol, a.opentime, a.relix, (a.pivot - b.pivot) / nullif(b.pivot, 0) AS relative_gain FROM r a JOIN r b ON a.symbol = b.symbol AND a.relix = b.rn""",
+    "relative_gain",
+)
+def _(spark, d):
+    df = number_rows(trend(spark, d))
+    new = ~F.col("label").eqNullSafe(F.lag("label").over(ordered()))
+    df = df.withColumn("_new", new).withColumn("relix", F.max(F.when(F.col("_new"), F.col("rn"))).over(running()))
+    return T.trend_relative_gain(df).select("symbol", "opentime", "relix", "relative_gain")
+
+
 @query("t10_trend_phase", f"{LABELS} SELECT {KEYS}, CASE WHEN label IN ('longopen', 'longhold') THEN 'up' WHEN label IN ('shortopen', 'shorthold') THEN 'down' ELSE 'flat' END AS phase FROM labelled")
 def _(spark, d):
     return labelled(spark, d).select("symbol", "opentime", T.trend_phase(F.col("label")).alias("phase"))
@@ -265,6 +278,11 @@ def _(spark, d):
     return C.undersample(labelled(spark, d), "label", ["symbol", "opentime"]).select("symbol", "opentime", "label")
 
 
+@query("c17_class_sizes", f"{LABELS}, n AS (SELECT label, count(*) AS n FROM labelled GROUP BY label) SELECT label, (SELECT min(n) FROM n)::BIGINT AS n FROM n")
+def _(spark, d):
+    return C.undersample(labelled(spark, d), "label", ["symbol", "opentime"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("c18_prediction_table", f"{HOURS} SELECT {KEYS}, close AS score, CASE WHEN rn BETWEEN 1 AND 100 THEN 'train' WHEN rn BETWEEN 121 AND 200 THEN 'test' ELSE 'unused' END AS set FROM bars", "score")
 def _(spark, d):
     df = number_rows(hours(spark, d))
@@ -424,26 +442,28 @@ def _(spark, d):
     return E.segment_distances(segments(spark, d))
 
 
-BQ = f"""{HOURS}, b AS (SELECT *, {BOUNDS}, CASE WHEN rn % 3 = 0 THEN 'test' ELSE 'train' END AS set FROM bars), q AS (SELECT *, pivot * 1.2 AS upper, pivot * 0.8 AS lower FROM b),
-  hit AS (SELECT q.symbol, q.rn, min(x.rn - q.rn) FILTER (x.high >= q.upper) AS up, min(x.rn - q.rn) FILTER (x.low <= q.lower) AS down FROM q JOIN bars x ON x.symbol = q.symbol AND x.rn BETWEEN q.rn + 1 AND q.rn + 10 GROUP BY ALL),
-  late AS (SELECT q.symbol, q.rn, min(x.rn - q.rn) FILTER (x.high >= q.upper) AS upl, min(x.rn - q.rn) FILTER (x.low <= q.lower) AS downl FROM q JOIN bars x ON x.symbol = q.symbol AND x.rn > q.rn GROUP BY ALL)"""
+BQ = f"""{HOURS}, b AS (SELECT *, {BOUNDS}, CASE WHEN rn % 3 = 0 THEN 'test' ELSE 'train' END AS set, (rn - 1) // 250 AS rangeid FROM bars), q AS (SELECT *, pivot * 1.2 AS upper, pivot * 0.8 AS lower FROM b),
+  hit AS (SELECT q.symbol, q.rn, min(x.rn - q.rn) FILTER (x.high >= q.upper) AS up, min(x.rn - q.rn) FILTER (x.low <= q.lower) AS down FROM q JOIN b x ON x.symbol = q.symbol AND x.rangeid = q.rangeid AND x.rn BETWEEN q.rn + 1 AND q.rn + 10 GROUP BY ALL),
+  late AS (SELECT q.symbol, q.rn, min(x.rn - q.rn) FILTER (x.high >= q.upper) AS upl, min(x.rn - q.rn) FILTER (x.low <= q.lower) AS downl FROM q JOIN b x ON x.symbol = q.symbol AND x.rangeid = q.rangeid AND x.rn > q.rn GROUP BY ALL)"""
 
 
 def bounds(spark, d):
     df = T.bounds_target(number_rows(hours(spark, d)), 10)
     df = df.withColumn("centerpred", F.col("pivot")).withColumn("widthpred", 0.4 * F.col("pivot")).withColumnRenamed("center", "centertarget").withColumnRenamed("width", "widthtarget")
-    return df.withColumn("upper", F.col("pivot") * 1.2).withColumn("lower", F.col("pivot") * 0.8).withColumn("set", F.when(F.col("rn") % 3 == 0, "test").otherwise("train"))
+    return df.withColumn("upper", F.col("pivot") * 1.2).withColumn("lower", F.col("pivot") * 0.8).withColumn("set", F.when(F.col("rn") % 3 == 0, "test").otherwise("train")).withColumn("rangeid", F.floor((F.col("rn") - 1) / 250))
 
 
 @query(
     "e9_bounds_quality",
     f"""{BQ} SELECT set, round(avg(abs(pivot - (lowtarget + hightarget) / 2)), 6) AS mae_center, round(avg(abs(0.4 * pivot - (hightarget - lowtarget))), 6) AS mae_width, round(100.0 * avg((up IS NOT NULL)::INT::DOUBLE), 4) AS upper_pct,
     round(100.0 * avg((down IS NOT NULL)::INT::DOUBLE), 4) AS lower_pct, round(avg(up), 6) AS upper_rows, round(avg(down), 6) AS lower_rows, round(avg(100.0 * (upper - close) / close), 6) AS upper_dist_pct,
-    round(avg(100.0 * (close - lower) / close), 6) AS lower_dist_pct FROM q LEFT JOIN hit USING (symbol, rn) GROUP BY set""",
-    "mae_center mae_width upper_pct lower_pct upper_rows lower_rows upper_dist_pct lower_dist_pct",
+    round(avg(100.0 * (close - lower) / close), 6) AS lower_dist_pct, round(100.0 * avg((up IS NULL AND upl IS NOT NULL)::INT::DOUBLE), 4) AS upper_late_pct,
+    round(100.0 * avg((down IS NULL AND downl IS NOT NULL)::INT::DOUBLE), 4) AS lower_late_pct, round(avg(upl) FILTER (up IS NULL), 6) AS upper_late_rows, round(avg(downl) FILTER (down IS NULL), 6) AS lower_late_rows
+    FROM q LEFT JOIN hit USING (symbol, rn) LEFT JOIN late USING (symbol, rn) GROUP BY set""",
+    "mae_center mae_width upper_pct lower_pct upper_rows lower_rows upper_dist_pct lower_dist_pct upper_late_pct lower_late_pct upper_late_rows lower_late_rows",
 )
 def _(spark, d):
-    return E.bounds_quality(bounds(spark, d), 10)
+    return E.bounds_quality(bounds(spark, d), 10, ("symbol", "rangeid"))
 
 
 STATUS = f"""{BQ}, s AS (SELECT q.symbol, q.opentime, up, down, upl, downl FROM q LEFT JOIN hit USING (symbol, rn) LEFT JOIN late USING (symbol, rn)),
@@ -452,8 +472,8 @@ STATUS = f"""{BQ}, s AS (SELECT q.symbol, q.opentime, up, down, upl, downl FROM
 
 
 def statuses(spark, d):
-    df = bounds(spark, d).select("symbol", "opentime", "high", "low", "upper", "lower")
-    return E.bound_status(df, 10)
+    df = bounds(spark, d).select("symbol", "rangeid", "opentime", "high", "low", "upper", "lower")
+    return E.bound_status(df, 10, ("symbol", "rangeid"))
 
 
 @query("e10_bound_status", f"{STATUS} SELECT * FROM st")

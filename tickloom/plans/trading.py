@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tickloom.operators import ml
@@ -11,6 +9,7 @@ from tickloom.operators import replay as P
 from tickloom.operators import rules as R
 from tickloom.operators.targets import bounds_target
 from tickloom.operators.windows import number_rows
+from tickloom.plans.files import folder
 from tickloom.plans.pipelines import feature_columns, features_targets
 from tickloom.plans.registry import HOURS, W, hours, line_sql, lined, query, table
 from tickloom.plans.targets import recursive, scored
@@ -257,8 +256,7 @@ def _events(spark, d):
 
 def _drained(spark, df, mode: str):
     """All rows that a stream gives, by a folder sink beside the session's checkpoints."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    name = f"{root}/stream-{spark.sparkContext.applicationId}-{id(df)}"
+    name = folder(spark)
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/at").trigger(availableNow=True).start()
     else:
