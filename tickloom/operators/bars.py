@@ -148,5 +148,6 @@ def volume_segments(df: DataFrame, start: float, window: int, stop: float, minti
 
 
 def slice_ranges(df: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Bars inside the ranges (symbol, rangeid, start_ts, end_ts), which don't overlap, with the rangeid."""
-    return with_range(df, ranges, ["symbol"], "opentime", "start_ts", "end_ts", ["rangeid"]).where(F.col("rangeid").isNotNull())
+    """Bars inside the ranges (symbol, rangeid, start_ts, end_ts), which don't overlap, with the rangeid (or what else names them)."""
+    values = [c for c in ranges.columns if c not in ("symbol", "start_ts", "end_ts")]
+    return with_range(df, ranges, ["symbol"], "opentime", "start_ts", "end_ts", values).where(F.col(values[0]).isNotNull())
