@@ -30,10 +30,12 @@ WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Bytes of words and their encodings that a Python worker remembers (about); beyond it the memory starts anew.
 KNOWN_BYTES = 64 << 20
-#: Bytes of text that are encoded at a time: the index holds some forty bytes for each byte of a new word.
+#: Bytes of text that are encoded at a time: the index holds some thirty bytes for each byte of a new word.
 SLICE = 4 << 20
 #: What an entry takes besides its word and ids, and the longest word that is remembered.
 ENTRY, LONGEST = 160, 256
+#: Positions whose pairs are looked up at a time.
+BLOCK = 1 << 18
 #: Up to so many positions, a pair is merged one position at a time.
 FEW = 24
 #: Characters for which Python's regex classes and lower() surely agree with the library's.
@@ -61,8 +63,8 @@ class PairIndex:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         chars = byte_characters()
-        self.inner = np.array([vocab[c] for c in chars], np.int64)
-        self.final = np.array([vocab[c + suffix] for c in chars], np.int64)
+        self.inner = np.array([vocab[c] for c in chars], np.int32)
+        self.final = np.array([vocab[c + suffix] for c in chars], np.int32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.left = np.array([vocab[a] for a, _ in merges], np.int64)
         self.right = np.array([vocab[b] for _, b in merges], np.int64)
@@ -75,7 +77,7 @@ class PairIndex:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 for none."""
-        want = (a << 32) | b
+        want = (a.astype(np.int64) << 32) | b
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.order[at], -1)
 
@@ -91,15 +93,20 @@ class PairIndex:
         firsts, lasts = (ends - lengths)[full], ends[full] - 1
         symbol = self.inner[data]
         symbol[lasts] = self.final[data[lasts]]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[lasts] = -1
         before[firsts] = -1
 
-        at = np.flatnonzero(after >= 0)
-        rank = self.ranks(symbol[at], symbol[at + 1])
-        at, rank = at[rank >= 0], rank[rank >= 0]
+        found = []
+        for low in range(0, n, BLOCK):
+            at = low + np.flatnonzero(after[low : low + BLOCK] >= 0)
+            rank = self.ranks(symbol[at], symbol[at + 1])
+            found.append((at[rank >= 0].astype(np.int32), rank[rank >= 0].astype(np.int32)))
+        at, rank = map(np.concatenate, zip(*found, strict=True))
+        del found
         by_rank = np.argsort(rank, kind="stable")
         at, rank = at[by_rank], rank[by_rank]
+        del by_rank
         starts = np.flatnonzero(np.diff(rank, prepend=-1))
         present = dict(zip(rank[starts].tolist(), np.split(at, starts[1:]), strict=True)) if len(at) else {}
         arisen: dict[int, list[int]] = {}
@@ -193,6 +200,7 @@ class ChunkEncoder:
         self.bytes_of = {c: b for b, c in enumerate(byte_characters())}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.index.special)) + ")")
         self.known: dict[str | int, bytes] = {}
+        self.limit = KNOWN_BYTES
         self.forget()
 
     def words(self, chunk: str) -> list[str | int]:
@@ -232,7 +240,7 @@ class ChunkEncoder:
                 del known[w]
             else:
                 self.held += ENTRY + 2 * len(r) + 4 * n
-        if self.held > KNOWN_BYTES:
+        if self.held > self.limit:
             self.forget()
         return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: ASCII white space as the operators define it: blank and \x09 to \x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -50,16 +51,26 @@ def written(df: DataFrame) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of about limit bytes of the column; a longer single row is a piece of its own."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        start = held = 0
-        for i, size in enumerate(sizes):
-            if held and held + size > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        if len(sizes) > start:
-            yield batch.slice(start)
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            start = held = 0
+            for i, size in enumerate(sizes):
+                if held and held + size > limit:
+                    yield batch.slice(start, i - start)
+                    start, held = i, 0
+                held += size
+            if len(sizes) > start:
+                yield batch.slice(start)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A worker stays for the tasks of later stages, which need theirs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

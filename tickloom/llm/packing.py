@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.bpe import SLICE, WORD_BPE, chunk_encoder, encoded_chunks
+from tickloom.llm.bpe import KNOWN_BYTES, SLICE, WORD_BPE, chunk_encoder, encoded_chunks
 from tickloom.llm.common import cut, slices, texts_of
 
 CAPACITY = 4096
@@ -75,16 +75,22 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(rooms, np.int64)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, name: str = WORD_BPE) -> DataFrame:
+def pieces(
+    docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, name: str = WORD_BPE, slice_bytes: int = SLICE, known_bytes: int = KNOWN_BYTES
+) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the token pieces of each row.
 
+    slice_bytes and known_bytes bound the memory of a worker: the text that it encodes at a time, and the words that it
+    remembers.
+
     A row's ids are those of its text (null: empty) and end_id; only rows longer than the capacity are cut.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(name)
+        encoder.limit = known_bytes
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches, limit=slice_bytes):
             numbers, distinct = encoded_chunks(texts_of(batch), encoder)
             row, piece, start, length, crc = [], [], [], [], []
             for i, at in enumerate(numbers):
@@ -129,7 +135,9 @@ def _pack_group(capacity: int, exchange: int, last: bool):
     return work
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, seed: int = 23, name: str = WORD_BPE) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, seed: int = 23, name: str = WORD_BPE, slice_bytes: int = SLICE, known_bytes: int = KNOWN_BYTES
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row.
 
     Null and empty texts still have their end id and are packed; repeated rows are packed one by one; an empty table
@@ -139,7 +147,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, seed: int = 23, name: str =
     cells = "doc_id long, piece int, start long, length long, ids_crc32 long, number long"
     out = f"{cells}, share long, open boolean, sequence_id long, offset long"
     names = [c.split()[0] for c in cells.split(", ")]
-    pool = cut(pieces(docs, capacity, name=name).withColumn("number", F.monotonically_increasing_id()))
+    pool = cut(pieces(docs, capacity, name=name, slice_bytes=slice_bytes, known_bytes=known_bytes).withColumn("number", F.monotonically_increasing_id()))
     left, settled = pool.count(), []
     for exchange in range(ROUNDS):
         size = LAST if left <= LAST else FIRST if not exchange else LATER
