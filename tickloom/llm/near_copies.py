@@ -28,8 +28,8 @@ from tickloom.llm.simhash import _LOWER, SEED, first_rows, links, numbered
 WORDS = 5
 #: Rows that the order of shingles is learned from (about), times that a shingle counts there, most shingles that are kept.
 SAMPLE, OFTEN, MOST = 20_000, 3, 200_000
-#: Sets under a shingle up to which all pairs are compared at once; rounds of central sets before the rest of the pairs.
-FEW, ROUNDS = 16, 2
+#: Sets under a shingle up to which no central set is sought.
+FEW = 16
 #: Pairs that a task emits at a time.
 EMIT = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -223,31 +223,21 @@ def near_components(rows: DataFrame, sets: DataFrame) -> DataFrame:
     entries = cut(_shared(nodes))
     central = entries.groupBy("node").agg((F.count("*") / F.max(F.col("n") - F.ceil(4 * F.col("n") / 5) + 1)).alias("central"))
     entries = cut(entries.join(central, "node"))
-    found = cut(_verified(cut(_simhash_pairs(sets)), rows, sets))
+    # First the pairs by fingerprints, and those of central sets; then all pairs that these leave unconnected.
+    many = entries.where(F.col("size") > FEW)
+    top = cut(many.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("central", "node")).alias("top")))
+    met = many.join(top, "key").where(
+        (F.col("node") != F.col("top.node")) & (5 * F.col("n") >= 4 * F.col("top.n")) & (4 * F.col("n") <= 5 * F.col("top.n"))
+    )
+    around = met.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
+    found = cut(_verified(cut(_simhash_pairs(sets).union(around).distinct()), rows, sets))
     hung = components(found)
-    for step in range(ROUNDS + 1):
-        marked = entries.join(hung, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        if step < ROUNDS:
-            many = marked.where(F.col("size") > FEW)
-            if step:
-                # Those that the first central set didn't reach.
-                best = many.groupBy("key").agg(F.max_by("label", F.struct("central", "node")).alias("reached"))
-                rest = many.join(best, "key").where(F.col("label") != F.col("reached"))
-            else:
-                rest = many
-            top = rest.groupBy("key").agg(F.max_by(F.struct("node", "n", "label"), F.struct("central", "node")).alias("top"))
-            met = many.join(top, "key").where(
-                (F.col("label") != F.col("top.label")) & (5 * F.col("n") >= 4 * F.col("top.n")) & (4 * F.col("n") <= 5 * F.col("top.n"))
-            )
-            pairs = met.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
-        else:
-            pairs = _all_pairs(marked)
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
-        found = found.union(cut(_verified(pairs, rows, sets)))
-        hung = components(found)
-    return hung
+    labelled = entries.join(hung, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    pairs = cut(_all_pairs(labelled))
+    if pairs.isEmpty():
+        return hung
+    # What is connected already comes as stars, which are few steps deep.
+    return components(hung.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(pairs, rows, sets)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
