@@ -53,16 +53,12 @@ def _id() -> Column:
 def unit_keys(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, pos, line_key, leaf and n_tokens of every unit that has a template."""
     cutting = docs.select(_id().alias("doc_id"), F.xxhash64("text").alias("text_key"), units(F.col("text")).alias("units"))
-    marked = F.transform(
-        "units",
-        lambda u, i: F.struct(
-            u.alias("unit"),
-            (((i == 0) | F.endswith(F.get("units", i - 1), F.lit("\n"))) & (F.endswith(u, F.lit("\n")) | (F.coalesce(F.get("units", i + 1), F.lit("")) == ""))).alias("whole"),
-        ),
-    )
-    rows = cutting.select("doc_id", "text_key", F.posexplode(marked).alias("pos", "u"))
-    rows = rows.select("doc_id", "text_key", "pos", "u.whole", _line(F.col("u.unit")).alias("line"))
-    rows = rows.withColumn("n_tokens", F.regexp_count("line", F.lit(TOKEN)))
+    starts = lambda i: (i == 0) | F.endswith(F.get("units", i - 1), F.lit("\n"))
+    ends = lambda u, i: F.endswith(u, F.lit("\n")) | (F.coalesce(F.get("units", i + 1), F.lit("")) == "")
+    lines = F.transform("units", lambda u, i: F.struct(_line(u).alias("line"), (starts(i) & ends(u, i)).alias("whole")))
+    # Counted before the rows are spread: a filter on columns would be evaluated with all that they are made from.
+    counted = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["whole"].alias("whole"), F.regexp_count(x["line"], F.lit(TOKEN)).alias("n_tokens")))
+    rows = cutting.select("doc_id", "text_key", F.posexplode(counted).alias("pos", "u")).select("doc_id", "text_key", "pos", "u.*")
     worded = F.replace("line", F.lit(FIELD), F.lit("")).rlike(TOKEN)
     rows = rows.where((F.col("n_tokens") >= MIN_SENTENCE) | (F.col("whole") & ((F.col("n_tokens") >= MIN_TOKENS) | worded)))
     # Only the leading tokens are cut off; the last piece holds the rest of the line.
