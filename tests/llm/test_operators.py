@@ -372,7 +372,17 @@ def test_packing_is_whole_and_tight(docs):
             assert offset == at
             at += length
         assert at <= packing.CAPACITY
-    assert len(by) == packing.lower_bound(np.array([r["length"] for r in out]))
+    bound = packing.lower_bound(np.array([r["length"] for r in out]))
+    assert len(by) == bound
+    # A small table is one group, so its certificate is that of the whole packing.
+    assert {(r["group_bins"], r["group_bound"]) for r in out} == {(len(by), bound)}
+
+
+def test_certificate_of_a_whole_packing(spark):
+    rows = spark.createDataFrame([(2100, 1), (2100, 2), (2100, 3), (1900, 3)], "length long, sequence_id long")
+    assert tuple(packing.certificate(rows).first()) == (3, 3, 0)
+    assert tuple(packing.certificate(rows.where("length = 1900").union(rows.where("sequence_id = 1"))).first()) == (2, 1, 1)
+    assert tuple(packing.certificate(rows.limit(0)).first()) == (0, 0, 0)
 
 
 def test_lower_bounds_hold_and_beat_the_volume():

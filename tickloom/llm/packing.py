@@ -28,13 +28,17 @@ ROUNDS = 8
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The best of several dual-feasible bounds on the bins that these lengths need.
+    """The bins that these lengths need at least."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The best of several dual-feasible bounds on the bins that count[n] pieces of each length n need.
 
     Rounding by a threshold a: lengths over capacity - a count as a whole bin, those under a as nothing, others as they
     are (a = 0: the plain volume). Stepping by k: a length counts as floor((k + 1) length / capacity) / k of a bin,
     unless (k + 1) length / capacity is whole.
     """
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     volume = count * np.arange(capacity + 1)
     many, much = np.cumsum(count), np.cumsum(volume)
     a = np.arange(capacity // 2 + 1)
@@ -121,7 +125,8 @@ def _pack_group(capacity: int, exchange: int, last: bool):
         group = group.sort_values(["number", "piece"], kind="stable").reset_index(drop=True)
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, rooms = best_fit(lengths, capacity)
-        gap = len(rooms) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        gap = len(rooms) - bound
         order = np.argsort(-rooms, kind="stable")
         release = order[: 1 + 4 * gap]
         open_bins = np.zeros(len(rooms), bool)
@@ -130,6 +135,7 @@ def _pack_group(capacity: int, exchange: int, last: bool):
         group["open"] = open_bins[bins]
         group["sequence_id"] = (exchange << 58) + (int(group["share"].iloc[0]) << 16) + bins
         group["offset"] = offsets
+        group["group_bins"], group["group_bound"] = len(rooms), bound
         return group
 
     return work
@@ -138,14 +144,16 @@ def _pack_group(capacity: int, exchange: int, last: bool):
 def pack(
     docs: DataFrame, capacity: int = CAPACITY, seed: int = 23, name: str = WORD_BPE, slice_bytes: int = SLICE, known_bytes: int = KNOWN_BYTES
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row.
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row, and its group's certificate.
 
-    Null and empty texts still have their end id and are packed; repeated rows are packed one by one; an empty table
+    group_bins and group_bound are the bins of the group in which a piece found its place (those that it released for the
+    next exchange included) and the bins that its pieces need at least; equal ones prove the group's count minimal.
+        Null and empty texts still have their end id and are packed; repeated rows are packed one by one; an empty table
     gives no rows. Pieces are dealt by their place in the input, so equal keys or texts don't meet in one task. No group
     exceeds a few thousand pieces, whatever the input. Each exchange is written to the checkpoint folder.
     """
     cells = "doc_id long, piece int, start long, length long, ids_crc32 long, number long"
-    out = f"{cells}, share long, open boolean, sequence_id long, offset long"
+    out = f"{cells}, share long, open boolean, sequence_id long, offset long, group_bins int, group_bound int"
     names = [c.split()[0] for c in cells.split(", ")]
     pool = cut(pieces(docs, capacity, name=name, slice_bytes=slice_bytes, known_bytes=known_bytes).withColumn("number", F.monotonically_increasing_id()))
     left, settled = pool.count(), []
@@ -162,4 +170,18 @@ def pack(
     result = settled[0]
     for more in settled[1:]:
         result = result.unionByName(more)
-    return result.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return result.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "group_bins", "group_bound")
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row for a whole packing: sequences, bound (the sequences that its pieces need at least) and gap.
+
+    The bound comes from the counts of pieces by length, so at most capacity rows reach the driver. A gap of 0 proves that
+    no packing has fewer sequences. An empty packing has 0, 0 and 0.
+    """
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        count[length] = n
+    bound = bound_of_counts(count, capacity)
+    used = packed.agg(F.countDistinct("sequence_id").alias("sequences"))
+    return used.select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
