@@ -123,7 +123,26 @@ def test_candles_are_replaced_by_later_ones(spark, tmp_path):
     b = series(spark, [9, 4], start=dt.datetime(2022, 1, 2, 22, 56)).withColumn("part", F.lit(1))
     candles = stream(spark, a.unionByName(b), tmp_path, 2)
     run(L.upsert_closed_candles(candles, f"{tmp_path}/table"), tmp_path)
-    assert same(spark.read.parquet(f"{tmp_path}/table/v1"), merge_bars(a.drop("part"), b.drop("part")))
+    assert same(L.current(spark, f"{tmp_path}/table"), merge_bars(a.drop("part"), b.drop("part")))
+
+
+def test_batches_touch_their_days_and_can_be_repeated(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    apply = L.into_table(path, lambda old, new: merge_bars(old, new))
+    a, b = series(spark, [1, 2, 3]), series(spark, [7, 8], start=dt.datetime(2022, 1, 3, 0, 0))
+    c = series(spark, [9], start=dt.datetime(2022, 1, 3, 0, 1))
+    apply(a, 0)
+    for number, batch in ((1, b), (2, c), (2, c), (3, c.limit(0))):
+        apply(batch, number)
+    assert same(L.current(spark, path), merge_bars(merge_bars(a, b), c))
+    written = {(str(r[0]), r[1]) for r in spark.read.parquet(path).select(L.DAY, L.VERSION).distinct().collect()}
+    assert written == {("2022-01-02", 0), ("2022-01-03", 1), ("2022-01-03", 2)}
+
+
+def test_features_need_the_halo_only(spark, tmp_path):
+    df = number_rows(S.sine_bars(spark, 120, 50)).withColumn("part", F.floor((F.col("rn") - 1) / 40)).drop("rn")
+    run(L.stream_features(stream(spark, df, tmp_path, 3), f"{tmp_path}/f", lambda x: rolling_regression(x, "pivot", [20]), 19), tmp_path)
+    assert [spark.read.parquet(f"{tmp_path}/f/halo/{i}").count() for i in (0, 1)] == [19, 19]
 
 
 def test_streamed_features_equal_batch_features(spark, tmp_path):

@@ -105,7 +105,7 @@ def _drain(writer, path: str) -> None:
 def _(spark, d):
     path, df = folder(spark), hours(spark, d)
     _drain(L.upsert_closed_candles(_bars_stream(spark, df, path), f"{path}/table"), path)
-    return spark.read.parquet(f"{path}/table/v1").select(*OHLCV.split(", "))
+    return L.current(spark, f"{path}/table").select(*OHLCV.split(", "))
 
 
 @query("l3_stream_features", f"{HOURS}, {line_sql(24)} SELECT symbol, opentime, regry AS regry_24, grad AS grad_24 FROM line", "regry_24 grad_24")

@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DateType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tickloom.operators.bars import merge_bars
 from tickloom.operators.features import supplement
@@ -29,21 +31,43 @@ def stream_bars(ticks: DataFrame, minutes: int, watermark: str, price: str = "va
     return out.withColumn("pivot", pivot_price())
 
 
+#: Partition columns of a table that batches are merged into.
+DAY, VERSION = "bar_day", "bar_version"
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The rows of each day's newest version. One row for each day is broadcast, some thousands in ten years."""
+    newest = rows.groupBy(DAY).agg(F.max(VERSION).alias(VERSION))
+    return rows.join(F.broadcast(newest), [DAY, VERSION], "left_semi").drop(DAY, VERSION)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table at path as the batches so far have left it."""
+    return _newest(spark.read.parquet(path))
+
+
 def into_table(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into the table's next version.
+    """A foreachBatch function that merges each batch into the table; read it with current().
 
-    Versions are folders named by the batch; a repeated batch writes the same version again, so nothing is applied
-    twice. Only the symbols of the batch are merged, the others are copied by name.
+    The table lies in folders by day and version, the number of the batch that wrote it. A batch reads and writes the days
+    that it has bars of, so its cost doesn't grow with the history; a repeated batch starts from the versions before it and
+    writes its own again, so nothing is applied twice and nothing is deleted while it is read. Bars without a time are left
+    out. Superseded versions stay until they are cleared away.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates()
-        if number == 0:
-            merge(batch.limit(0), batch).write.mode("overwrite").parquet(f"{path}/v{number}")
-            return
-        stored = spark.read.parquet(f"{path}/v{number - 1}")
-        merge(stored, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch = batch.dropDuplicates().where(F.col("opentime").isNotNull())
+        day = F.to_date("opentime")
+        stored = batch.limit(0)
+        if number:
+            days = [r[0] for r in batch.select(day).distinct().collect()]
+            layout = StructType([*batch.schema.fields, StructField(DAY, DateType()), StructField(VERSION, LongType())])
+            stored = _newest(spark.read.schema(layout).parquet(path).where(F.col(DAY).isin(days) & (F.col(VERSION) < number)))
+        merged = merge(stored, batch).withColumn(DAY, day).withColumn(VERSION, F.lit(number).cast("long"))
+        # One task writes a day unless it is large.
+        out = merged.hint("rebalance", DAY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(DAY, VERSION).parquet(path)
 
     return apply
 
@@ -54,19 +78,19 @@ def upsert_closed_candles(candles: DataFrame, path: str) -> DataStreamWriter:
 
 
 def stream_features(bars: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], halo: int) -> DataStreamWriter:
-    """Append work's rows for new bars; the history that it needs is the stored bars' last halo rows of each symbol."""
+    """Append work's rows for new bars; of the history only the last halo rows of each symbol are kept and read.
+
+    They lie in two folders in turn: a batch reads the one before's and writes its own, so a repeated batch finds what it
+    started from.
+    """
+    last = Window.partitionBy("symbol").orderBy(F.desc("opentime"))
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bars_now = batch
-        if number:
-            stored = spark.read.parquet(f"{path}/bars")
-            bars_now = stored.where(F.col("batch") < number).drop("batch").unionByName(batch)
-            old = stored.where(F.col("batch") < number).drop("batch")
-        else:
-            old = batch.limit(0)
-        supplement(bars_now, old, work, halo).write.mode("overwrite").parquet(f"{path}/features/batch={number}")
-        batch.write.mode("overwrite").parquet(f"{path}/bars/batch={number}")
+        old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/halo/{(number - 1) % 2}") if number else batch.limit(0)
+        rows = old.unionByName(batch)
+        supplement(rows, old, work, halo).write.mode("overwrite").parquet(f"{path}/features/batch={number}")
+        kept = rows.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= max(halo, 1)).drop("_n")
+        kept.write.mode("overwrite").parquet(f"{path}/halo/{number % 2}")
 
     return bars.writeStream.foreachBatch(apply)
 
