@@ -200,12 +200,27 @@ def parts(spark, d):
     return C.assign_partitions(df, ["train", "test", "train", "train", "eval", "train"], 40, 5, 20, 100)
 
 
-@query("c1_assign_partitions")
+@query(
+    "c1_assign_partitions",
+    f"""{recursive(HOURS)}, n AS (SELECT symbol, max(rn) AS n FROM bars GROUP BY symbol),
+    u AS (SELECT symbol, n, CASE WHEN n < 244 THEN greatest(round_even((n % 244) / 6::DOUBLE, 0) - 1, 20) ELSE least(40 + round_even((n % 244) / 6::DOUBLE, 0), 100) END::BIGINT AS size FROM n WHERE n >= 240),
+    walk AS (SELECT symbol, n, size, 0 AS i, 1::BIGINT AS a, size AS b FROM u
+      UNION ALL SELECT symbol, n, size, i + 1, b + 6, b + 5 + size * CASE WHEN i % 2 = 1 AND b + 6 + size < n THEN 2 ELSE 1 END FROM walk WHERE b + 1 < n AND b + 6 <= n)
+    SELECT symbol, CASE i % 4 WHEN 1 THEN 'test' WHEN 3 THEN 'eval' ELSE 'train' END AS set, i + 1 AS rangeid, a::INT AS a, least(b, n)::INT AS b FROM walk""",
+)
 def _(spark, d):
     return parts(spark, d).groupBy("symbol", "set", "rangeid").agg(F.min("rn").alias("a"), F.max("rn").alias("b"))
 
 
-@query("c2_assign_partitions_relative")
+@query(
+    "c2_assign_partitions_relative",
+    f"""{recursive(HOURS)}, n AS (SELECT symbol, max(rn) AS n FROM bars GROUP BY symbol),
+    g AS (SELECT symbol, n, CASE WHEN 0.1::DOUBLE * n <= 4 THEN floor(0.1::DOUBLE * n / 3) ELSE 2 END::BIGINT AS gap, [0.1::DOUBLE * 0.6::DOUBLE / 0.2::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE] AS part FROM n),
+    u AS (SELECT *, n - gap * floor(3 / list_sum(part))::BIGINT AS spread FROM g),
+    walk AS (SELECT symbol, n, gap, part, spread, 0 AS i, 1::BIGINT AS a, least(n, greatest(1, round_even(spread * part[1], 0))::BIGINT) AS b FROM u
+      UNION ALL SELECT symbol, n, gap, part, spread, i + 1, b + 1 + gap, least(n, b + gap + greatest(1, round_even(spread * part[1 + (i + 1) % 3], 0))::BIGINT) FROM walk WHERE b + 1 + gap <= n)
+    SELECT symbol, CASE i % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'test' ELSE 'eval' END AS set, i + 1 AS rangeid, a::INT AS a, b::INT AS b FROM walk""",
+)
 def _(spark, d):
     df = number_rows(hours(spark, d))
     out = C.assign_partitions_relative(df, [("train", 0.6), ("test", 0.2), ("eval", 0.2)], 0.1, 2)

@@ -12,7 +12,7 @@ from tickloom.operators.windows import number_rows
 from tickloom.plans.files import folder
 from tickloom.plans.pipelines import feature_columns, features_targets
 from tickloom.plans.registry import HOURS, W, hours, line_sql, lined, query, table
-from tickloom.plans.targets import recursive, scored
+from tickloom.plans.targets import PRED, recursive, scored
 from tickloom.streaming import bars as L
 
 KEYS = "symbol, opentime"
@@ -62,7 +62,27 @@ def _(spark, d):
     return R.rule_advice_switch(steady_lines(spark, d), [6, 24], 24, BAND).select("symbol", "opentime", "label")
 
 
-@query("r4_rule_advice_focus")
+FOCUS = f"""{recursive(HOURS)}, {line_sql(24)}, {SIX}, l6 AS (SELECT symbol AS s6, rn AS rn6, grad AS g6, regry AS y6 FROM l0),
+  two AS (SELECT symbol, rn, opentime, pivot, y6, regry AS y24, 1 - (y6 - g6 * 5) / y6 AS k6, 1 - (regry - grad * 23) / regry AS k24 FROM line JOIN l6 ON s6 = symbol AND rn6 = rn)"""
+
+
+def _focus_step(source: str) -> str:
+    """One row further: the label from the open side and its window, then the side and window from the label."""
+    held = """CASE WHEN side = 1 THEN CASE WHEN k < 0.15 AND pivot >= y * 1.05 THEN 'longclose' ELSE 'longhold' END
+      WHEN side = -1 THEN CASE WHEN k > -0.15 AND pivot <= y * 0.95 THEN 'shortclose' ELSE 'shorthold' END ELSE 'allclose' END"""
+    return f"""SELECT symbol, rn, opentime, label, CASE label WHEN 'longopen' THEN 1 WHEN 'longhold' THEN 1 WHEN 'shortopen' THEN -1 WHEN 'shorthold' THEN -1 ELSE 0 END AS side,
+      CASE WHEN abs(k6) >= 0.3 THEN 6 WHEN label IN ('longopen', 'shortopen') THEN 24 ELSE focus END AS focus
+      FROM (SELECT *, CASE WHEN k6 >= 0.3 THEN 'longopen' WHEN k6 <= -0.3 THEN 'shortopen' WHEN side <> 0 AND focus = 6 THEN {held}
+        WHEN k24 >= 0.3 THEN 'longopen' WHEN k24 <= -0.3 THEN 'shortopen' ELSE {held} END AS label
+      FROM (SELECT *, CASE WHEN focus = 6 THEN k6 ELSE k24 END AS k, CASE WHEN focus = 6 THEN y6 ELSE y24 END AS y FROM ({source})))"""
+
+
+@query(
+    "r4_rule_advice_focus",
+    f"""{FOCUS}, walk AS ({_focus_step("SELECT *, 0 AS side, 0 AS focus FROM two WHERE rn = 1")}
+    UNION ALL {_focus_step("SELECT two.*, walk.side, walk.focus FROM walk JOIN two ON two.symbol = walk.symbol AND two.rn = walk.rn + 1")})
+    SELECT {KEYS}, label, CASE WHEN side = 0 THEN 0 ELSE focus END AS regrwindow FROM walk""",
+)
 def _(spark, d):
     return R.rule_advice_focus(lined(spark, d, (6, 24)), [6, 24], 0.3, -0.3, 0.5, 0.05).select("symbol", "opentime", "label", "regrwindow")
 
@@ -165,7 +185,20 @@ def _(spark, d):
     return P.backtest_report(trips(spark, d))
 
 
-@query("r14_allocate_budget")
+@query(
+    "r14_allocate_budget",
+    f"""{recursive(PRED)}, sig AS (SELECT opentime, symbol, label, close, CASE WHEN rn % 4 = 0 THEN 1 ELSE 0 END::DOUBLE AS position, label IN ('longopen', 'shortopen') AS opens,
+      row_number() OVER (PARTITION BY opentime ORDER BY symbol) AS i FROM best),
+    step AS (SELECT opentime, least(500 + sum(position * close), 600) AS capped, count(*) FILTER (opens) AS n FROM sig GROUP BY opentime),
+    ord AS (SELECT *, least(floor(capped / 50), n)::INT AS orders FROM step),
+    walk AS (SELECT opentime, 0::BIGINT AS i, capped AS rest, capped / nullif(orders, 0) AS share, 0::DOUBLE AS amount, '' AS reason FROM ord
+      UNION ALL SELECT opentime, i, CASE WHEN bought THEN rest - want * close ELSE rest END, share, CASE WHEN bought THEN want ELSE 0 END,
+        CASE WHEN NOT opens THEN 'no open' WHEN bought THEN 'open' WHEN goes THEN 'full position' ELSE 'insufficient quote' END
+      FROM (SELECT *, goes AND want * close >= 50 AS bought FROM (SELECT s.*, w.rest, w.share, s.opens AND w.rest >= 50 AND w.share IS NOT NULL AS goes,
+        least(greatest(w.share / s.close - s.position, 0), w.rest / s.close) AS want FROM walk w JOIN sig s ON s.opentime = w.opentime AND s.i = w.i + 1)))
+    SELECT sig.opentime, symbol, label, amount, reason FROM walk JOIN sig USING (opentime, i)""",
+    "amount",
+)
 def _(spark, d):
     df = scored(spark, d).withColumn("position", F.when(F.col("rn") % 4 == 0, 1.0).otherwise(0.0)).withColumn("freequote", F.lit(500.0)).withColumn("equity", F.lit(800.0))
     return P.allocate_budget(df.select("opentime", "symbol", "label", "close", "position", "freequote", "equity"), 50.0, 600.0)
@@ -276,7 +309,18 @@ def _(spark, d):
     return _drained(spark, L.stream_bars(_events(spark, d), 60, "10 minutes"), "append")
 
 
-@query("l4_gate_classification")
+GATE = "e.minute - w.m >= 60 OR abs(e.close - w.c) / greatest(abs(w.c), 1e-6) >= 0.5"
+
+
+@query(
+    "l4_gate_classification",
+    f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 6e7::DOUBLE AS minute, value AS close,
+      row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events WHERE value IS NOT NULL),
+    walk AS (SELECT *, true AS classify, minute AS m, close AS c FROM e WHERE rn = 1
+      UNION ALL SELECT e.*, {GATE}, CASE WHEN {GATE} THEN e.minute ELSE w.m END, CASE WHEN {GATE} THEN e.close ELSE w.c END FROM walk w JOIN e ON e.symbol = w.symbol AND e.rn = w.rn + 1)
+    SELECT symbol, minute, close, classify FROM walk""",
+    "minute close",
+)
 def _(spark, d):
     rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), _minute().alias("minute"), F.col("value").alias("close"))
     return _drained(spark, L.gate_classification(rows, 60.0, 0.5), "append")
