@@ -253,7 +253,21 @@ def _(spark, d):
     return X.next_local_extreme(hours(spark, d)).select("symbol", "rn", "extreme_rn")
 
 
-@query("x5_significant_peaks")
+# The last extremes (rn and price), the direction and the peak that a row confirms, row by row; then each row's next peak.
+_STEP = """CASE WHEN up AND hi < rn AND (pivot - ph) / abs(ph) <= -0.3 THEN -1 WHEN down AND lo < rn AND (pivot - pl) / abs(pl) >= 0.3 THEN 1 ELSE 0 END"""
+ZIGZAG = f"""{HOURS.replace("WITH", "WITH RECURSIVE", 1)}, zz AS (SELECT symbol, rn, rn AS hi, pivot AS ph, rn AS lo, pivot AS pl, 0 AS dir, NULL::BIGINT AS peak FROM bars WHERE rn = 1
+    UNION ALL SELECT symbol, rn, CASE WHEN turn = 1 THEN rn ELSE hi END, CASE WHEN turn = 1 THEN pivot ELSE ph END, CASE WHEN turn = -1 THEN rn ELSE lo END, CASE WHEN turn = -1 THEN pivot ELSE pl END,
+      CASE WHEN turn = 0 THEN dir ELSE turn END, CASE turn WHEN -1 THEN hi WHEN 1 THEN lo END
+    FROM (SELECT *, {_STEP} AS turn FROM (SELECT b.symbol, b.rn, b.pivot, z.dir, z.dir >= 0 AS up, z.dir <= 0 AS down,
+      CASE WHEN z.dir >= 0 AND b.pivot > z.ph THEN b.rn ELSE z.hi END AS hi, CASE WHEN z.dir >= 0 AND b.pivot > z.ph THEN b.pivot ELSE z.ph END AS ph,
+      CASE WHEN z.dir <= 0 AND b.pivot < z.pl THEN b.rn ELSE z.lo END AS lo, CASE WHEN z.dir <= 0 AND b.pivot < z.pl THEN b.pivot ELSE z.pl END AS pl
+      FROM zz z JOIN bars b ON b.symbol = z.symbol AND b.rn = z.rn + 1))),
+  tops AS (SELECT symbol, peak FROM zz WHERE peak IS NOT NULL UNION SELECT symbol, CASE WHEN arg_max(dir, rn) > 0 THEN arg_max(hi, rn) ELSE arg_max(lo, rn) END FROM zz GROUP BY symbol HAVING arg_max(dir, rn) <> 0),
+  nextpeak AS (SELECT b.*, coalesce(t.peak, 0)::INT AS peak_rn FROM bars b ASOF LEFT JOIN tops t ON b.symbol = t.symbol AND b.rn < t.peak),
+  peaks AS (SELECT a.*, coalesce(b.pivot - a.pivot, 0) AS distance FROM nextpeak a LEFT JOIN bars b ON b.symbol = a.symbol AND b.rn = a.peak_rn)"""
+
+
+@query("x5_significant_peaks", f"{ZIGZAG} SELECT symbol, opentime, peak_rn, distance FROM peaks", "distance")
 def _(spark, d):
     return X.significant_peaks(hours(spark, d), 0.3, -0.3).select("symbol", "opentime", "peak_rn", "distance")
 

@@ -9,7 +9,7 @@ from tickloom.operators import dataset as C
 from tickloom.operators import evaluate as E
 from tickloom.operators import targets as T
 from tickloom.operators.windows import number_rows, ordered, running
-from tickloom.plans.features import L24, lined
+from tickloom.plans.features import L24, ZIGZAG, lined
 from tickloom.plans.registry import HOURS, W, hours, query, table
 
 KEYS = "symbol, opentime"
@@ -23,13 +23,14 @@ def _(spark, d):
     return df.select("symbol", "opentime", T.relative_distance(F.col("pivot"), F.col("t")).alias("fore"), T.relative_distance(F.col("pivot"), F.col("t"), True).alias("back"))
 
 
-LABELS = f"""{HOURS}, dd AS (SELECT *, coalesce(round((lead(pivot, 5) OVER ({W}) - pivot) / pivot, 9), 0) AS dist FROM bars),
-  raw AS (SELECT *, CASE WHEN dist >= 0.3 THEN 'longopen' WHEN dist <= -0.3 THEN 'shortopen' WHEN dist >= 0.05 THEN 'longhold' WHEN dist <= -0.05 THEN 'shorthold' ELSE 'close' END AS r FROM dd),
+# Labels of the rows dd by their dist.
+BY_DIST = f"""raw AS (SELECT *, CASE WHEN dist >= 0.3 THEN 'longopen' WHEN dist <= -0.3 THEN 'shortopen' WHEN dist >= 0.05 THEN 'longhold' WHEN dist <= -0.05 THEN 'shorthold' ELSE 'close' END AS r FROM dd),
   la AS (SELECT *, coalesce(last_value(CASE WHEN r = 'longopen' THEN true WHEN r IN ('shortopen', 'shorthold') THEN false END IGNORE NULLS) OVER w, false) AS inlong,
     coalesce(last_value(CASE WHEN r = 'shortopen' THEN true WHEN r IN ('longopen', 'longhold') THEN false END IGNORE NULLS) OVER w, false) AS inshort FROM raw
     WINDOW w AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
   labelled AS (SELECT symbol, opentime, rn, open, high, low, close, pivot, dist, CASE WHEN r IN ('longopen', 'shortopen') THEN r WHEN r = 'longhold' AND inlong THEN r WHEN r = 'shorthold' AND inshort THEN r
     WHEN r = 'close' AND inlong THEN 'longclose' WHEN r = 'close' AND inshort THEN 'shortclose' ELSE 'ignore' END AS label FROM la)"""
+LABELS = f"""{HOURS}, dd AS (SELECT *, coalesce(round((lead(pivot, 5) OVER ({W}) - pivot) / pivot, 9), 0) AS dist FROM bars), {BY_DIST}"""
 
 
 def labelled(spark, d):
@@ -43,7 +44,11 @@ def _(spark, d):
     return labelled(spark, d).select("symbol", "opentime", "label")
 
 
-@query("t3_continuous_distance_labels")
+@query(
+    "t3_continuous_distance_labels",
+    f"""{ZIGZAG}, dd AS (SELECT *, distance / pivot AS dist FROM peaks), {BY_DIST.replace("open, high, low, close, pivot, dist,", "distance,")} SELECT {KEYS}, distance, label FROM labelled""",
+    "distance",
+)
 def _(spark, d):
     from tickloom.operators.extremes import continuous_distance_labels
 
