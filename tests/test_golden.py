@@ -148,6 +148,20 @@ def test_best_path_takes_the_larger_gains():
     assert X.best_path(price, {5: fine, 15: coarse}, high)[-4:] == [-1, 4, -5, 6]
 
 
+def test_rows_follow_the_best_path(spark):
+    # Prices, gradients of two windows and the peak that each row refers to.
+    price = [1, 1.2, 1, 1.29, 1.1, 1.1, 0.8, 0.9, 1, 1.1, 1, 1.31, 1, 1.2, 0.91, 1.182, 1, 1.1, 1.2, 1.3]
+    short = [0.2, 0.2, 0.2, 0.1, 0.05, -0.1, -0.2, -0.2, -0.1, 0, 0.1, 0.1, 0.1, 0.2, -0.1, -0.2, -0.2, 0.2, 0.2, 0]
+    long = [0.2, 0.1, -0.1, -0.1, 0, 0.1, -0.2, 0.2, -0.1, -0.2, 0.1, 0.1, -0.1, -0.2, -0.1, 0.2, -0.2, 0.2, -0.2, 0]
+    want = [2, 3, 4, 7, 7, 7, 12, 12, 12, 12, 12, 15, 15, 15, 20, 20, 20, 20, 20, 20]
+    rows = [("A", START + dt.timedelta(minutes=i), float(p), float(a), float(b)) for i, (p, a, b) in enumerate(zip(price, short, long, strict=True))]
+    df = spark.createDataFrame(rows, "symbol string, opentime timestamp_ntz, pivot double, grad_5 double, grad_10 double")
+    t = T.Thresholds(longopen=0.3, longhold=0.05, shorthold=-0.05, shortopen=-0.3)
+    paths = X.best_peak_path(df, X.windows_peaks(df, [5, 10]), t)
+    assert paths.first()["path"] == [2, -3, 4, -7, 12, -15, 20]
+    assert column(X.peak_labels(df.select("symbol", "opentime", "pivot"), paths, t), "peak_rn") == want
+
+
 def test_trend_regression_target(spark):
     up = T.trend_regression_target(series(spark, [100, 105, 110, 115, 120]), 3, 0.04, -0.04)
     assert column(up, "label") == ["longopen"] * 4 + ["allclose"] and column(up, "gain")[-1] == 0

@@ -209,8 +209,11 @@ def best_peak_path(df: DataFrame, peaks: DataFrame, t: Thresholds) -> DataFrame:
 
 
 def peak_labels(df: DataFrame, paths: DataFrame, t: Thresholds) -> DataFrame:
-    """Next peak of the path (peak_rn), relative distance to it and label of each row; rows after the last peak: the last row."""
-    peaks = paths.select(KEY, F.explode("path").alias("signed")).select(KEY, F.abs("signed").alias("rn"), F.abs("signed").alias("peak"))
+    """Next peak of the path (peak_rn), relative distance to it and label of each row. A peak's own row refers to the one
+    after it, the last peak's to itself; rows after the last peak refer to the last row."""
+    exploded = paths.select(KEY, F.size("path").alias("_n"), F.posexplode("path").alias("_i", "signed"))
+    peak = F.abs("signed")
+    peaks = exploded.select(KEY, (peak - (F.col("_i") < F.col("_n") - 1).cast("int")).alias("rn"), peak.alias("peak"))
     rows = number_rows(df)
     rows = asof_join(rows, peaks, on="rn", forward=True).drop("rn_r").withColumnRenamed("peak_r", "peak_rn")
     rows = rows.withColumn("peak_rn", F.coalesce("peak_rn", F.max("rn").over(Window.partitionBy(KEY))))
