@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, langid, line_templates, packing, phrases, quality, secrets, sharding, simhash, token_counts
+from tickloom.llm import bpe, conversations, langid, line_crf, line_templates, packing, phrases, quality, runs, secrets, sharding, simhash, token_counts
 from tickloom.llm.common import new_folder, table
 
 
@@ -51,6 +51,18 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_components(table(spark, sf_dir, "documents"))
 
 
+def op11_block_convolution_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.document_runs(table(spark, sf_dir, "documents"))
+
+
+def op12_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hypergeometric_shards": op1_hypergeometric_shards,
     "op2_token_counts": op2_token_counts,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_simhash_components": op10_simhash_components,
+    "op11_block_convolution_runs": op11_block_convolution_runs,
+    "op12_four_russians_repair": op12_four_russians_repair,
+    "op13_line_field_quality": op13_line_field_quality,
 }
 
 SQL: dict[str, str] = {"op4_line_templates": line_templates.SQL}
