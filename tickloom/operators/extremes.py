@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.operators.chunks import numbered
 from tickloom.operators.features import turns
 from tickloom.operators.joins import asof_join
 from tickloom.operators.targets import Thresholds, relative_distance, threshold_labels
@@ -35,13 +37,78 @@ def neighbour_extremes(df: DataFrame, grad: str) -> DataFrame:
     return rows.withColumn("next_extreme", F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).drop("turn")
 
 
+#: Rows of a block of the table of extremes.
+BLOCK = 256
+#: The four ways to look for an extreme: highest or lowest, and of equal ones the last or the first row.
+WAYS = ((1, 1), (1, -1), (-1, 1), (-1, -1))
+
+
+def _better(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Elementwise the larger of (value, signed row)."""
+    take = (b[0] > a[0]) | ((b[0] == a[0]) & (b[1] > a[1]))
+    return np.where(take, b[0], a[0]), np.where(take, b[1], a[1])
+
+
+def block_extremes(rows: DataFrame) -> DataFrame:
+    """A sparse table over blocks of rows (symbol, rn, pivot): symbol, level, block and, for each way, the best value and its row
+    of the 2 ** level blocks from block on. A symbol's summaries of blocks, one for BLOCK rows, are one group."""
+    best = [F.max(F.struct((F.col("pivot") * kind).alias("v"), (F.col("rn") * last).cast("long").alias("r"))).alias(f"w{i}") for i, (kind, last) in enumerate(WAYS)]
+    blocks = rows.groupBy(KEY, F.floor((F.col("rn") - 1) / BLOCK).alias("block")).agg(*best)
+    flat = blocks.select(KEY, "block", *[F.col(f"w{i}.{x}").alias(f"{x}{i}") for i in range(len(WAYS)) for x in "vr"])
+    names = [f"{x}{i}" for i in range(len(WAYS)) for x in "vr"]
+
+    def doubled(table: pa.Table) -> pa.Table:
+        key, at = table.column(KEY)[0].as_py(), table.column("block").to_numpy()
+        block = np.arange(at.max() + 1)
+        now = []
+        for i in range(len(WAYS)):  # blocks without a value lose against all others
+            value, row = np.full(len(block), -np.inf), np.zeros(len(block), np.int64)
+            value[at], row[at] = table.column(f"v{i}").to_numpy(), table.column(f"r{i}").to_numpy()
+            now.append((value, row))
+        parts, level = [], 0
+        while True:
+            n = len(now[0][0])
+            parts.append([pa.array([key] * n, pa.string()), pa.array(np.full(n, level, np.int32)), pa.array(block[:n]), *[pa.array(x) for way in now for x in way]])
+            if n <= 1 << level:
+                return pa.concat_tables([pa.Table.from_arrays(x, [KEY, "level", "block", *names]) for x in parts])
+            step = 1 << level
+            now = [_better((v[:-step], r[:-step]), (v[step:], r[step:])) for v, r in now]
+            level += 1
+
+    kinds = ", ".join(f"{n} {'double' if n[0] == 'v' else 'long'}" for n in names)
+    return flat.groupBy(KEY).applyInArrow(doubled, f"{KEY} string, level int, block long, {kinds}")
+
+
 def price_extreme_between(df: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each span (symbol, a, b, kind) the row of the highest (kind 1) or lowest price between a and b, ties to b."""
-    rows = number_rows(df).select(F.col(KEY).alias("_key"), "rn", "pivot")
-    lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    joined = spans.join(rows, (F.col(KEY) == F.col("_key")) & (F.col("rn") >= lo) & (F.col("rn") <= hi))
-    best = F.min(F.struct((-F.col("kind") * F.col("pivot")).alias("p"), F.abs(F.col("rn") - F.col("b")).alias("d"), "rn"))
-    return joined.groupBy(KEY, "a", "b", "kind").agg(best.alias("m")).select(KEY, "a", "b", "kind", F.col("m.rn").alias("extreme_rn"))
+    """For each span (symbol, a, b, kind) the row of the highest (kind 1) or lowest price between a and b, ties to b.
+
+    Prices without a value don't count; spans without a row give none, spans that reach beyond the rows are cut. A span is
+    two parts of blocks at its ends and two entries of the sparse table between them, each found by its place: time in
+    proportion to rows plus spans, and no row meets a span that doesn't end in its block.
+    """
+    rows = numbered(df.select(KEY, TIME, F.col("pivot").cast("double").alias("pivot")))
+    rows = rows.where("pivot is not null and not isnan(pivot)").select(KEY, "rn", "pivot")
+    asked = spans.select(KEY, "a", "b", "kind").distinct().join(rows.groupBy(KEY).agg(F.max("rn").alias("_most")), KEY)
+    lo, hi = F.greatest(F.least("a", "b"), F.lit(1)), F.least(F.greatest("a", "b"), F.col("_most"))
+    asked = asked.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).where("_lo <= _hi").withColumn("_last", F.when(F.col("b") >= F.col("a"), 1).otherwise(-1))
+    asked = asked.withColumn("_first", F.floor((F.col("_lo") - 1) / BLOCK)).withColumn("_final", F.floor((F.col("_hi") - 1) / BLOCK))
+    spanned = [KEY, "a", "b", "kind", "_last"]
+    # The parts of blocks: rows of a block in an array, of which each span takes a slice.
+    held = rows.groupBy(KEY, F.floor((F.col("rn") - 1) / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("rn", "pivot"))).alias("rows"))
+    ends = asked.select(*spanned, "_lo", "_hi", F.explode(F.array_distinct(F.array("_first", "_final"))).alias("block"))
+    ends = ends.join(held, [KEY, "block"])
+    inside = F.filter("rows", lambda r: (r["rn"] >= F.col("_lo")) & (r["rn"] <= F.col("_hi")))
+    value = lambda r: F.struct((r["pivot"] * F.col("kind")).alias("v"), (r["rn"] * F.col("_last")).cast("long").alias("r"))
+    of_ends = ends.select(*spanned, F.array_max(F.transform(inside, value)).alias("best"))
+    # The whole blocks between them: two runs of 2 ** level blocks cover them.
+    between = asked.where(F.col("_final") - F.col("_first") > 1).withColumn("_n", F.col("_final") - F.col("_first") - 1)
+    between = between.withColumn("level", F.floor(F.log2(F.col("_n"))).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("level")).cast("long")
+    looked = between.select(*spanned, "level", F.explode(F.array_distinct(F.array(F.col("_first") + 1, F.col("_final") - size))).alias("block"))
+    found = looked.join(block_extremes(rows), [KEY, "level", "block"])
+    picked = F.coalesce(*[F.when((F.col("kind") == kind) & (F.col("_last") == last), F.struct(F.col(f"v{i}").alias("v"), F.col(f"r{i}").alias("r"))) for i, (kind, last) in enumerate(WAYS)])
+    best = of_ends.unionByName(found.select(*spanned, picked.alias("best"))).groupBy(*spanned).agg(F.max("best").alias("m"))
+    return best.where("m.r <> 0").select(KEY, "a", "b", "kind", F.abs("m.r").cast("int").alias("extreme_rn"))
 
 
 def next_local_extreme(df: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tickloom.functions.scalar import ratio, relative_time
+from tickloom.operators.chunks import medians, with_halo
 from tickloom.operators.windows import KEY, TIME, number_rows, ordered, running, with_islands, with_sliding_extreme
 
 EPS = 1.1920929e-07  # of single precision: stands for a long-window volume of zero
@@ -124,16 +127,30 @@ def norm_rolling_regression(df: DataFrame, column: str, windows: Sequence[int])
     return out
 
 
+def rolling_medians(df: DataFrame, column: str, windows: dict[str, int], keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """For each name the median of the last so many rows, fewer at the start; rows without a value don't count.
+
+    Chunks of rows, with a halo of the longest window, are worked on side by side, and a chunk's medians come from the ranks
+    of its values in steps that don't depend on the window (chunks.Ranks).
+    """
+
+    def work(table: pa.Table) -> dict[str, pa.Array]:
+        values = table.column("_median_of").to_numpy()
+        return {name: pa.array(medians(values, w), from_pandas=True) for name, w in windows.items()}
+
+    rows = df.withColumn("_median_of", F.coalesce(F.col(column).cast("double"), F.lit(float("nan"))))
+    return with_halo(rows, max(windows.values()) - 1, work, [(n, DoubleType()) for n in windows], keys).drop("_median_of")
+
+
 def rolling_median(df: DataFrame, column: str, w: int, out: str, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """Median of the last w rows, fewer at the start."""
-    return df.withColumn(out, F.percentile(column, 0.5).over(ordered(*keys).rowsBetween(-(w - 1), 0)))
+    return rolling_medians(df, column, {out: w}, keys)
 
 
 def relative_volume(df: DataFrame, short: int, long: int, out: str | None = None) -> DataFrame:
     """Median volume of the short window over that of the long one; a zero below counts as EPS; negative volumes fail."""
     volume = F.when(F.col("basevolume") < 0, F.raise_error(F.lit("negative volume"))).otherwise(F.col("basevolume"))
-    df = rolling_median(df.withColumn("_v", volume), "_v", short, "_short")
-    df = rolling_median(df, "_v", long, "_long")
+    df = rolling_medians(df.withColumn("_v", volume), "_v", {"_short": short, "_long": long})
     share = F.col("_short") / F.when(F.col("_long") == 0, F.lit(EPS)).otherwise(F.col("_long"))
     return df.withColumn(out or f"rv_{short}_{long}", share).drop("_v", "_short", "_long")
 

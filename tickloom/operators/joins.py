@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickloom.operators.chunks import carried
+
 
 def asof_lookup(df: DataFrame, ts: str) -> DataFrame:
     """Last row of each symbol at or before a time."""
@@ -19,29 +21,33 @@ def asof_lookup(df: DataFrame, ts: str) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, on: str = "opentime", by: str = "symbol", forward: bool = False, suffix: str = "_r") -> DataFrame:
     """left with the columns of the last row of right at or before its time (forward: first at or after).
 
-    Both sides are united and shuffled once by key; the last right row is carried along, so nothing is multiplied.
-    right's columns get the suffix; they are null where right has no such row.
+    Both sides are united and sorted inside buckets of time of each key; what a bucket ends (begins) with is carried over the
+    buckets, so nothing is multiplied and a key with a large share of all rows is spread over its buckets. right's columns
+    get the suffix; they are null where right has no such row.
     """
     values = [c for c in right.columns if c != by]
+    found = _united(left, right, on, by, suffix, {"_r": ("_right", forward)}, forward)
+    return found.select("_l.*", *[F.col(f"_r.{c}{suffix}").alias(f"{c}{suffix}") for c in values])
+
+
+def _united(left: DataFrame, right: DataFrame, on: str, by: str, suffix: str, carry: dict[str, tuple[str, bool]], left_first: bool) -> DataFrame:
+    """The rows of left (_l) with what is carried to them from right's rows (column _right)."""
+    values = [c for c in right.columns if c != by]
     lrow = F.struct(*[F.col(c) for c in left.columns])
     rrow = F.struct(*[F.col(c).alias(f"{c}{suffix}") for c in values])
     ltype, rtype = left.select(lrow.alias("x")).schema["x"].dataType, right.select(rrow.alias("x")).schema["x"].dataType
-    both = left.select(F.col(by).alias("_k"), F.col(on).alias("_t"), F.lit(1).alias("_s"), lrow.alias("_l"), F.lit(None).cast(rtype).alias("_r"))
-    both = both.unionByName(right.select(F.col(by).alias("_k"), F.col(on).alias("_t"), F.lit(0).alias("_s"), F.lit(None).cast(ltype).alias("_l"), rrow.alias("_r")))
-    # Right rows come first among equal times, seen in the direction of the search.
-    order = [F.desc("_t"), F.asc("_s")] if forward else [F.asc("_t"), F.asc("_s")]
-    w = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_s = 1")
-    return found.select("_l.*", "_r.*")
+    both = left.select(F.col(by).alias("_k"), F.col(on).alias("_t"), F.lit(1).alias("_s"), lrow.alias("_l"), F.lit(None).cast(rtype).alias("_right"))
+    both = both.unionByName(right.select(F.col(by).alias("_k"), F.col(on).alias("_t"), F.lit(0).alias("_s"), F.lit(None).cast(ltype).alias("_l"), rrow.alias("_right")))
+    # Among equal times right rows come first, or, to be found ahead, last.
+    return carried(both, "_k", "_t", [-F.col("_s") if left_first else F.col("_s")], carry).where("_s = 1")
 
 
 def nearest_row(left: DataFrame, right: DataFrame, on: str = "opentime", by: str = "symbol") -> DataFrame:
-    """At or before; before the first row of right, the first one."""
-    back = asof_join(left, right, on, by, suffix="_b")
-    both = asof_join(back, right, on, by, forward=True, suffix="_f")
+    """At or before; before the first row of right, the first one. Both directions are carried in one pass."""
+    found = _united(left, right, on, by, "", {"_b": ("_right", False), "_f": ("_right", True)}, False)
     values = [c for c in right.columns if c != by]
-    some = F.col(f"{on}_b").isNotNull()
-    return both.select(*left.columns, *[F.when(some, F.col(f"{c}_b")).otherwise(F.col(f"{c}_f")).alias(f"{c}_r") for c in values])
+    some = F.col("_b").isNotNull()
+    return found.select("_l.*", *[F.when(some, F.col(f"_b.{c}")).otherwise(F.col(f"_f.{c}")).alias(f"{c}_r") for c in values])
 
 
 def with_range(df: DataFrame, ranges: DataFrame, by: Sequence[str], on: str, start: str, end: str, values: Sequence[str]) -> DataFrame:

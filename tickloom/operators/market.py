@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tickloom.functions.scalar import split_pair
 from tickloom.operators.bars import quote_volume
 from tickloom.operators.dataset import concat_coin_tables
-from tickloom.operators.joins import asof_lookup
+from tickloom.operators.joins import asof_join, asof_lookup
 from tickloom.operators.replay import last_open_trade
 from tickloom.operators.windows import KEY, TIME, number_rows, with_sliding_sum
 from tickloom.sources.bars import epoch_minute
@@ -33,12 +33,13 @@ def rolling_quote_volume_24h(df: DataFrame) -> DataFrame:
 
 
 def price_change_24h(df: DataFrame) -> DataFrame:
-    """Percent change against the first close at or after 24 hours ago; 0 if that isn't positive."""
-    rows = df.withColumn("_minute", epoch_minute(F.col(TIME)))
-    w = Window.partitionBy(KEY).orderBy("_minute").rangeBetween(-DAY, 0)
-    rows = rows.withColumn("_first", F.first("close").over(w))
-    change = F.when(F.col("_first") > 0, (F.col("close") - F.col("_first")) / F.col("_first") * 100).otherwise(0.0)
-    return rows.withColumn("pricechangepercent", change).drop("_minute", "_first")
+    """Percent change against the first close at or after 24 hours ago, found by one lookup; 0 if that isn't positive."""
+    minute = epoch_minute(F.col(TIME))
+    then = df.select(KEY, minute.alias("_then"), F.col("close").alias("_first"))
+    rows = asof_join(df.withColumn("_then", minute - DAY), then, on="_then", forward=True, suffix="_ago")
+    first = F.col("_first_ago")
+    change = F.when(first > 0, (F.col("close") - first) / first * 100).otherwise(0.0)
+    return rows.withColumn("pricechangepercent", change).drop("_then", "_then_ago", "_first_ago")
 
 
 def market_snapshot(df: DataFrame, ts: str) -> DataFrame:

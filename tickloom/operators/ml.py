@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.dataset import class_weights, max_prediction, undersample
@@ -40,10 +40,18 @@ def fit_trend_classifier(df: DataFrame, features: Sequence[str], label: str = "l
 
 
 def fit_bounds_regressor(df: DataFrame, features: Sequence[str], targets: Sequence[str] = ("center", "width"), seed: int = 7) -> dict[str, PipelineModel]:
-    """One boosted-tree model for each of centre and width."""
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    """One boosted-tree model for each of centre and width; rows with a null feature or target are left out of the fit."""
+    assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
     tree = lambda t: GBTRegressor(featuresCol="_features", labelCol=t, predictionCol=f"{t}pred", maxIter=10, maxDepth=4, seed=seed)
-    return {t: Pipeline(stages=[assemble, tree(t)]).fit(df) for t in targets}
+    rows = df.dropna(subset=list(features))
+    return {t: Pipeline(stages=[assemble, tree(t)]).fit(rows.dropna(subset=[t])) for t in targets}
+
+
+def _missing(features: Sequence[str]) -> Column:
+    missing = F.lit(False)
+    for c in features:
+        missing = missing | F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`")
+    return missing
 
 
 def class_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -59,18 +67,19 @@ def class_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Class scores, best label and its score of every row; all null where a feature is missing."""
     labels = model.stages[0].labels
-    features = model.stages[1].getInputCols()
-    missing = F.lit(False)
-    for c in features:
-        missing = missing | F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`")
+    missing = _missing(model.stages[1].getInputCols())
     found = max_prediction(class_scores(model, df.drop("label", "score").withColumn("_missing", missing)), labels)
     shown = [F.when(~F.col("_missing"), F.col(f"`{c}`")).alias(c) if c in (*labels, "score", "label") else F.col(f"`{c}`") for c in found.columns]
     return found.select(*[x for x, c in zip(shown, found.columns, strict=True) if c != "_missing"])
 
 
 def predict_bounds(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
-    """centerpred and widthpred, the width not below 0."""
-    out = df
+    """centerpred and widthpred of every row, the width not below 0; null where a feature is missing."""
+    missing = _missing(next(iter(models.values())).stages[0].getInputCols())
+    out = df.withColumn("_missing", missing)
     for m in models.values():
         out = m.transform(out).drop("_features")
-    return out.withColumn("widthpred", F.greatest("widthpred", F.lit(0.0)))
+    shown = {f"{t}pred": F.when(~F.col("_missing"), F.col(f"{t}pred")) for t in models}
+    if "width" in models:
+        shown["widthpred"] = F.when(~F.col("_missing"), F.greatest("widthpred", F.lit(0.0)))
+    return out.withColumns(shown).drop("_missing")

@@ -7,10 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tickloom.functions.scalar import relative_gain_regr
+from tickloom.operators.chunks import automata, with_output
 from tickloom.operators.windows import KEY, TIME, ordered, with_sliding_sum
 
 
@@ -82,84 +87,133 @@ def rule_advice_switch(df: DataFrame, windows: Sequence[int], rows: int, p: Band
 
 def rule_advice_focus(df: DataFrame, windows: Sequence[int], long_gain: float, short_gain: float, close_factor: float, sell_share: float) -> DataFrame:
     """Opens with the shortest window whose gain reaches its threshold. While a trade is open, longer windows are left
-    out, and it closes when the trend of its window has weakened and the price is beyond its line. One pass per symbol."""
-    windows = sorted(windows)
+    out, and it closes when the trend of its window has weakened and the price is beyond its line.
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME).reset_index(drop=True)
-        price = pdf["pivot"].to_numpy()
-        line = {w: pdf[f"regry_{w}"].to_numpy() for w in windows}
-        gain = {w: 1 - (line[w] - pdf[f"grad_{w}"].to_numpy() * (w - 1)) / line[w] for w in windows}
-        side, focus, labels, used = 0, 0, [], []
-        for i in range(len(price)):
-            label = "allclose"
-            if side:
-                g, y = gain[focus][i], line[focus][i]
-                if side > 0:
-                    label = "longclose" if g < long_gain * close_factor and price[i] >= y * (1 + sell_share) else "longhold"
-                else:
-                    label = "shortclose" if g > short_gain * close_factor and price[i] <= y * (1 - sell_share) else "shorthold"
-            for w in windows:
-                if side and w > focus:
-                    break
-                if gain[w][i] >= long_gain or gain[w][i] <= short_gain:
-                    label = "longopen" if gain[w][i] >= long_gain else "shortopen"
-                    focus = w
-                    break
-            side = {"longopen": 1, "longhold": 1, "shortopen": -1, "shorthold": -1}.get(label, 0)
-            labels.append(label)
-            used.append(focus if side else 0)
-        return pdf.assign(label=labels, regrwindow=used)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(KEY).applyInPandas(walk, f"{kinds}, label string, regrwindow int")
+    An automaton of one state without a trade and two for each window, walked through in chunks side by side."""
+    windows = sorted(windows)
+    labels = ("allclose", "longopen", "shortopen", "longhold", "shorthold", "longclose", "shortclose")
+    count = len(windows)
+
+    def rule(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """States: 0 none, 1 + 2 i long and 2 + 2 i short with window i. Output: label and state after it."""
+        column = lambda c: table.column(c).to_numpy()
+        price, n = column("pivot"), table.num_rows
+        line = [column(f"regry_{w}") for w in windows]
+        gain = [1 - (y - column(f"grad_{w}") * (w - 1)) / y for y, w in zip(line, windows, strict=True)]
+        opens = np.full((count, n), -1)  # the first window up to each that opens
+        for i in range(count):
+            here = np.where((gain[i] >= long_gain) | (gain[i] <= short_gain), i, -1)
+            opens[i] = here if i == 0 else np.where(opens[i - 1] >= 0, opens[i - 1], here)
+        is_long = np.array(gain) >= long_gain
+        after, label = np.zeros((n, 1 + 2 * count), np.int64), np.zeros((n, 1 + 2 * count), np.int64)
+        rows = np.arange(n)
+        for state in range(1 + 2 * count):
+            focus = (state - 1) // 2
+            if state == 0:
+                kept, told = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            elif state % 2:
+                ends = (gain[focus] < long_gain * close_factor) & (price >= line[focus] * (1 + sell_share))
+                kept, told = np.where(ends, 0, state), np.where(ends, 5, 3)
+            else:
+                ends = (gain[focus] > short_gain * close_factor) & (price <= line[focus] * (1 - sell_share))
+                kept, told = np.where(ends, 0, state), np.where(ends, 6, 4)
+            to = opens[focus if state else count - 1]
+            long = is_long[np.maximum(to, 0), rows]
+            after[:, state] = np.where(to >= 0, np.where(long, 1 + 2 * to, 2 + 2 * to), kept)
+            label[:, state] = np.where(to >= 0, np.where(long, 1, 2), told)
+        return after, label * (1 + 2 * count) + after
+
+    rows = with_output(df, 1 + 2 * count, rule, "_out")
+    known, used = F.array(*[F.lit(x) for x in labels]), F.array(F.lit(0), *[F.lit(w) for w in windows for _ in range(2)])
+    label = F.get(known, F.floor(F.col("_out") / (1 + 2 * count)).cast("int"))
+    return rows.withColumn("label", label).withColumn("regrwindow", F.get(used, F.col("_out") % (1 + 2 * count))).drop("_out")
 
 
 SIM = "trade string, buydt timestamp_ntz, selldt timestamp_ntz, minutes bigint, buyprice double, sellprice double, gain double, fee double"
+#: State after a label by the state before it (none, long, short); other labels change nothing.
+SIDES = {"longopen": (1, 1, 2), "shortopen": (2, 1, 2), "longclose": (0, 0, 2), "shortclose": (0, 1, 0)}
 
 
-def simulate_rule(df: DataFrame, fee: float, keys: Sequence[str] = (KEY,)) -> DataFrame:
-    """Trades of the labels: one open at a time, long or short, with fees; an open one is closed in the last row."""
-    kinds = dict(df.dtypes)
+def _side_maps(label: np.ndarray) -> np.ndarray:
+    out = np.tile(np.arange(3, dtype=np.uint8), (len(label), 1))
+    for name, to in SIDES.items():
+        out[label == name] = to
+    return out
+
+
+def _trades(events: DataFrame, last: DataFrame, fee: float, keys: Sequence[str]) -> DataFrame:
+    """Trades from the rows (keys, opentime, pivot, side: 1, 2 or, at closes, 0) at which one opens or closes, in turn."""
+    w = Window.partitionBy(*keys).orderBy(TIME)
+    pairs = events.withColumns({"selldt": F.lead(TIME).over(w), "sellprice": F.lead("pivot").over(w)}).where("side <> 0").join(last, list(keys))
+    pairs = pairs.select(
+        *keys, "side", F.col(TIME).alias("buydt"), F.coalesce("selldt", F.col("_last").getField(TIME)).alias("selldt"),
+        F.col("pivot").alias("a"), F.when(F.col("selldt").isNull(), F.col("_last.pivot")).otherwise(F.col("sellprice")).alias("b"),
+    )
+    a, b, long = F.col("a"), F.col("b"), F.col("side") == 1
+    gain = F.when(long, (b * (1 - fee) - a * (1 + fee)) / (a * (1 + fee))).otherwise((a * (1 - fee) - b * (1 + fee)) / (a * (1 - fee)))
+    return pairs.select(
+        *keys, F.when(long, "long").otherwise("short").alias("trade"), "buydt", "selldt", F.expr("timestampdiff(MINUTE, buydt, selldt)").alias("minutes"),
+        a.alias("buyprice"), b.alias("sellprice"), gain.alias("gain"), ((a + b) * fee).alias("fee"),
+    )
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        label, price, at = pdf["label"].to_numpy(), pdf["pivot"].to_numpy(), pdf[TIME].to_numpy()
-        out, side, start = [], 0, 0
 
-        def close(i: int) -> None:
-            a, b = price[start], price[i]
-            gain = (b * (1 - fee) - a * (1 + fee)) / (a * (1 + fee)) if side > 0 else (a * (1 - fee) - b * (1 + fee)) / (a * (1 - fee))
-            minutes = int((at[i] - at[start]) / np.timedelta64(1, "m"))
-            out.append((*key, "long" if side > 0 else "short", at[start], at[i], minutes, a, b, gain, (a + b) * fee))
+def simulate_rule(df: DataFrame, fee: float, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """Trades of the labels: one open at a time, long or short, with fees; an open one is closed in the last row.
 
-        for i in range(len(price)):
-            if side and label[i] == ("longclose" if side > 0 else "shortclose"):
-                close(i)
-                side = 0
-            elif not side and label[i] in ("longopen", "shortopen"):
-                side, start = (1 if label[i] == "longopen" else -1), i
-        if side:
-            close(len(price) - 1)
-        return pd.DataFrame(out, columns=[*keys, *[c.split()[0] for c in SIM.split(", ")]])
+    The side is an automaton of three states, so a symbol's history is walked through in chunks side by side; only the rows
+    at which a trade opens or closes meet by symbol.
+    """
 
-    return df.groupBy(*keys).applyInPandas(walk, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {SIM}")
+    def rule(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        after = _side_maps(table.column("label").to_numpy(zero_copy_only=False))
+        return after, np.where(after != np.arange(3), after, 3)
+
+    rows = df.select(*keys, TIME, F.col("pivot").cast("double").alias("pivot"), "label")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(TIME, "pivot"), TIME).alias("_last"))
+    return _trades(with_output(rows, 3, rule, "side", keys).where("side <> 3"), last, fee, keys)
 
 
 def sweep_configs(df: DataFrame, w: int, grid: DataFrame, fee: float) -> DataFrame:
-    """The band rule simulated for all symbols and all rows of a parameter grid (cfgid and the fields of Band)."""
+    """The band rule simulated for all symbols and all rows of a parameter grid (cfgid and the fields of Band).
+
+    The configurations are lanes of one automaton: a symbol's rows are shuffled once for all of them. The grid, a table of
+    parameters, goes to the driver and with the function to the tasks; memory of a task grows by one lane's states.
+    """
+    names = list(Band().__dict__)
+    configs = grid.select("cfgid", *names).collect()
     gain = relative_gain_regr(F.col(f"regry_{w}"), F.col(f"grad_{w}"), w, forward=False)
-    rows = df.select(KEY, TIME, "pivot", F.lag("pivot").over(ordered()).alias("_before"), F.col(f"regry_{w}").alias("_regry"), gain.alias("_gain"))
-    rows = rows.crossJoin(F.broadcast(grid))  # a grid of parameters: as many rows as configurations
-    p = {k: F.col(k) for k in Band().__dict__}
-    down, up, g = F.col("_regry") * (1 + p["buy"]), F.col("_regry") * (1 + p["sell"]), F.col("_gain")
-    label = (
-        F.when(((F.col("pivot") < down) & (g >= p["volatility_long"])) | (g >= p["trend_long"]), "longopen")
-        .when((F.col("_before") >= up) & (g < p["trend_long"]), "longclose")
-        .when(((F.col("pivot") > up) & (g <= p["volatility_short"])) | (g <= p["trend_short"]), "shortopen")
-        .when((F.col("_before") <= down) & (g > p["trend_short"]), "shortclose").otherwise("allclose")
+    rows = df.select(
+        KEY, TIME, F.col("pivot").cast("double").alias("pivot"), F.lag(F.col("pivot").cast("double")).over(ordered()).alias("_before"),
+        F.col(f"regry_{w}").alias("_regry"), gain.alias("_gain"),
     )
-    return simulate_rule(rows.select(KEY, "cfgid", TIME, "pivot", label.alias("label")), fee, (KEY, "cfgid"))
+
+    def rule(table: pa.Table, lane: int) -> np.ndarray:
+        p = configs[lane]
+        now, before, line, g = (table.column(c).to_numpy() for c in ("pivot", "_before", "_regry", "_gain"))
+        down, up = line * (1 + p["buy"]), line * (1 + p["sell"])
+        conditions = [
+            ((now < down) & (g >= p["volatility_long"])) | (g >= p["trend_long"]), (before >= up) & (g < p["trend_long"]),
+            ((now > up) & (g <= p["volatility_short"])) | (g <= p["trend_short"]), (before <= down) & (g > p["trend_short"]),
+        ]
+        label = np.select(conditions, [0, 1, 2, 3], 4)
+        return np.array([SIDES["longopen"], SIDES["longclose"], SIDES["shortopen"], SIDES["shortclose"], (0, 1, 2)], np.uint8)[label]
+
+    id_type = grid.schema["cfgid"].dataType
+    schema = StructType([rows.schema[KEY], StructField("cfgid", id_type), rows.schema[TIME], rows.schema["pivot"], StructField("side", IntegerType())])
+
+    def emit(table: pa.Table, lane: int, state: np.ndarray) -> pa.Table:
+        after = rule(table, lane)[np.arange(table.num_rows), state]
+        at = pa.array(np.flatnonzero(after != state))
+        some = table.take(at)
+        cfgid = pa.array([configs[lane]["cfgid"]] * len(at), to_arrow_type(id_type))
+        side = pa.array(after[after != state].astype(np.int32))
+        return pa.Table.from_arrays([some.column(KEY), cfgid, some.column(TIME), some.column("pivot"), side], [f.name for f in schema])
+
+    last = rows.groupBy(KEY).agg(F.max_by(F.struct(TIME, "pivot"), TIME).alias("_last"))
+    last = last.crossJoin(F.broadcast(grid.select("cfgid")))  # a row for each symbol and configuration
+    if not configs:
+        return _trades(rows.limit(0).select(KEY, F.lit(None).cast(id_type).alias("cfgid"), TIME, "pivot", F.lit(0).alias("side")), last, fee, (KEY, "cfgid"))
+    return _trades(automata(rows, len(configs), 3, rule, emit, schema), last, fee, (KEY, "cfgid"))
 
 
 def multi_position_replay(

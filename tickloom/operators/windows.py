@@ -39,8 +39,8 @@ def with_sliding_sum(df: DataFrame, column: Column, w: int, out: str, *keys: str
     return df.withColumn(f"_{out}", total).withColumn(out, difference(f"_{out}")).drop(f"_{out}")
 
 
-def with_sliding_extreme(df: DataFrame, column: str, w: int, out: str, largest: bool, *keys: str) -> DataFrame:
-    """Largest or smallest value of the last w rows (fewer at the start).
+def with_sliding_extreme(df: DataFrame, column: str, w: int, out: str, largest: bool, *keys: str, ahead: bool = False) -> DataFrame:
+    """Largest or smallest value of the last w rows (fewer at the start); with ahead, of the row and the w - 1 after it.
 
     Rows are cut into blocks of w. A frame is the end of one block and the start of the next, so its extreme is that of
     the next block's running extreme and the previous block's extreme from the frame's start on.
@@ -49,8 +49,10 @@ def with_sliding_extreme(df: DataFrame, column: str, w: int, out: str, largest:
     pick = F.max if largest else F.min
     both = F.greatest if largest else F.least
     if w <= 32:
-        return df.withColumn(out, pick(column).over(ordered(*keys).rowsBetween(-(w - 1), 0)))
-    df = number_rows(df, *keys, name="_rn").withColumn("_block", F.floor((F.col("_rn") - 1) / w))
+        frame = ordered(*keys).rowsBetween(0, w - 1) if ahead else ordered(*keys).rowsBetween(-(w - 1), 0)
+        return df.withColumn(out, pick(column).over(frame))
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(TIME))) if ahead else F.row_number().over(ordered(*keys))
+    df = df.withColumn("_rn", row).withColumn("_block", F.floor((F.col("_rn") - 1) / w))
     inside = Window.partitionBy(*keys, "_block").orderBy("_rn")
     df = df.withColumn("_head", pick(column).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn("_tail", pick(column).over(inside.rowsBetween(0, Window.unboundedFollowing)))

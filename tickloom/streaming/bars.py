@@ -148,3 +148,87 @@ def stream_advice(features: DataFrame, buygain: float, sellgain: float, openthre
 def feed_heartbeats(events: DataFrame, symbol: str = "event_type", ts: str = "ts") -> DataFrame:
     """Last event time and count of each symbol, for update mode."""
     return events.groupBy(F.col(symbol).alias("symbol")).agg(F.max(ts).alias("last_ts"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- order and silence
+
+Step = Callable[[tuple, pd.DataFrame, "str | None"], "tuple[pd.DataFrame, str]"]
+
+
+def in_order(rows: DataFrame, at: str, delay: str, step: Step, schema: str, key: str = "symbol") -> DataFrame:
+    """What step gives for each key's rows in the order of their times, however the batches bring them.
+
+    A row waits in the key's state until the watermark (delay behind the latest time of all keys) has passed it, so rows
+    that come late by less than the delay take their place, and later ones are dropped. A timer at the oldest waiting row
+    calls on keys that get no new rows. step gets the key, its rows in order and what it returned to remember (a string).
+    """
+    whole = rows.withWatermark(at, delay)
+    names = [f.name for f in rows.schema if f.name != at]
+
+    def run(found: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, memory = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], None)
+        for frame in frames:
+            if len(frame):
+                micros = frame[at].astype("datetime64[us]").astype("int64").tolist()
+                cells = [[None if v is None or v != v else v for v in frame[c].tolist()] for c in names]
+                waiting += [[t, *row] for t, row in zip(micros, zip(*cells, strict=True), strict=True)]
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda r: (r[0], json.dumps(r)))
+        ready = [r for r in waiting if r[0] <= passed * 1000]
+        waiting = waiting[len(ready) :]
+        if ready:
+            frame = pd.DataFrame(ready, columns=[at, *names])
+            frame[at] = pd.to_datetime(frame[at], unit="us")
+            out, memory = step(found, frame, memory)
+            yield out
+        state.update((json.dumps(waiting), memory))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, passed + 1))
+
+    return whole.groupBy(key).applyInPandasWithState(run, schema, "waiting string, memory string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def gate_in_order(bars: DataFrame, minutes: float, delta: float, delay: str, at: str = "opentime") -> DataFrame:
+    """gate_classification() by time: symbol, opentime, close and classify, as a pass over all bars in order gives them."""
+
+    def step(key: tuple, frame: pd.DataFrame, memory: str | None) -> tuple[pd.DataFrame, str]:
+        last = tuple(json.loads(memory)) if memory else None
+        rows = frame.assign(minute=frame[at].astype("datetime64[us]").astype("int64") / 60e6)
+        go, last = gate(rows, last, minutes, delta)
+        return frame.assign(symbol=key[0], classify=go)[["symbol", at, "close", "classify"]], json.dumps(last)
+
+    rows = bars.select("symbol", F.col(at).cast("timestamp").alias(at), F.col("close").cast("double").alias("close"))
+    return in_order(rows, at, delay, step, f"symbol string, {at} timestamp, close double, classify boolean")
+
+
+def stale_feeds(events: DataFrame, minutes: float, delay: str, symbol: str = "event_type", ts: str = "ts") -> DataFrame:
+    """symbol, last_ts and stale: a row when a symbol has had no event for so many minutes of event time, and when it is back.
+
+    A silent symbol sends no row, so a timer reports it, once the events of the others have taken the watermark that far.
+    """
+    limit = int(minutes * 60_000)
+    rows = events.select(F.col(symbol).alias("symbol"), F.col(ts).cast("timestamp").alias("_at")).where("_at is not null").withWatermark("_at", delay)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (0, False)
+        before, out = last, []
+        for frame in frames:
+            if len(frame):
+                last = max(last, int(frame["_at"].astype("datetime64[us]").astype("int64").max()))
+        if told and last > before:
+            out.append((key[0], last, False))
+            told = False
+        due = last // 1000 + limit
+        if not told and due <= state.getCurrentWatermarkMs():
+            out.append((key[0], last, True))
+            told = True
+        state.update((last, told))
+        if not told:
+            state.setTimeoutTimestamp(due)
+        if out:
+            found = pd.DataFrame(out, columns=["symbol", "last_ts", "stale"])
+            yield found.assign(last_ts=pd.to_datetime(found["last_ts"], unit="us"))
+
+    return rows.groupBy("symbol").applyInPandasWithState(
+        run, "symbol string, last_ts timestamp, stale boolean", "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
