@@ -3,9 +3,14 @@
 Texts with equal sets are one node. Nodes whose SimHash fingerprints (of the five-word shingles) link by pigeonring filtering
 are compared first; that finds most copies. A fingerprint can't promise a likeness, so what it misses comes from a prefix
 filter: all shingles have one order, rare ones first; of two sets of likeness 4/5 or more, each has a shingle of the other
-among its first n - ceil(4 n / 5) + 1 (n: its size). Sets are filed under these, and all pairs that meet under a shingle are
-compared in full unless other links connect them already. The order says how much work there is, never what is found, so it
-may come from a sample.
+among its first n - ceil(4 n / 5) + 1 (n: its size). Sets are filed under these with the shingle's place in the order. Two
+sets that meet under their first common shingle have no more in common than the rest of either from there on, so pairs
+whose rests are too short go, and sets that have too many rarer shingles before it aren't begun with at all. The others are
+compared in full unless other links connect them already.
+
+The order comes from all rows: a count-min sketch of fixed size, to which each task adds what it has counted. Whatever the
+size of the corpus, a passage that many texts share ranks behind what they don't, so it files them together only if they
+have little else.
 
 Where many sets meet, the most central one (that with the largest share of its shingles filed with others) is compared with
 all of them first, so a cloud of copies around a text costs as many comparisons as it has members.
@@ -26,8 +31,8 @@ from tickloom.llm.graph import components
 from tickloom.llm.simhash import _LOWER, SEED, first_rows, links, numbered
 
 WORDS = 5
-#: Rows that the order of shingles is learned from (about), times that a shingle counts there, most shingles that are kept.
-SAMPLE, OFTEN, MOST = 20_000, 3, 200_000
+#: Cells of the sketch of how many rows have a shingle (a power of two), and parts in which it is added up.
+CELLS, PARTS = 1 << 21, 256
 #: Sets under a shingle up to which no central set is sought.
 FEW = 16
 #: Pairs that a task emits at a time.
@@ -50,16 +55,15 @@ def grams(text: str) -> np.ndarray:
     return np.unique(g)
 
 
-def first_grams(g: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Those of a set's shingles under which it is filed; often (ascending) are common shingles, times how common."""
+def cells(g: np.ndarray) -> np.ndarray:
+    """The cell of the sketch in which each shingle is counted."""
+    return (g >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def first_grams(g: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of a set's shingles under which it is filed, rare ones first; counts is the sketch."""
     n = len(g)
-    if not n:
-        return g
-    rank = np.zeros(n, np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, g), len(often) - 1)
-        rank = np.where(often[at] == g, times[at], 0)
-    return g[np.lexsort((g, rank))[: n - -(-4 * n // 5) + 1]]
+    return g[np.lexsort((g, counts[cells(g)]))[: n - -(-4 * n // 5) + 1]] if n else g
 
 
 def bits_of(g: np.ndarray) -> int:
@@ -76,30 +80,43 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample of rows and how often they are there."""
-    total = rows.count()
-    if total > SAMPLE:
-        rows = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
+def _sketch(rows: DataFrame) -> np.ndarray:
+    """How many rows have a shingle of each cell, over all rows. Each task counts in an array; the arrays are added up in parts."""
+    width = CELLS // PARTS
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.uint32)
         for batch in slices(batches):
-            found = [grams(t) for t in texts_of(batch).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
-
-    counted = rows.select("text").mapInArrow(work, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
-    kept = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "gram").limit(MOST).toArrow()
-    gram, n = kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    order = np.argsort(gram)
-    return gram[order], n[order]
+            for t in texts_of(batch).to_pylist():
+                np.add.at(counts, cells(grams(t)), 1)
+        some = np.flatnonzero(counts.reshape(PARTS, width).any(1))
+        for at in range(0, len(some), 32):
+            part = some[at : at + 32]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([counts[i * width : (i + 1) * width].tobytes() for i in part.tolist()])], ["part", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = sums.setdefault(part, np.zeros(width, np.uint64))
+                held += np.frombuffer(raw, np.uint32)
+        kept = [np.minimum(x, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(kept, pa.binary())], ["part", "counts"])
+
+    kind = "part int, counts binary"
+    texts = rows.select(F.col("text").cast("string").alias("text"))
+    out = np.zeros((PARTS, width), np.uint32)
+    for r in texts.mapInArrow(counted, kind).repartition("part").mapInArrow(added, kind).collect():
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
 
 
 def _sets(rows: DataFrame) -> DataFrame:
     """row, node (hash of the set), fp (its SimHash), n (its size) and filed (shingles under which it is filed) of each row."""
-    shared = rows.sparkSession.sparkContext.broadcast(_common(rows))
+    shared = rows.sparkSession.sparkContext.broadcast(_sketch(rows))  # CELLS numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = shared.value
+        counts = shared.value
         for batch in slices(batches):
             found = [grams(t) for t in texts_of(batch).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in found], np.uint64).view(np.int64)
@@ -107,7 +124,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                 [
                     batch.column("row"), pa.array(node), pa.array(np.array([bits_of(g) for g in found], np.uint64).view(np.int64)),
                     pa.array([len(g) for g in found], pa.int32()),
-                    _lists([first_grams(g, often, times) for g in found]),
+                    _lists([first_grams(g, counts) for g in found]),
                 ],
                 ["row", "node", "fp", "n", "filed"],
             )
@@ -134,24 +151,24 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """key, node, n and size (sets under the key) of all shingles under which two or more sets are filed."""
+    """key, node, n, place (of the key in the set's order) and size (sets under the key) of all shingles under which two or more are filed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n in _whole_keys(batches):
+        for key, node, n, place in _whole_keys(batches):
             _, at, size = np.unique(key, return_inverse=True, return_counts=True)
             size = size[at]
             keep = size > 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(size[keep], pa.int64())],
-                ["key", "node", "n", "size"],
+                [pa.array(key[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(place[keep]), pa.array(size[keep], pa.int64())],
+                ["key", "node", "n", "place", "size"],
             )
 
-    entries = nodes.select(F.explode("filed").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
-    return entries.mapInArrow(work, "key long, node long, n int, size long")
+    entries = nodes.select(F.posexplode("filed").alias("place", "key"), "node", "n").select("key", "node", "n", "place")
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(work, "key long, node long, n int, place int, size long")
 
 
 def _all_pairs(entries: DataFrame) -> DataFrame:
-    """a and b: the pairs of sets under a key that are alike in size and not connected (label) yet."""
+    """a and b: the pairs of sets under a key that may be alike, by their sizes and places, and aren't connected (label) yet."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -160,16 +177,19 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
 
         parts: list[np.ndarray] = []
         held = 0
-        for key, node, n, label in _whole_keys(batches):
-            # Sorted by size within a key, so the partners of a set are the rows up to the last one that is small enough.
+        for key, node, n, place, label in _whole_keys(batches):
+            # Sorted by size within a key, so the partners of a set are the rows up to the last one that is small enough. The
+            # smaller of two sets must have 8/9 of its shingles from the key on.
             ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             begin = 0
             for end in ends.tolist():
                 size, who, group = n[begin:end].astype(np.int64), node[begin:end], label[begin:end]
                 last = np.searchsorted(size, 5 * size // 4, side="right")
-                for i in range(end - begin - 1):
+                rest = size - place[begin:end]
+                for i in np.flatnonzero(9 * rest >= 8 * size)[: end - begin - 1].tolist():
                     others = slice(i + 1, int(last[i]))
-                    b = who[others][group[others] != group[i]]
+                    apart = (group[others] != group[i]) & (9 * np.minimum(rest[others], rest[i]) >= 4 * (size[others] + size[i]))
+                    b = who[others][apart]
                     if len(b):
                         a = np.full(len(b), who[i])
                         parts.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
@@ -180,7 +200,7 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
                 begin = end
         yield batch(parts)
 
-    rows = entries.select("key", "node", "n", "label").repartition("key").sortWithinPartitions("key", "n")
+    rows = entries.select("key", "node", "n", "place", "label").repartition("key").sortWithinPartitions("key", "n")
     return rows.mapInArrow(work, "a long, b long").distinct()
 
 

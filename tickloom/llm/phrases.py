@@ -26,8 +26,8 @@ LEVEL = 2
 TOSSES = 4
 #: Bytes of text that are parsed at a time: the parse holds some sixty bytes for each character.
 SLICE = 1 << 20
-#: Documents of a range of doc_ids that one task reads in order, and ranges at most.
-RANGE_ROWS, RANGES = 1000, 65536
+#: Documents of a range that one task reads in order, ranges at most, and rows that are sampled for each to find its bounds.
+RANGE_ROWS, RANGES, SAMPLED = 1000, 65536, 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -103,48 +103,77 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _bounds(docs: DataFrame) -> np.ndarray:
-    """Bounds of doc_id ranges with about RANGE_ROWS documents each."""
-    count = min(RANGES, max(1, docs.count() // RANGE_ROWS))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    shares = [i / count for i in range(1, count)]
-    found = docs.agg(F.percentile_approx(key, shares, 10 * count).alias("b")).first()["b"] if shares else []
-    return np.array(sorted(set(found or [])), np.int64)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key, tie, salt, doc_id and text: rows are in the order of the first two, and salt parts rows that both leave equal."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    return docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), salt.alias("salt"), "doc_id", text.alias("text"))
+
+
+def _bounds(rows: DataFrame) -> np.ndarray:
+    """Bounds (key, tie, salt) of ranges with about RANGE_ROWS rows each, from a sample of SAMPLED rows for each range."""
+    total = rows.count()
+    count = min(RANGES, max(1, total // RANGE_ROWS))
+    if count == 1:
+        return np.zeros((0, 3), np.int64)
+    some = rows.select("key", "tie", "salt").sample(min(1.0, SAMPLED * count / total), 5).toArrow()
+    found = np.stack([some.column(c).to_numpy() for c in ("key", "tie", "salt")], axis=1)
+    found = found[np.lexsort(found.T[::-1])]
+    return np.unique(found[(np.arange(1, count) * len(found)) // count], axis=0) if len(found) else np.zeros((0, 3), np.int64)
+
+
+def _ranges(bounds: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """The range of each row: how many bounds aren't above it."""
+    key, tie, salt = (batch.column(c).to_numpy() for c in ("key", "tie", "salt"))
+    low, high = (np.searchsorted(bounds[:, 0], key, side=side) for side in ("left", "right"))
+    for i in np.flatnonzero(low < high).tolist():  # a bound within the rows of this key
+        part = bounds[low[i] : high[i]]
+        a, b = (int(np.searchsorted(part[:, 1], tie[i], side=side)) for side in ("left", "right"))
+        high[i] = low[i] + a + int(np.searchsorted(part[a:b, 2], salt[i], side="right"))
+    return high.astype(np.int32)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row.
 
-    The next document is the next one by doc_id (null ids first; ties by text), after the last the first; a single row
-    is its own next. Null texts are empty: their fingerprints have no filled slot and are alike. Texts are shuffled once,
-    by ranges of doc_id; the first row of each range goes to the end of the range before as well, so each task reads its
-    rows in order, a slice at a time. The driver holds the bounds of the ranges and their first ids, at most RANGES.
+    The next document is the next one by doc_id (null ids first; ties by a hash of the text, so repeated rows follow each
+    other), after the last the first; a single row is its own next. Null texts are empty: their fingerprints have no filled
+    slot and are alike. An empty table gives no rows; whole texts count; columns other than doc_id and text aren't used.
+
+    Texts are shuffled once, by ranges of doc_id, hash and, for repeated rows, a number, so that no id or text with a large
+    share of all rows lies in one range; the first row of each range goes to the end of the range before as well, so each
+    task reads its rows in order, a slice at a time. The driver holds the bounds of the ranges and the ids and hashes of
+    their first rows, at most RANGES, and a sample of SAMPLED times as many numbers.
     """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = _bounds(docs.select("doc_id"))
+    rows = _keyed(docs)
+    bounds = _bounds(rows)
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(bounds, batch.column("key").to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column("key")], ["range", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_ranges(bounds, batch)), batch.column("key"), batch.column("tie")], ["range", "key", "tie"])
+
+    heads = rows.select("key", "tie", "salt").mapInArrow(located, "range int, key long, tie long").groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first"))
+    heads = sorted((r["range"], (r["first"]["key"], r["first"]["tie"])) for r in heads.collect())
+    # The ranges after which a first row comes: all from the last one with rows on, should numbers of equal rows come out otherwise.
+    before: dict[tuple[int, int], list[int]] = {}
+    for i, (at, first) in enumerate(heads):
+        since = range(heads[i - 1][0], at) if i else [*range(heads[-1][0], len(bounds) + 1), *range(at)]
+        before.setdefault(first, []).extend(since)
 
-    heads = rows.select("key").mapInArrow(located, "range int, key long").groupBy("range").agg(F.min("key").alias("key"))
-    heads = sorted((r["range"], r["key"]) for r in heads.collect())
-    before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
+    names = ["range", "tail", *rows.columns]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["range", "tail", "key", "doc_id", "text"]
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            at = np.searchsorted(bounds, keys, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), np.int32)), *batch.columns], names)
-            for k in np.unique(keys[[x in before for x in keys.tolist()]]).tolist():
-                texts = batch.column("text")
-                # Of rows with the same doc_id, the smallest text is the first.
-                i = min(np.flatnonzero(keys == k).tolist(), key=lambda j: texts[j].as_py().encode())
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([before[k]], pa.int32()), pa.array([1], pa.int32()), *one.columns], names)
+            at, n = _ranges(bounds, batch), batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(n, np.int32)), *batch.columns], names)
+            firsts: dict[tuple[int, int], int] = {}
+            for i, first in enumerate(zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist(), strict=True)):
+                if first in before:
+                    firsts.setdefault(first, i)
+            for first, i in firsts.items():
+                one = batch.take(pa.array(np.full(len(before[first]), i)))
+                yield pa.RecordBatch.from_arrays([pa.array(before[first], pa.int32()), pa.array(np.ones(len(one), np.int32)), *one.columns], names)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -155,8 +184,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                 yield _described(batch)
             held = batch.slice(batch.num_rows - 1)
 
-    sorted_rows = rows.mapInArrow(dealt, "range int, tail int, key long, doc_id long, text string")
-    sorted_rows = sorted_rows.repartition("range").sortWithinPartitions("range", "tail", "key", "text")
+    sorted_rows = rows.mapInArrow(dealt, "range int, tail int, key long, tie long, salt long, doc_id long, text string").drop("salt")
+    sorted_rows = sorted_rows.repartition("range").sortWithinPartitions("range", "tail", "key", "tie", "text")
     return sorted_rows.mapInArrow(
         paired,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

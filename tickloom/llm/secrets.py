@@ -33,7 +33,11 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 #: Further kinds that the method adds, after the base ones.
 ADDED = {
-    "private_key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"),
+    # To its end, or, where the next such mark is none, as far as the lines after it look like the body of a key.
+    "private_key": re.compile(
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:(?:(?!-----(?:BEGIN|END) ).)*+)-----END [A-Z ]*PRIVATE KEY-----"
+        r"|(?:\s*\n(?:[A-Za-z-]+: [^\n]*+|[A-Za-z0-9+/]{24,}+={0,2}|[A-Za-z0-9+/]+={1,2})[\x20\t\r]*(?=\n|\Z))*)"
+    ),
     # Of a run of token characters only the first eyJ can begin a match, so a run is passed once; "at" is where it begins.
     "jwt": re.compile(r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(?P<at>)eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     "vendor": re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|[sr]k_live_[A-Za-z0-9]{20,})"),
