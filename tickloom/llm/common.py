@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +46,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame) -> DataFrame:
     """As cut, but as Parquet: smaller for rows with texts, and later steps read only the columns that they use."""
     path = new_folder(df.sparkSession, "rows")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +74,34 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bits of the map of marked rows, for each of them and at most (16 MB).
+MARK_BITS, MOST_BITS = 16, 1 << 27
+_BUCKET = 32768
+
+
+def maybe_among(ids: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A condition on an id that holds for all of ids (column name) and for few others, to sift rows before a join decides.
+
+    The ids are marked in a map of bits of a bounded size, which is broadcast. With more ids than the map has room for, more
+    rows pass; none of ids ever fails.
+    """
+    count = ids.count()
+    bits = min(MOST_BITS, 1 << max(16, (MARK_BITS * count).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
+    marks = ids.groupBy(F.floor(place / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg((place % _BUCKET).cast("long")).alias("bits")).collect()
+    held = np.zeros((bits // _BUCKET, _BUCKET // 8), np.uint8)
+    for r in marks:
+        held[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(held.ravel())
+
+    @F.arrow_udf("boolean")
+    def marked(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda id: marked(F.pmod(F.xxhash64(id.cast("long")), F.lit(bits)).cast("long"))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(column), "")
 

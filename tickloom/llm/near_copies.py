@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, slices, texts_of, written
+from tickloom.llm.common import cut, maybe_among, slices, texts_of, written
 from tickloom.llm.graph import components
 from tickloom.llm.simhash import _LOWER, SEED, first_rows, links, numbered
 
@@ -89,17 +89,20 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         for batch in slices(batches):
             for t in texts_of(batch).to_pylist():
                 np.add.at(counts, cells(grams(t)), 1)
-        some = np.flatnonzero(counts.reshape(PARTS, width).any(1))
+        parts = counts.reshape(PARTS, width)
+        some = np.flatnonzero(parts.any(1))
         for at in range(0, len(some), 32):
             part = some[at : at + 32]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([counts[i * width : (i + 1) * width].tobytes() for i in part.tolist()])], ["part", "counts"])
+            # Most counts of a task fit a byte.
+            cells_of = [(x if x.max() > 255 else x.astype(np.uint8)).tobytes() for x in parts[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells_of, pa.binary())], ["part", "counts"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = sums.setdefault(part, np.zeros(width, np.uint64))
-                held += np.frombuffer(raw, np.uint32)
+                held += np.frombuffer(raw, np.uint8 if len(raw) == width else np.uint32)
         kept = [np.minimum(x, np.iinfo(np.uint32).max).astype(np.uint32).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(kept, pa.binary())], ["part", "counts"])
 
@@ -214,7 +217,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
             found = _lists([grams(t) for t in texts_of(batch).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "grams"])
 
-    texts = rows.select("row", F.col("text").cast("string").alias("text")).join(asked, "row").select("node", "text")
+    asked = cut(asked)
+    some = rows.select("row", F.col("text").cast("string").alias("text")).where(maybe_among(asked, "row")(F.col("row")))
+    texts = some.join(asked, "row").select("node", "text")
     full = written(texts.mapInArrow(work, "node long, grams array<long>"))
     left = full.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = full.select(F.col("node").alias("b"), F.col("grams").alias("y"))

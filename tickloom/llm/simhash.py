@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut, fresh, slices, texts_of, written
+from tickloom.llm.common import cut, fresh, maybe_among, slices, texts_of, written
 from tickloom.llm.graph import components, contracted
 
 WORDS, SEED = 4, 42
@@ -282,11 +282,14 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 def first_rows(rows: DataFrame, name: str, found: DataFrame) -> DataFrame:
     """One of the numbered rows for each component: the smallest by doc_id (null last), then by number.
 
-    found: row, doc_id and component of every row, or of those that may be the smallest.
+    found: row, doc_id and component of every row, or of those that may be the smallest. Rows that surely stay aren't
+    shuffled: what may go is sifted by a map of bits first.
     """
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    kept = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias(name))
-    return rows.join(kept, name, "left_semi").drop(name)
+    kept = cut(found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.row").alias(name)))
+    gone = cut(rows.select(name).join(kept, name, "left_anti"))
+    goes = maybe_among(gone, name)(F.col(name))
+    return rows.where(~goes).unionByName(rows.where(goes).join(gone, name, "left_anti")).drop(name)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
