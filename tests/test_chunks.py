@@ -345,3 +345,81 @@ def test_a_silent_symbol_is_reported_and_its_return_too(spark, tmp_path):
     run(live.writeStream.format("parquet").option("path", f"{tmp_path}/out"), tmp_path)
     got = sorted((r["last_ts"], r["symbol"], r["stale"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(at(4), "B", True), (at(41), "B", False), (at(41), "B", True)]
+
+
+# ---------------------------------------------------------------- trend labels
+
+T4 = targets.Thresholds(0.05, 0.02, -0.02, -0.05)
+MODES = [("last_buy_anchor", "within_maxwindow"), ("entry_anchor", "within_maxwindow"), ("last_buy_anchor", "no_hold"), ("last_buy_anchor", "beyond_maxwindow")]
+
+
+def prices(spark, n, seed, symbols="AB"):
+    r = np.random.default_rng(seed)
+    rows = []
+    for s in symbols:
+        price = (100 * np.exp(np.cumsum(r.normal(0, 0.012, n)))).round(2)
+        rows += [(s, START + dt.timedelta(minutes=i), float(p)) for i, p in enumerate(price)]
+    return spark.createDataFrame(rows, "symbol string, opentime timestamp_ntz, pivot double").repartition(4)
+
+
+@pytest.mark.parametrize(("anchor", "mode"), MODES)
+def test_labels_of_long_histories_equal_one_walk(spark, anchor, mode):
+    df = prices(spark, 3000, 21)
+    found = targets.long_trend_labels(df, 3, 12, T4, anchor, mode, chunk_rows=200)
+    want = targets.trend_labels(df, 3, 12, T4, anchor, mode)
+    rows = lambda x: sorted(map(tuple, x.select("symbol", "rn", "pivot", "label", "relix", "reason").collect()))
+    assert rows(found) == rows(want)
+    if mode != "beyond_maxwindow":
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        groups = found.select("symbol", F.spark_partition_id().alias("p")).distinct().groupBy("symbol").count()
+        assert groups.agg(F.min("count")).first()[0] > 1
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(("anchor", "mode"), MODES)
+def test_right_labels_have_no_issues(spark, anchor, mode):
+    labels = targets.trend_labels(prices(spark, 1500, 22), 3, 20, T4, anchor, mode)
+    found = {r["issue"] for r in targets.check_trend_labels(labels, T4, 3, ("symbol",), 20, anchor, mode).collect()}
+    # Beyond maxwindow a turn may close the open row from which a hold was measured.
+    assert found <= ({"extremes", "hold"} if mode == "beyond_maxwindow" else set())
+
+
+def test_planted_faults_are_found(spark):
+    """Each fault alone: a hold that falls below its threshold, a promoted segment, an open range that doesn't end at its extreme."""
+
+    def issues(price, label, relix, **more):
+        rows = [("A", START + dt.timedelta(minutes=i), i + 1, float(p), x, a) for i, (p, x, a) in enumerate(zip(price, label, relix, strict=True))]
+        df = spark.createDataFrame(rows, "symbol string, opentime timestamp_ntz, rn int, pivot double, label string, relix int")
+        return sorted(r["issue"] for r in targets.check_trend_labels(df, T4, 3, ("symbol",), 6, **more).collect())
+
+    lo, lh, so, c = "longopen", "longhold", "shortopen", "allclose"
+    rise = [100, 103, 106, 109]
+    assert issues(rise, [lo] * 4, [1] * 4) == []
+    # A hold is measured from its open row: 113 is 3.7 % above it, 110 below 2 %, and within maxwindow no row makes good for it.
+    assert issues([*rise, 113], [lo] * 4 + [lh], [1] * 4 + [3]) == []
+    assert issues([*rise, 110], [lo] * 4 + [lh], [1] * 4 + [4]) == ["hold"]
+    assert issues([*rise, 108, 113], [lo] * 4 + [lh, lh], [1] * 4 + [3, 3]) == []  # filled back
+    assert issues([*rise, 113, 112], [lo] * 4 + [lh, lh], [1] * 4 + [3, 3]) == ["hold"]  # the last one isn't an extreme
+    assert issues([*rise, 113], [lo] * 4 + [lh], [1] * 4 + [3], hold_mode="no_hold") == ["hold"]
+    # A promoted segment counts from the start of what was held; without the hold before it is too flat and too short.
+    assert issues([*rise, 110, 112], [lo] * 4 + [lh, lo], [1] * 4 + [2, 5]) == []
+    assert issues([*rise, 110, 112], [lo] * 4 + [c, lo], [1] * 4 + [5, 6]) == ["span"]
+    assert issues([100, 101, 102, 103], [c] + [lo] * 3, [1, 2, 2, 2]) == ["threshold"]
+    # Three rows on end above the end of the range, whatever it refers to; two are few enough.
+    assert issues([100, 112, 113, 112, 108], [lo] * 5, [1] * 5) == ["extremes"]
+    assert issues([100, 103, 113, 112, 108], [lo] * 5, [1] * 5) == []
+    assert issues([90, 100, 112, 113, 112, 108], [c] + [lo] * 5, [1] * 6) == ["extremes"]
+    assert issues([100, 90, 89, 90, 94], [so] * 5, [1] * 5) == ["extremes"]
+    assert issues([100, 101, 102], [c, lh, lh], [1, 1, 1]) == ["hold_without_open"]
+    assert issues([100, 101, 101], [c, lh, lh], [1, 1, 1]) == ["hold", "hold_without_open"]
+
+
+def test_trials_of_rules(spark):
+    df = prices(spark, 1500, 23, "A")
+    counts = {(r["side"], r["rule"], r["outcome"]): r["n"] for r in targets.trend_rule_trials(df, 3, 12, T4).collect()}
+    assert {k[0] for k in counts} == {"long", "short"} and {k[1] for k in counts} >= {"reversal", "from_open"}
+    for side, rule, outcome in counts:
+        if outcome == "candidate":
+            assert counts[side, rule, outcome] == sum(n for k, n in counts.items() if k[:2] == (side, rule) and k[2] != "candidate")
+    reasons = {r["reason"]: r["n"] for r in targets.trend_rule_counts(targets.trend_labels(df, 3, 12, T4)).collect()}
+    assert sum(n for (_, rule, outcome), n in counts.items() if (rule, outcome) == ("from_open", "open_goes_on")) == reasons["continue_open"]

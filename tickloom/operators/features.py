@@ -313,15 +313,15 @@ def feature_set_v5(df: DataFrame, texts: Sequence[str]) -> DataFrame:
     return out.select(KEY, TIME, *made)
 
 
-def feature_set_v6(df: DataFrame, specs: Sequence[tuple[str, int, int]], volumes: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """ry, rg, rs, mind and maxd specs (kind, window, offset), and relative volumes (short, long)."""
+def feature_set_v6(df: DataFrame, specs: Sequence[tuple[str, int, int]], volumes: Sequence[tuple[int, int]] = (), kept: Sequence[str] = (KEY, TIME)) -> DataFrame:
+    """ry, rg, rs, mind and maxd specs (kind, window, offset), and relative volumes (short, long), behind the columns kept."""
     lines = [s for s in specs if s[0] in ("ry", "rg", "rs")]
     out = regression_features(df, lines) if lines else df
     for w, o in sorted({(w, o) for k, w, o in specs if k in ("mind", "maxd")}):
         out = extreme_distances(out, w, o)
     for s, long in volumes:
         out = relative_volume(out, s, long)
-    return out.select(KEY, TIME, *[f"{k}{w}_{o}" for k, w, o in specs], *[f"rv_{s}_{long}" for s, long in volumes])
+    return out.select(*kept, *[f"{k}{w}_{o}" for k, w, o in specs], *[f"rv_{s}_{long}" for s, long in volumes])
 
 
 def feature_set_v2(df: DataFrame, windows: Sequence[int], volumes: Sequence[tuple[int, int]] = ((1, 60), (5, 240))) -> DataFrame:

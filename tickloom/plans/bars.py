@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tickloom.functions import scalar
 from tickloom.operators import bars as B
 from tickloom.operators import joins as J
+from tickloom.operators import summaries as Z
 from tickloom.operators.windows import number_rows
 from tickloom.plans.registry import DAYS, HOURS, MINUTES, W, days, hours, line_sql, lined, minutes, query, table
 from tickloom.sources import bars as S
@@ -493,6 +494,36 @@ def _(spark, d):
     return J.compare_trade_tables(*_ab(spark, d), ["symbol", "opentime"], ["close"], 0.5)
 
 
+CHANGED = f"""{HOURS}, a AS (SELECT symbol, opentime, close, basevolume FROM bars), b AS (SELECT symbol, opentime, CASE WHEN symbol = 'view' AND hour(opentime) = 3 THEN close + 1 ELSE close END AS close, basevolume
+  FROM bars WHERE NOT (symbol = 'click' AND day(opentime) = 5))"""
+
+
+@query(
+    "j6_table_differences",
+    f"""{CHANGED}, j AS (SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.opentime, b.opentime) AS opentime, coalesce(a.close = b.close, false) AS close_eq, coalesce(a.basevolume = b.basevolume, false) AS basevolume_eq
+      FROM a FULL JOIN b ON a.symbol = b.symbol AND a.opentime = b.opentime)
+    SELECT *, close_eq AND basevolume_eq AS match_all FROM j WHERE NOT (close_eq AND basevolume_eq)""",
+)
+def _(spark, d):
+    a = hours(spark, d).select("symbol", "opentime", "close", "basevolume")
+    more = (F.col("symbol") == "view") & (F.hour("opentime") == 3)
+    b = a.withColumn("close", F.when(more, F.col("close") + 1).otherwise(F.col("close"))).where("not (symbol = 'click' and day(opentime) = 5)")
+    return Z.table_differences(a, b, ["close", "basevolume"])
+
+
+@query(
+    "s10_unequal_days",
+    f"""{CHANGED}, x AS (SELECT symbol, opentime::DATE AS day, count(*) AS n, list(close ORDER BY opentime) AS v FROM a GROUP BY ALL), y AS (SELECT symbol, opentime::DATE AS day, count(*) AS n, list(close ORDER BY opentime) AS v FROM b GROUP BY ALL)
+    SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.day, y.day)::TIMESTAMP AS day, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b FROM x FULL JOIN y ON x.symbol = y.symbol AND x.day = y.day WHERE x.v IS DISTINCT FROM y.v""",
+)
+def _(spark, d):
+    a = hours(spark, d).select("symbol", "opentime", "close")
+    more = (F.col("symbol") == "view") & (F.hour("opentime") == 3)
+    b = a.withColumn("close", F.when(more, F.col("close") + 1).otherwise(F.col("close"))).where("not (symbol = 'click' and day(opentime) = 5)")
+    found = Z.unequal_cells(*[Z.digest_tree(x, ["symbol", "opentime", "close"]) for x in (a, b)])
+    return found.withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
 @query(
     "j7_portfolio_value",
     "SELECT c.c_nationkey AS coin, c.c_custkey AS account, c_acctbal::DOUBLE * coalesce(n.price, 1) AS value FROM customer c LEFT JOIN (SELECT n_nationkey, n_regionkey + 0.5::DOUBLE AS price FROM nation WHERE n_nationkey % 2 = 0) n ON n.n_nationkey = c.c_nationkey WHERE abs(c_acctbal::DOUBLE * coalesce(n.price, 1)) >= 100",

@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 from tickloom.operators.bars import liquid_ranges, slice_ranges
 from tickloom.operators.dataset import assign_partitions
 from tickloom.operators.features import feature_set_v6
-from tickloom.operators.joins import align_features_prices
 from tickloom.operators.targets import Thresholds, trend_regression_target
 from tickloom.operators.windows import number_rows
 
@@ -46,14 +45,17 @@ PRESETS = {
 
 
 def features_targets(bars: DataFrame, preset: TrendPreset = PRESETS["hourly"]) -> DataFrame:
-    """The training table: liquid ranges, features, regression target and sets, joined by symbol, range and time.
+    """The training table: liquid ranges, features, regression target and sets of each symbol.
 
-    Features and targets are computed on all bars of a symbol, then cut to its liquid ranges.
+    Features and target are computed in one chain on all bars of a symbol, so that no row is joined with the one it came from,
+    then cut to its liquid ranges.
     """
     ranges = liquid_ranges(bars, preset.minquotevol, preset.accumulate, preset.checkperiod, preset.startthreshold, preset.stopthreshold, preset.minliquidrows)
     ranges = ranges.withColumn("rangeid", F.row_number().over(Window.partitionBy("symbol").orderBy("start_rn")))
-    target = trend_regression_target(bars, preset.window, preset.thresholds.longopen, preset.thresholds.shortopen)
-    rows = align_features_prices(feature_set_v6(bars, preset.features, preset.volumes), target)
+    rows = feature_set_v6(bars, preset.features, preset.volumes, kept=bars.columns)
+    names = [c for c in rows.columns if c not in bars.columns]
+    rows = trend_regression_target(rows, preset.window, preset.thresholds.longopen, preset.thresholds.shortopen)
+    rows = rows.select("symbol", "opentime", *names, *[c for c in rows.columns if c not in ("symbol", "opentime", *names)])
     rows = slice_ranges(rows, ranges.select("symbol", F.col("rangeid").alias("liquidid"), "start_ts", "end_ts"))
     rows = number_rows(rows, "symbol", "liquidid")
     return assign_partitions(rows, preset.pattern, preset.size, preset.gap, preset.size // 2, 2 * preset.size, ("symbol", "liquidid"))

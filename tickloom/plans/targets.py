@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tickloom.operators import dataset as C
 from tickloom.operators import evaluate as E
+from tickloom.operators import summaries
 from tickloom.operators import targets as T
 from tickloom.operators.windows import number_rows, ordered, running
 from tickloom.plans.features import L24, ZIGZAG, lined
@@ -121,9 +122,21 @@ def _(spark, d):
     return smooth(spark, d)
 
 
+@query("t7_long_trend_labels")
+def _(spark, d):
+    df = lined(spark, d).select("symbol", "opentime", F.col("regry_24").alias("pivot"))
+    return T.long_trend_labels(df, 3, 48, TL)
+
+
+@query("t16_trend_rule_trials")
+def _(spark, d):
+    df = lined(spark, d).select("symbol", "opentime", F.col("regry_24").alias("pivot"))
+    return T.trend_rule_trials(df, 3, 48, TL)
+
+
 @query("t8_check_trend_labels")
 def _(spark, d):
-    return T.check_trend_labels(smooth(spark, d), TL, 3)
+    return T.check_trend_labels(smooth(spark, d), TL, 3, maxwindow=48)
 
 
 @query("t9_trend_relative_gain")
@@ -248,7 +261,7 @@ def _(spark, d):
     ranges = liquid_ranges(df, **LIQUID).withColumn("rangeid", F.row_number().over(Window.partitionBy("symbol").orderBy("start_rn")))
     keys = ("symbol", "rangeid")
     rows = slice_ranges(df.select("symbol", "opentime", "pivot"), ranges.select("symbol", "rangeid", "start_ts", "end_ts"))
-    return T.check_trend_labels(T.trend_labels(rows, 3, 24, TL, keys=keys), TL, 3, keys)
+    return T.check_trend_labels(T.trend_labels(rows, 3, 24, TL, keys=keys), TL, 3, keys, 24)
 
 
 @query("c5_concat_coin_tables", f"{HOURS} SELECT {KEYS}, close, CASE WHEN symbol < 'd' THEN high END AS extra FROM bars", "close extra")
@@ -522,6 +535,18 @@ def _(spark, d):
     return E.kpi_overview(df)
 
 
+@query(
+    "e13_kpi_of_sketches",
+    f"WITH {FILLS} SELECT set AS coin, o_custkey % 5 AS cfgid, avg(gain) AS mean_gain, quantile_disc(gain, 0.5) AS median_gain, sum(gain) AS sum_gain, min(gain) AS min_gain, max(gain) AS max_gain, count(*) AS n, avg(o_orderkey % 500)::DOUBLE AS mean_minutes, count(*) FILTER (trend = 'up') AS n_long FROM fills GROUP BY ALL",
+    "mean_gain median_gain sum_gain min_gain max_gain mean_minutes",
+)
+def _(spark, d):
+    # Sketches of parts of the table, merged: below their size they hold all values, so the median is exact.
+    df = fills(spark, d).withColumnRenamed("set", "coin").withColumn("cfgid", F.col("o_custkey") % 5).withColumn("minutes", F.col("o_orderkey") % 500)
+    parts = summaries.gain_sketches(df.withColumn("part", F.col("o_orderkey") % 3), ("coin", "cfgid", "part"))
+    return summaries.kpi_of_sketches(parts)
+
+
 @query(
     "e14_cumulative_gain_range",
     f"WITH {FILLS}, r AS (SELECT set, sum(gain) OVER (PARTITION BY set ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM fills) SELECT set AS coin, greatest(max(run), 0) AS max_cumulative, least(min(run), 0) AS min_cumulative FROM r GROUP BY set",

@@ -103,6 +103,20 @@ def write_bars(df: DataFrame, path: str, mode: str = "append") -> None:
     rows.sortWithinPartitions("symbol", "opentime").write.partitionBy("symbol").mode(mode).parquet(path)
 
 
+def store_bars(df: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
+    """Bars as a table of the catalog in buckets by symbol, sorted by symbol and time in each.
+
+    Windows by symbol over stored_bars() read them in place. Joins by symbol and time do too if the session has
+    spark.sql.requireAllClusterKeysForCoPartition off, which else asks for an exchange by both keys.
+    """
+    df.drop("pivot").repartition(buckets, "symbol").write.mode(mode).bucketBy(buckets, "symbol").sortBy("symbol", "opentime").saveAsTable(table)
+
+
+def stored_bars(spark: SparkSession, table: str) -> DataFrame:
+    """Bars of store_bars() with pivot."""
+    return spark.table(table).withColumn("pivot", pivot_price())
+
+
 def scan_all_bars(spark: SparkSession, path: str) -> DataFrame:
     """All stored pairs: folders named BASE-QUOTE become the columns symbol and quote."""
     df = spark.read.parquet(f"{path}/*").withColumn("_file", F.col("_metadata.file_path"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.types import DateType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tickloom.operators.bars import merge_bars
-from tickloom.operators.features import supplement
+from tickloom.operators.features import EPS, supplement
 from tickloom.sources.bars import pivot_price
 
 
@@ -121,22 +122,29 @@ def gate_classification(bars: DataFrame, minutes: float, delta: float) -> DataFr
     )
 
 
+NO_LIMITS = {"lo": 0.0, "lc": 0.0, "so": 0.0, "sc": 0.0}
+
+
+def advised(now: dict[str, float], label: str, score: float, close: float, buygain: float, sellgain: float, openthreshold: float) -> dict[str, float]:
+    """The limits after a row, given those before it."""
+    side = {"longopen": 1, "shortopen": -1}.get(label, 0) if score >= openthreshold else 0
+    if side > 0:
+        return now | {"lo": close * (1 - buygain), "lc": close * (1 + sellgain), "so": 0.0}
+    if side < 0:
+        return now | {"so": close * (1 + buygain), "sc": close * (1 - sellgain), "lo": 0.0}
+    return now | {"lo": 0.0, "so": 0.0}
+
+
 def stream_advice(features: DataFrame, buygain: float, sellgain: float, openthreshold: float) -> DataFrame:
     """Limits from labels and scores (symbol, minute, label, score, close), carried until an open label sets them anew."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else {"lo": 0.0, "lc": 0.0, "so": 0.0, "sc": 0.0}
+        now = json.loads(state.get[0]) if state.exists else dict(NO_LIMITS)
         rows = pd.concat(list(frames)).sort_values("minute")
         out = []
-        for r in rows.itertuples():
-            side = {"longopen": 1, "shortopen": -1}.get(r.label, 0) if r.score >= openthreshold else 0
-            if side > 0:
-                now |= {"lo": r.close * (1 - buygain), "lc": r.close * (1 + sellgain), "so": 0.0}
-            elif side < 0:
-                now |= {"so": r.close * (1 + buygain), "sc": r.close * (1 - sellgain), "lo": 0.0}
-            else:
-                now |= {"lo": 0.0, "so": 0.0}
-            out.append((key[0], r.minute, now["lo"], now["lc"], now["so"], now["sc"]))
+        for minute, label, score, close in zip(rows["minute"], rows["label"], rows["score"], rows["close"], strict=True):
+            now = advised(now, label, score, close, buygain, sellgain, openthreshold)
+            out.append((key[0], minute, now["lo"], now["lc"], now["so"], now["sc"]))
         state.update((json.dumps(now),))
         yield pd.DataFrame(out, columns=["symbol", "minute", "lo", "lc", "so", "sc"])
 
@@ -232,3 +240,96 @@ def stale_feeds(events: DataFrame, minutes: float, delay: str, symbol: str = "ev
     return rows.groupBy("symbol").applyInPandasWithState(
         run, "symbol string, last_ts timestamp, stale boolean", "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+class Ring:
+    """The last bars of a symbol, and the features of feature_set_v6() of each bar that is added.
+
+    Sums are taken over the bars of each window as they stand in the ring, so a bar costs as much as its longest window and
+    nothing is stored but the ring.
+    """
+
+    FIELDS = ("open", "high", "low", "close", "pivot", "basevolume")
+
+    def __init__(self, specs: Sequence[tuple[str, int, int]], volumes: Sequence[tuple[int, int]], rows: list[list[float]] | None = None):
+        self.specs, self.volumes, self.rows = specs, volumes, rows or []
+        self.size = max([w + o for _, w, o in specs] + [long for _, long in volumes])
+
+    def add(self, bar: Sequence[float]) -> list[float | None]:
+        self.rows = [*self.rows, list(bar)][-self.size :]
+        held = np.array(self.rows, float)
+        return [self._feature(held, *s) for s in self.specs] + [self._volume(held, *v) for v in self.volumes]
+
+    def _feature(self, held: np.ndarray, kind: str, w: int, offset: int) -> float | None:
+        pivot = held[-1, 4]
+        if kind in ("mind", "maxd"):
+            part = held[: max(len(held) - offset, 0)][-w:]
+            if not len(part):
+                return None
+            edge = part[:, 2].min() if kind == "mind" else part[:, 1].max()
+            return _share(pivot - edge, pivot)
+        past = held[: max(len(held) - offset, 0)][-w:]
+        if not len(past):
+            return None
+        slope, last = _line(past[:, 4])
+        if kind == "ry":
+            return _share(past[-1, 4] - last, past[-1, 4])
+        if kind == "rg":
+            return slope
+        n = len(past)
+        line = last + slope * (np.arange(n) - (n - 1))
+        residual = (past[:, :4] - line[:, None]).ravel()
+        return float(residual.std(ddof=1)) if residual.size > 1 else 0.0
+
+    def _volume(self, held: np.ndarray, short: int, long: int) -> float:
+        below = float(np.median(held[-long:, 5]))
+        return float(np.median(held[-short:, 5])) / (below if below else EPS)
+
+
+def _share(a: float, b: float) -> float | None:
+    return float(a / b) if b else None
+
+
+def _line(y: np.ndarray) -> tuple[float, float]:
+    """Slope of the regression line of y over its places, and its value at the last one."""
+    n = len(y)
+    if n == 1:
+        return 0.0, float(y[0])
+    x = np.arange(n) - (n - 1) / 2
+    slope = float((x * (y - y[-1])).sum() / (x * x).sum())
+    return slope, float(y.mean() + slope * (n - 1) / 2)
+
+
+def live_features(bars: DataFrame, specs: Sequence[tuple[str, int, int]], volumes: Sequence[tuple[int, int]], delay: str) -> DataFrame:
+    """feature_set_v6() of a stream of bars, in their order of time, by symbol: the state is a ring of the last bars.
+
+    Nothing is written but the state that the stream's checkpoint keeps, so a restart goes on where it was; bars that are
+    late by less than delay take their place, later ones are dropped. A bar's features come once the watermark has passed it.
+    """
+    names = [f"{k}{w}_{o}" for k, w, o in specs] + [f"rv_{s}_{long}" for s, long in volumes]
+
+    def step(key: tuple, frame: pd.DataFrame, memory: str | None) -> tuple[pd.DataFrame, str]:
+        ring = Ring(specs, volumes, json.loads(memory) if memory else None)
+        cells = [ring.add(row) for row in frame[list(Ring.FIELDS)].to_numpy(float).tolist()]
+        out = pd.DataFrame(cells, columns=names, dtype=float)
+        out.insert(0, "opentime", frame["opentime"].to_numpy())
+        out.insert(0, "symbol", key[0])
+        return out, json.dumps(ring.rows)
+
+    rows = bars.select("symbol", F.col("opentime").cast("timestamp").alias("opentime"), *[F.col(c).cast("double").alias(c) for c in Ring.FIELDS])
+    return in_order(rows, "opentime", delay, step, "symbol string, opentime timestamp, " + ", ".join(f"{n} double" for n in names))
+
+
+def limits_in_order(rows: DataFrame, buygain: float, sellgain: float, openthreshold: float, delay: str, at: str = "opentime") -> DataFrame:
+    """stream_advice() by time: limits from labels and scores (symbol, opentime, label, score, close), as one pass over all rows gives them."""
+
+    def step(key: tuple, frame: pd.DataFrame, memory: str | None) -> tuple[pd.DataFrame, str]:
+        now = json.loads(memory) if memory else dict(NO_LIMITS)
+        out = []
+        for t, label, score, close in zip(frame[at], frame["label"], frame["score"], frame["close"], strict=True):
+            now = advised(now, label, score, close, buygain, sellgain, openthreshold)
+            out.append((key[0], t, now["lo"], now["lc"], now["so"], now["sc"]))
+        return pd.DataFrame(out, columns=["symbol", at, "lo", "lc", "so", "sc"]), json.dumps(now)
+
+    some = rows.select("symbol", F.col(at).cast("timestamp").alias(at), "label", F.col("score").cast("double").alias("score"), F.col("close").cast("double").alias("close"))
+    return in_order(some, at, delay, step, f"symbol string, {at} timestamp, lo double, lc double, so double, sc double")
