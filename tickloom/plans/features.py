@@ -272,9 +272,29 @@ def _(spark, d):
     return X.significant_peaks(hours(spark, d), 0.3, -0.3).select("symbol", "opentime", "peak_rn", "distance")
 
 
-@query("x6_amplitude_extremes")
-def _(spark, d):
-    return X.amplitude_extremes(hours(spark, d), 0.5, 20)
+# From the last row backwards: the highest and lowest rows since the newest turning point (with both prices of each, since one
+# becomes the other at a turn), and the turning points so far. m: the row's own update; t: the turn that it makes.
+AMPLITUDE = 0.5
+SWING = f"""{HOURS.replace("WITH", "WITH RECURSIVE", 1)}, back AS (SELECT symbol, rn, high, low, max(rn) OVER (PARTITION BY symbol) AS n FROM bars),
+  sw AS (SELECT symbol, n, rn, rn AS top, high AS th, low AS tl, rn AS bot, high AS bh, low AS bl, 0::BIGINT AS last, []::BIGINT[] AS out FROM back WHERE rn = n
+    UNION ALL SELECT symbol, n, rn,
+      CASE WHEN again THEN rn WHEN turn = -2 THEN bot ELSE top END, CASE WHEN again THEN high WHEN turn = -2 THEN bh ELSE th END, CASE WHEN again THEN low WHEN turn = -2 THEN bl ELSE tl END,
+      CASE WHEN again THEN rn WHEN turn = 2 THEN top ELSE bot END, CASE WHEN again THEN high WHEN turn = 2 THEN th ELSE bh END, CASE WHEN again THEN low WHEN turn = 2 THEN tl ELSE bl END,
+      CASE WHEN again THEN sign(newest) * rn ELSE newest END::BIGINT, CASE WHEN again THEN list_append(made[:-2], (sign(newest) * rn)::BIGINT) ELSE made END
+    FROM (SELECT *, coalesce(made[-1], 0) AS newest, CASE WHEN made[-1] > 0 THEN high > (CASE WHEN made[-1] = top THEN th ELSE bh END) WHEN made[-1] < 0 THEN low < (CASE WHEN -made[-1] = bot THEN bl ELSE tl END) ELSE false END AS again
+      FROM (SELECT *, CASE turn WHEN 1 THEN CASE WHEN top >= bot THEN [top, -bot] ELSE [-bot, top] END WHEN 2 THEN list_append(out, top) WHEN -2 THEN list_append(out, -bot) ELSE out END AS made
+        FROM (SELECT *, CASE WHEN (th - bl) / bl < {AMPLITUDE} THEN 0 WHEN last = 0 THEN 1 WHEN last < 0 AND top < -last THEN 2 WHEN last > 0 AND bot < last THEN -2 ELSE 0 END AS turn
+          FROM (SELECT b.symbol, b.n, b.rn, b.high, b.low, s.last, s.out,
+              CASE WHEN up THEN b.rn ELSE s.top END AS top, CASE WHEN up THEN b.high ELSE s.th END AS th, CASE WHEN up THEN b.low ELSE s.tl END AS tl,
+              CASE WHEN down THEN b.rn ELSE s.bot END AS bot, CASE WHEN down THEN b.high ELSE s.bh END AS bh, CASE WHEN down THEN b.low ELSE s.bl END AS bl
+            FROM (SELECT s.*, s.last <= 0 AND b.high > s.th AS up, s.last >= 0 AND b.low < s.bl AS down FROM sw s JOIN back b ON b.symbol = s.symbol AND b.rn = s.rn - 1) s
+            JOIN back b ON b.symbol = s.symbol AND b.rn = s.rn - 1)))))"""
+
+
+@query("x6_amplitude_extremes", f"{SWING} SELECT symbol, array_to_string(list_filter(out, lambda p: abs(p) < n)[:20], ',') AS extremes FROM sw WHERE rn = 1")
+def _(spark, d):
+    found = X.amplitude_extremes(hours(spark, d), AMPLITUDE, 20)
+    return found.withColumn("extremes", F.array_join(F.col("extremes").cast("array<string>"), ","))
 
 
 @query("x7_smooth_distance", f"{HOURS} SELECT symbol, opentime, (rn + 10) * 2.0 - (pivot + ((rn + 10) * 2.0 - pivot) * 5 / 10) AS smooth FROM bars", "smooth")

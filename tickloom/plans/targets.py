@@ -10,8 +10,9 @@ from tickloom.operators import evaluate as E
 from tickloom.operators import summaries
 from tickloom.operators import targets as T
 from tickloom.operators.windows import number_rows, ordered, running
+from tickloom.plans.bars import LIQUID_SQL
 from tickloom.plans.features import L24, ZIGZAG, lined
-from tickloom.plans.registry import HOURS, W, hours, query, table
+from tickloom.plans.registry import HOURS, W, hours, line_sql, query, table
 
 KEYS = "symbol, opentime"
 THRES = T.Thresholds(longopen=0.3, longhold=0.05, shorthold=-0.05, shortopen=-0.3)
@@ -139,6 +140,25 @@ def _(spark, d):
     return T.check_trend_labels(smooth(spark, d), TL, 3, maxwindow=48)
 
 
+# The target of T6 as trend labels that refer to the first row of their run: many runs are too short, too flat or beyond their ends.
+RUNS = f"""{TREND}, nw AS (SELECT *, (label IS DISTINCT FROM lag(label) OVER ({W}))::INT AS fresh, lead(pivot) OVER ({W}) AS later FROM target), ru AS (SELECT *, sum(fresh) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM nw),
+  sd AS (SELECT *, CASE label WHEN 'longopen' THEN 1 WHEN 'shortopen' THEN -1 END AS side, first_value(pivot) OVER r AS p0, last_value(pivot) OVER r AS p1 FROM ru WINDOW r AS (PARTITION BY symbol, run ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  out AS (SELECT *, side * pivot < side * p0 AS under, side * pivot > side * p1 AS over FROM sd WHERE side IS NOT NULL),
+  beyond AS (SELECT symbol, run, max(c) AS most FROM (SELECT symbol, run, count(*) AS c FROM (SELECT symbol, run, rn - row_number() OVER (PARTITION BY symbol, run ORDER BY rn) AS g FROM out WHERE under) GROUP BY symbol, run, g
+    UNION ALL SELECT symbol, run, count(*) FROM (SELECT symbol, run, rn - row_number() OVER (PARTITION BY symbol, run ORDER BY rn) AS g FROM out WHERE over) GROUP BY symbol, run, g) GROUP BY ALL),
+  seg AS (SELECT symbol, run, label, side, p0, p1, min(rn) AS a, max(rn) AS b, arg_max(later, rn) AS p2 FROM out GROUP BY ALL),
+  far AS (SELECT seg.*, coalesce(most, 0) AS most, coalesce(side * p2 > side * p1, false) AS further FROM seg LEFT JOIN beyond USING (symbol, run)),
+  bad AS (SELECT *, CASE WHEN b - a + 1 + further::INT < 6 THEN 'span' WHEN side * ((CASE WHEN further THEN p2 ELSE p1 END) - p0) / p0 < 0.1 - 1e-9 THEN 'threshold' WHEN most >= 6 THEN 'extremes' END AS issue FROM far)"""
+
+
+@query("t8_check_of_runs", f"{RUNS} SELECT symbol, a::INT AS start_rn, b::INT AS end_rn, label, issue FROM bad WHERE issue IS NOT NULL")
+def _(spark, d):
+    df = number_rows(trend(spark, d).select("symbol", "opentime", "pivot", "label"))
+    new = ~F.col("label").eqNullSafe(F.lag("label").over(ordered()))
+    df = df.withColumn("_new", new).withColumn("relix", F.max(F.when(F.col("_new"), F.col("rn"))).over(running())).drop("_new")
+    return T.check_trend_labels(df, TL, 6)
+
+
 @query("t9_trend_relative_gain")
 def _(spark, d):
     return T.trend_relative_gain(smooth(spark, d)).select("symbol", "opentime", "relative_gain")
@@ -252,6 +272,36 @@ def _(spark, d):
     return features_targets(hours(spark, d))
 
 
+def training_sql() -> str:
+    """All steps of features_targets() with the hourly preset: regressions, deviation, extremes, volumes, target, ranges, sets."""
+    frame = f"OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
+    liquid = recursive(LIQUID_SQL).replace("HAVING max(rn) - min(rn) + 1 >= 6", "HAVING max(rn) - min(rn) + 1 >= 48")
+    return f"""{liquid}, {L24}, {line_sql(6).replace("line AS", "line6 AS")},
+  res AS (SELECT l.symbol, l.opentime, [b.open, b.high, b.low, b.close] AS p, l.regry - l.grad * (l.rn - b.rn) AS y FROM line l JOIN bars b ON l.symbol = b.symbol AND b.rn BETWEEN l.rn - 23 AND l.rn),
+  dev AS (SELECT symbol, opentime, coalesce(stddev_samp(v), 0) AS rs24_0 FROM (SELECT symbol, opentime, unnest(p) - y AS v FROM res) GROUP BY ALL),
+  ex AS (SELECT symbol, opentime, (pivot - min(low) {frame}) / pivot AS mind24_0, (pivot - max(high) {frame}) / pivot AS maxd24_0,
+    median(basevolume) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / median(basevolume) {frame} AS rv_3_24 FROM bars),
+  {TREND[TREND.index("ah AS"):]},
+  every AS (SELECT line.symbol, line.opentime, line.rn AS bar, (line.pivot - line.regry) / line.pivot AS ry24_0, line.grad AS rg24_0, rs24_0, mind24_0, maxd24_0, line6.grad AS rg6_0, rv_3_24, target.gain, target.label
+    FROM line JOIN line6 USING (symbol, opentime) JOIN dev USING (symbol, opentime) JOIN ex USING (symbol, opentime) JOIN target USING (symbol, opentime)),
+  liq AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY start_rn) AS liquidid FROM ranges),
+  held AS (SELECT e.*, liquidid, row_number() OVER (PARTITION BY e.symbol, liquidid ORDER BY opentime) AS rn FROM every e JOIN liq ON e.symbol = liq.symbol AND bar BETWEEN start_rn AND end_rn),
+  sizes AS (SELECT symbol, liquidid, max(rn) AS n FROM held GROUP BY ALL),
+  use AS (SELECT *, CASE WHEN n < 124 THEN greatest(round_even((n % 124) / 6::DOUBLE, 0) - 1, 10) ELSE least(20 + round_even((n % 124) / 6::DOUBLE, 0), 40) END::BIGINT AS size FROM sizes WHERE n >= 120),
+  walk AS (SELECT symbol, liquidid, n, size, 0 AS i, 1::BIGINT AS a, size AS b FROM use
+    UNION ALL SELECT symbol, liquidid, n, size, i + 1, b + 5, b + 4 + size * CASE WHEN i % 2 = 1 AND b + 5 + size < n THEN 2 ELSE 1 END FROM walk WHERE b + 1 < n AND b + 5 <= n)
+  SELECT h.symbol, opentime, h.liquidid::INT AS liquidid, rn::INT AS rn, CASE i % 4 WHEN 1 THEN 'test' WHEN 3 THEN 'eval' ELSE 'train' END AS set, (i + 1)::INT AS rangeid,
+    ry24_0, rg24_0, rs24_0, mind24_0, maxd24_0, rg6_0, rv_3_24, gain, label FROM held h JOIN walk w ON h.symbol = w.symbol AND h.liquidid = w.liquidid AND rn BETWEEN a AND b"""
+
+
+@query("c3_training_rows", training_sql(), "ry24_0 rg24_0 rs24_0 mind24_0 maxd24_0 rg6_0 rv_3_24 gain")
+def _(spark, d):
+    from tickloom.plans.pipelines import features_targets
+
+    names = ["symbol", "opentime", "liquidid", "rn", "set", "rangeid", "ry24_0", "rg24_0", "rs24_0", "mind24_0", "maxd24_0", "rg6_0", "rv_3_24", "gain", "label"]
+    return features_targets(hours(spark, d)).select(*names)
+
+
 @query("c4_target_issues")
 def _(spark, d):
     from tickloom.operators.bars import liquid_ranges, slice_ranges

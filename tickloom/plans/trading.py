@@ -156,6 +156,26 @@ def _(spark, d):
     return P.check_trade_rows(P.limit_reversal_rows(grouped(spark, d), LIMITS))
 
 
+# Trade rows with planted faults: amounts, prices, limits and times by the row's number.
+FAULTS = {
+    "lp_amount": ("rn % 5 < 2", 100.0), "sp_amount": ("rn % 7 IN (1, 2)", 100.0), "l_pavg": ("rn % 11 <> 0", 9.5), "s_pavg": ("rn % 13 <> 1", 9.5),
+    "lc_limit": ("rn % 6 <> 5", 10.5), "sc_limit": ("rn % 8 <> 2", 8.5),
+}
+
+
+@query(
+    "r10_faults_of_trade_rows",
+    f"""{HOURS}, t AS (SELECT symbol, rn, {", ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END AS {k}" for k, (c, v) in FAULTS.items())}, CASE WHEN rn % 3 = 0 THEN opentime END AS lastopentrade FROM bars),
+    r AS (SELECT symbol, rn::INT AS rn, CASE WHEN lp_amount > 0 AND sp_amount > 0 THEN 'long_and_short' WHEN lp_amount > 0 AND l_pavg <= 0 THEN 'long_without_price' WHEN sp_amount > 0 AND s_pavg <= 0 THEN 'short_without_price'
+      WHEN lp_amount + sp_amount = 0 AND lastopentrade IS NOT NULL THEN 'flat_with_time' WHEN lp_amount > 0 AND lc_limit <= 0 THEN 'long_without_close' WHEN sp_amount > 0 AND sc_limit <= 0 THEN 'short_without_close' END AS rule FROM t)
+    SELECT * FROM r WHERE rule IS NOT NULL""",
+)
+def _(spark, d):
+    rows = number_rows(hours(spark, d))
+    rows = rows.withColumns({k: F.when(F.expr(c), F.lit(v)).otherwise(0.0) for k, (c, v) in FAULTS.items()})
+    return P.check_trade_rows(rows.withColumn("lastopentrade", F.when(F.col("rn") % 3 == 0, F.col("opentime")))).select("symbol", "rn", "rule")
+
+
 @query("r11_true_vs_predicted_gains")
 def _(spark, d):
     return P.true_vs_predicted_gains(grouped(spark, d), LIMITS)
@@ -331,6 +351,21 @@ def _minute():
     return F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")) / 6e7
 
 
+@query(
+    "l4_gate_in_order",
+    f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, ts, date_diff('microsecond', TIMESTAMP '1970-01-01', ts) / 6e7::DOUBLE AS minute, value AS close,
+      row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events WHERE value IS NOT NULL),
+    walk AS (SELECT *, true AS classify, minute AS m, close AS c FROM e WHERE rn = 1
+      UNION ALL SELECT e.*, {GATE}, CASE WHEN {GATE} THEN e.minute ELSE w.m END, CASE WHEN {GATE} THEN e.close ELSE w.c END FROM walk w JOIN e ON e.symbol = w.symbol AND e.rn = w.rn + 1)
+    SELECT symbol, ts AS opentime, close, classify FROM walk WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM e) - INTERVAL 10 MINUTE""",
+    "close",
+)
+def _(spark, d):
+    rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), F.col("ts").alias("opentime"), F.col("value").alias("close"))
+    found = _drained(spark, L.gate_in_order(rows, 60.0, 0.5, "10 minutes"), "append")
+    return found.withColumn("opentime", F.col("opentime").cast("timestamp_ntz"))
+
+
 @query(
     "l5_stream_advice",
     """WITH l AS (SELECT event_type AS symbol, ts, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 6e7::DOUBLE AS minute, value AS close, event_id % 7 = 0 AS long, event_id % 7 = 3 AS short FROM events WHERE value IS NOT NULL)
@@ -351,3 +386,11 @@ def _(spark, d):
 def _(spark, d):
     return _drained(spark, L.feed_heartbeats(_events(spark, d)), "update")
 
+
+@query(
+    "l6_stale_feeds",
+    "SELECT event_type AS symbol, max(ts) AS last_ts, true AS stale FROM events GROUP BY event_type HAVING epoch_ms(max(ts)) + 300000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000",
+)
+def _(spark, d):
+    found = _drained(spark, L.stale_feeds(_events(spark, d), 5, "10 minutes"), "append")
+    return found.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
