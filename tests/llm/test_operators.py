@@ -635,9 +635,12 @@ def test_one_document_of_each_component_stays(docs):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables_and_clashing_columns(spark, tmp_path, name):
-    empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for folder, docs in (("none", empty(spark)), ("extra", documents(spark, extra=True))):
+        docs.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        docs.withColumn("quality", F.col("doc_id") % 2).write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        talks = docs.withColumn("conv_id", F.col("doc_id")).withColumn("turn", F.col("n_chars")).withColumn("role", F.lit("user"))
+        talks.write.parquet(f"{tmp_path}/{folder}/conversations.parquet")
     assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
-    documents(spark, extra=True).write.parquet(f"{tmp_path}/extra/documents.parquet")
     assert queries.QUERIES[name](spark, f"{tmp_path}/extra").count() >= len(texts())
 
 

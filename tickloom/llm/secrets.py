@@ -106,7 +106,9 @@ def update(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> Data
     spark = docs.sparkSession
     try:
         seen = spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a ledger that can't be read is no empty one
+            raise
         seen = None
     scan(docs, seen, rule_version).write.mode("append").partitionBy("rule_version").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
