@@ -210,14 +210,15 @@ def _all_pairs(entries: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose likeness is 4/5 or more, by all shingles of both."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    # Copies of a set are combined before they meet what is asked for.
+    asked = sets.groupBy("node").agg(F.min("row").alias("row")).join(asked, "node", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = _lists([grams(t) for t in texts_of(batch).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "grams"])
 
-    asked = cut(asked)
+    asked = cut(asked.select("node", "row"))
     some = rows.select("row", F.col("text").cast("string").alias("text")).where(maybe_among(asked, "row")(F.col("row")))
     texts = some.join(asked, "row").select("node", "text")
     full = written(texts.mapInArrow(work, "node long, grams array<long>"))
