@@ -31,17 +31,15 @@ def bucket(at: Column, kind: DataType) -> Column:
 
 def numbered(df: DataFrame, keys: Sequence[str] = (KEY,), by: str = TIME, name: str = "rn") -> DataFrame:
     """df with the rows of each key numbered from 1 by time. No task gets more than a bucket of a key."""
-    at = bucket(F.col(by), df.schema[by].dataType)
-    rows = df.drop(name).withColumn("_in_bucket", at)
-    counts = rows.groupBy(*keys, "_in_bucket").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_in_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_in_bucket").alias("_of_bucket"), F.coalesce(before, F.lit(0)).alias("_rows_before"))
-    rows = rows.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys, "_in_bucket").orderBy(by)))
-    same = F.col("_in_bucket").eqNullSafe(F.col("_of_bucket"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    # One key for a bucket, so that window, counts and join find the rows where one exchange put them; in a struct nulls are equal.
+    whole = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket(F.col(by), df.schema[by].dataType).alias("b"))
+    rows = df.drop(name).withColumn("_bucket_key", whole).repartition("_bucket_key")
+    counts = rows.groupBy("_bucket_key").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*[F.col(f"_bucket_key.k{i}") for i in range(len(keys))]).orderBy("_bucket_key.b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_bucket_key", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"))
+    rows = rows.withColumn("_inside", F.row_number().over(Window.partitionBy("_bucket_key").orderBy(by)))
     kept = [F.col(c) for c in df.columns if c != name]
-    return rows.join(counts, same).select(*kept, (F.col("_inside") + F.col("_rows_before")).cast("int").alias(name))
+    return rows.join(counts, "_bucket_key").select(*kept, (F.col("_inside") + F.col("_rows_before")).cast("int").alias(name))
 
 
 def _schema(df: DataFrame, *more: tuple[str, DataType], without: Sequence[str] = ()) -> StructType:
@@ -84,8 +82,10 @@ def carried(rows: DataFrame, key: str, at: str, tie: Sequence[Column], values: d
     values: name to (source column, forward). Rows are in the order of at, then tie. Each bucket of a key is one window;
     the last and first values of buckets are carried over the buckets, which are few, and joined to their rows.
     """
-    rows = rows.withColumn("_bucket", bucket(F.col(at), rows.schema[at].dataType))
-    inside = Window.partitionBy(key, "_bucket").orderBy(at, *tie)
+    names = list(rows.columns)
+    whole = F.struct(F.col(key).alias("k"), bucket(F.col(at), rows.schema[at].dataType).alias("b"))
+    rows = rows.withColumn("_bucket", whole).repartition("_bucket")
+    inside = Window.partitionBy("_bucket").orderBy(at, *tie)
     some, ends = {}, {}
     order = F.struct(F.col(at), *[t.alias(f"t{i}") for i, t in enumerate(tie)])
     for name, (source, forward) in values.items():
@@ -93,15 +93,13 @@ def carried(rows: DataFrame, key: str, at: str, tie: Sequence[Column], values: d
         some[name] = (F.first if forward else F.last)(source, ignorenulls=True).over(frame)
         place = F.when(F.col(source).isNotNull(), order)
         ends[name] = (F.min_by if forward else F.max_by)(F.col(source), place)
-    over = rows.groupBy(key, "_bucket").agg(*[v.alias(f"_e_{n}") for n, v in ends.items()])
-    buckets = Window.partitionBy(key).orderBy("_bucket")
+    over = rows.groupBy("_bucket").agg(*[v.alias(f"_e_{n}") for n, v in ends.items()])
+    buckets = Window.partitionBy("_bucket.k").orderBy("_bucket.b")
     for name, (_, forward) in values.items():
         frame = buckets.rowsBetween(1, Window.unboundedFollowing) if forward else buckets.rowsBetween(Window.unboundedPreceding, -1)
         over = over.withColumn(f"_c_{name}", (F.first if forward else F.last)(f"_e_{name}", ignorenulls=True).over(frame))
-    over = over.select(F.col(key).alias("_k2"), F.col("_bucket").alias("_b2"), *[f"_c_{n}" for n in values])
-    found = rows.withColumns(some).join(over, F.col(key).eqNullSafe(F.col("_k2")) & F.col("_bucket").eqNullSafe(F.col("_b2")))
-    kept = [F.col(c) for c in rows.columns if c not in (*values, "_bucket")]
-    return found.select(*kept, *[F.coalesce(n, f"_c_{n}").alias(n) for n in values])
+    found = rows.withColumns(some).join(over.select("_bucket", *[f"_c_{n}" for n in values]), "_bucket")
+    return found.select(*[c for c in names if c not in values], *[F.coalesce(n, f"_c_{n}").alias(n) for n in values])
 
 
 # ---------------------------------------------------------------- automata
