@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tests.test_files_and_streams import run, stream
-from tickloom.operators import chunks, extremes, features, joins, market, ml, rules, targets
+from tickloom.operators import chunks, extremes, features, joins, market, ml, rules, targets, windows
 from tickloom.operators.windows import number_rows
 from tickloom.streaming import bars as L
 
@@ -285,6 +285,15 @@ def test_a_hot_symbol_is_spread_over_tasks(spark):
     assert all("(_e_" in x for x in windows if x not in over_rows)
 
 
+def test_no_frame_reaches_to_the_end(spark):
+    """Spark goes through a frame up to the end of its rows anew for each row, which is quadratic in the rows of a bucket."""
+    _, df = walk(spark)
+    left = df.select("symbol", "opentime")
+    forward = [joins.nearest_row(left, df), joins.asof_join(left, df, forward=True), extremes.neighbour_extremes(df, "pivot"), windows.with_sliding_extreme(df, "high", 40, "top", True)]
+    for found in forward:
+        assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_change_in_24_hours_equals_a_search(spark, small):
     frame, df = walk(spark, 14, (("A", 1500), ("B", 20)))
     got = {(r["symbol"], r["opentime"]): r["pricechangepercent"] for r in market.price_change_24h(df).collect()}

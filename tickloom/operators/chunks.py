@@ -80,24 +80,24 @@ def carried(rows: DataFrame, key: str, at: str, tie: Sequence[Column], values: d
     """rows with, for each name, the last value of its source column at or before the row that isn't null (forward: the first at or after).
 
     values: name to (source column, forward). Rows are in the order of at, then tie. Each bucket of a key is one window;
-    the last and first values of buckets are carried over the buckets, which are few, and joined to their rows.
+    the last and first values of buckets are carried over the buckets, which are few, and joined to their rows. To look ahead,
+    rows are passed in the opposite order: Spark goes through a frame up to the end anew for each row, a running one once.
     """
     names = list(rows.columns)
     whole = F.struct(F.col(key).alias("k"), bucket(F.col(at), rows.schema[at].dataType).alias("b"))
     rows = rows.withColumn("_bucket", whole).repartition("_bucket")
     inside = Window.partitionBy("_bucket").orderBy(at, *tie)
+    against = Window.partitionBy("_bucket").orderBy(F.desc(at), *[t.desc() for t in tie])
     some, ends = {}, {}
     order = F.struct(F.col(at), *[t.alias(f"t{i}") for i, t in enumerate(tie)])
     for name, (source, forward) in values.items():
-        frame = inside.rowsBetween(0, Window.unboundedFollowing) if forward else inside.rowsBetween(Window.unboundedPreceding, 0)
-        some[name] = (F.first if forward else F.last)(source, ignorenulls=True).over(frame)
+        some[name] = F.last(source, ignorenulls=True).over((against if forward else inside).rowsBetween(Window.unboundedPreceding, 0))
         place = F.when(F.col(source).isNotNull(), order)
         ends[name] = (F.min_by if forward else F.max_by)(F.col(source), place)
     over = rows.groupBy("_bucket").agg(*[v.alias(f"_e_{n}") for n, v in ends.items()])
-    buckets = Window.partitionBy("_bucket.k").orderBy("_bucket.b")
     for name, (_, forward) in values.items():
-        frame = buckets.rowsBetween(1, Window.unboundedFollowing) if forward else buckets.rowsBetween(Window.unboundedPreceding, -1)
-        over = over.withColumn(f"_c_{name}", (F.first if forward else F.last)(f"_e_{name}", ignorenulls=True).over(frame))
+        buckets = Window.partitionBy("_bucket.k").orderBy(F.desc("_bucket.b") if forward else F.asc("_bucket.b"))
+        over = over.withColumn(f"_c_{name}", F.last(f"_e_{name}", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)))
     found = rows.withColumns(some).join(over.select("_bucket", *[f"_c_{n}" for n in values]), "_bucket")
     return found.select(*[c for c in names if c not in values], *[F.coalesce(n, f"_c_{n}").alias(n) for n in values])
 

@@ -32,9 +32,10 @@ def neighbour_extremes(df: DataFrame, grad: str) -> DataFrame:
     """Row numbers of the turning rows before and after each row."""
     rows = number_rows(turns(df, grad))
     at = F.when(F.col("turn") != 0, F.col("rn"))
-    w = ordered()
-    rows = rows.withColumn("prev_extreme", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.withColumn("next_extreme", F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).drop("turn")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("prev_extreme", F.last(at, ignorenulls=True).over(earlier(ordered())))
+    # Ahead is earlier in the opposite order: a frame up to the end would be gone through anew for each row.
+    return rows.withColumn("next_extreme", F.last(at, ignorenulls=True).over(earlier(Window.partitionBy(KEY).orderBy(F.desc(TIME))))).drop("turn")
 
 
 #: Rows of a block of the table of extremes.

@@ -55,7 +55,8 @@ def with_sliding_extreme(df: DataFrame, column: str, w: int, out: str, largest:
     df = df.withColumn("_rn", row).withColumn("_block", F.floor((F.col("_rn") - 1) / w))
     inside = Window.partitionBy(*keys, "_block").orderBy("_rn")
     df = df.withColumn("_head", pick(column).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_tail", pick(column).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    against = Window.partitionBy(*keys, "_block").orderBy(F.desc("_rn"))
+    df = df.withColumn("_tail", pick(column).over(against.rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn(out, both("_head", F.lag("_tail", w - 1).over(Window.partitionBy(*keys).orderBy("_rn"))))
     return df.drop("_rn", "_block", "_head", "_tail")
 
