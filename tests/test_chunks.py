@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -18,6 +19,16 @@ from tickloom.streaming import bars as L
 START = dt.datetime(2024, 1, 1)
 
 
+class Most(AccumulatorParam):
+    """The largest value of all that are added."""
+
+    def zero(self, value):
+        return value
+
+    def addInPlace(self, a, b):  # noqa: N802
+        return max(a, b)
+
+
 @pytest.fixture
 def small(monkeypatch):
     """Chunks and buckets so small that every symbol has many."""
@@ -346,6 +357,73 @@ def test_gates_in_the_order_of_time_equal_one_pass(spark, tmp_path):
         assert want and {k: v for k, v in got.items() if k[0] == s} == want
 
 
+@pytest.mark.parametrize("delay", [None, "10 minutes"])
+def test_gates_of_batches_equal_one_pass(spark, tmp_path, delay):
+    """In pieces of seven rows, whose keys go over several of them; what a symbol remembers goes over batches, also those without its rows."""
+    r = random.Random(17)
+    rows = [(s, START + dt.timedelta(minutes=i + (s == "B") * 0.5), 100.0 + r.choice([-8, 0, 0, 0, 6]), i) for s in ("A", "B", None) for i in range(80)]
+    rows = [x for x in rows if x[0] != "B" or not 20 <= x[3] < 40]
+    rows += [("A", x[1], 130.0, x[3] + 1000) for x in rows[40:45]]  # equal times: event_id decides
+    early = lambda x: x[3] % 1000 if delay is None else x[3] % 1000 + r.randint(0, 6)
+    parts = [(*x, min(early(x) // 20, 3)) for x in rows]
+    df = spark.createDataFrame(parts, "symbol string, opentime timestamp, close double, event_id int, part int")
+    df = df.withColumn("minute", F.unix_micros("opentime") / 6e7)
+    at = "minute" if delay is None else "opentime"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        run(L.gate_batches(stream(spark, df, tmp_path, 4), f"{tmp_path}/out", 10, 0.05, at, delay, ["event_id"]), tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted(map(tuple, L.ordered_rows(spark, f"{tmp_path}/out", L.gate_schema(at)).collect()), key=str)
+    want, until = [], max(x[1] for x in rows) - dt.timedelta(minutes=10)
+    for s in ("A", "B", None):
+        mine = sorted((x for x in rows if x[0] == s), key=lambda x: (x[1], x[3]))
+        go, _ = L.gate(pd.DataFrame([(x[1].timestamp() / 60, x[2]) for x in mine], columns=["minute", "close"]), None, 10, 0.05)
+        want += [(s, x[1].timestamp() / 60 if delay is None else x[1], x[2], g) for x, g in zip(mine, go, strict=True) if delay is None or x[1] <= until]
+    assert got == sorted(want, key=str)
+
+
+def test_a_piece_is_all_that_a_task_holds_of_a_symbol(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0, Most())
+
+    def step(key, frame, memory):
+        seen.add(len(frame))
+        return frame[["symbol", "minute"]], str(int(memory or 0) + len(frame))
+
+    df = spark.range(5000).select(F.lit("A").alias("symbol"), F.rand(1).alias("minute"), F.lit(0).alias("part"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        run(L.batches_in_order(stream(spark, df, tmp_path, 1), f"{tmp_path}/out", step, "symbol string, minute double", "minute"), tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen.value == 100 and L.ordered_rows(spark, f"{tmp_path}/out", "symbol string, minute double").count() == 5000
+    kept = spark.read.parquet(f"{tmp_path}/out/rows").where("_memory is not null").collect()
+    assert [(x["symbol"], x["_memory"]) for x in kept] == [("A", "5000")]
+
+
+def test_a_late_row_is_dropped_and_a_repeated_batch_gives_the_same(spark, tmp_path):
+    at = lambda m: START + dt.timedelta(minutes=m)
+    rows = [("A", at(0), 0), ("A", at(20), 0), ("A", at(10), 1), ("A", at(9), 1), ("A", at(12), 1), ("A", at(40), 1)]
+    df = spark.createDataFrame([(*x, 100.0) for x in rows], "symbol string, opentime timestamp, part int, close double")
+    writers = []
+
+    class Batches:
+        def foreachBatch(self, apply):  # noqa: N802
+            writers.append(apply)
+
+    class Rows:
+        writeStream = Batches()  # noqa: N815
+
+    def step(key, frame, memory):
+        return frame[["symbol", "opentime"]].assign(n=int(memory or 0) + np.arange(1, len(frame) + 1)), str(int(memory or 0) + len(frame))
+
+    L.batches_in_order(Rows(), f"{tmp_path}/out", step, "symbol string, opentime timestamp, n long", "opentime", "10 minutes")
+    for number in (0, 1, 1):
+        writers[0](df.where(F.col("part") == number).drop("part"), number)
+    got = sorted((x["n"], x["opentime"]) for x in L.ordered_rows(spark, f"{tmp_path}/out", "symbol string, opentime timestamp, n long").collect())
+    assert got == [(1, at(0)), (2, at(12)), (3, at(20))]
+
+
 def test_a_silent_symbol_is_reported_and_its_return_too(spark, tmp_path):
     at = lambda m: START + dt.timedelta(minutes=m)
     rows = [("A", at(m), 0) for m in range(5)] + [("B", at(m), 0) for m in range(5)]

@@ -319,6 +319,13 @@ def _drained(spark, df, mode: str):
     return spark.read.schema(df.schema).parquet(f"{name}/out")
 
 
+def _ordered(spark, writer, schema: str):
+    """All rows that batches in order give; writer is made from the folder for them."""
+    name = folder(spark)
+    writer(f"{name}/out").option("checkpointLocation", f"{name}/at").trigger(availableNow=True).start().awaitTermination()
+    return L.ordered_rows(spark, f"{name}/out", schema)
+
+
 @query(
     "l1_stream_bars",
     f"""{HOURS} SELECT symbol, opentime, open, high, low, close, basevolume, pivot FROM bars
@@ -361,8 +368,8 @@ def _minute():
     "close",
 )
 def _(spark, d):
-    rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), F.col("ts").alias("opentime"), F.col("value").alias("close"))
-    found = _drained(spark, L.gate_in_order(rows, 60.0, 0.5, "10 minutes"), "append")
+    rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), F.col("ts").alias("opentime"), F.col("value").alias("close"), "event_id")
+    found = _ordered(spark, lambda path: L.gate_batches(rows, path, 60.0, 0.5, "opentime", "10 minutes", ["event_id"]), L.gate_schema("opentime"))
     return found.withColumn("opentime", F.col("opentime").cast("timestamp_ntz"))
 
 

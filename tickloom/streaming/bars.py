@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DateType, LongType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tickloom.operators.bars import merge_bars
@@ -108,7 +108,10 @@ def gate(rows: pd.DataFrame, last: tuple[float, float] | None, minutes: float, d
 
 
 def gate_classification(bars: DataFrame, minutes: float, delta: float) -> DataFrame:
-    """symbol, minute, close and classify; the state of a symbol is the last close and time that classified."""
+    """symbol, minute, close and classify; the state of a symbol is the last close and time that classified.
+
+    A symbol's rows of a batch are in the memory of one task; gate_batches() takes batches of any size.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = tuple(state.get) if state.exists else None
@@ -136,7 +139,10 @@ def advised(now: dict[str, float], label: str, score: float, close: float, buyga
 
 
 def stream_advice(features: DataFrame, buygain: float, sellgain: float, openthreshold: float) -> DataFrame:
-    """Limits from labels and scores (symbol, minute, label, score, close), carried until an open label sets them anew."""
+    """Limits from labels and scores (symbol, minute, label, score, close), carried until an open label sets them anew.
+
+    A symbol's rows of a batch are in the memory of one task; advice_batches() takes batches of any size.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = json.loads(state.get[0]) if state.exists else dict(NO_LIMITS)
@@ -169,6 +175,7 @@ def in_order(rows: DataFrame, at: str, delay: str, step: Step, schema: str, key:
     A row waits in the key's state until the watermark (delay behind the latest time of all keys) has passed it, so rows
     that come late by less than the delay take their place, and later ones are dropped. A timer at the oldest waiting row
     calls on keys that get no new rows. step gets the key, its rows in order and what it returned to remember (a string).
+    The rows that wait are in the memory of one task; batches_in_order() keeps them in files, for batches of any size.
     """
     whole = rows.withWatermark(at, delay)
     names = [f.name for f in rows.schema if f.name != at]
@@ -196,6 +203,120 @@ def in_order(rows: DataFrame, at: str, delay: str, step: Step, schema: str, key:
     return whole.groupBy(key).applyInPandasWithState(run, schema, "waiting string, memory string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Column of the rows that keep what a key's step remembers, among the rows that a batch gives.
+MEMORY = "_memory"
+
+
+def batches_in_order(rows: DataFrame, path: str, step: Step, schema: str, at: str, delay: str | None = None, tie: Sequence[str] = (), key: str = "symbol") -> DataStreamWriter:
+    """Write what step gives for each key's rows in the order of their times, then tie, for batches of any size; read it with ordered_rows().
+
+    Spark sorts a batch and a task goes through a key's rows some thousands at a time, so step gets a key's rows in pieces, one
+    after another, and no task holds a key. Without a delay the rows of a batch are all passed; with one (at is a timestamp)
+    a row waits until the latest time of all keys is that much later, and a row that comes later than that is dropped.
+    Rows that wait lie in two folders in turn, and what step remembers lies with the rows of each batch: a batch reads
+    those of the one before, so a repeated batch finds what it started from.
+    """
+    layout = StructType([*StructType.fromDDL(schema).fields, StructField(MEMORY, StringType())])
+    names = layout.names
+    wait = None if delay is None else pd.Timedelta(delay).value // 1000
+
+    def remembered(found: tuple, memory: str) -> pd.DataFrame:
+        return pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(**{key: found[0], MEMORY: memory})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, memory = None, None
+        for frame in frames:
+            codes, _ = pd.factorize(frame[key])
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(frame)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = frame.iloc[a:b]
+                found = (None if codes[a] < 0 else piece[key].iloc[0],)
+                if now is not None and found != now:
+                    yield remembered(now, memory)
+                if found != now:
+                    now, memory = found, None
+                kept = piece[MEMORY].notna()
+                if kept.any():
+                    memory = piece.loc[kept, MEMORY].iloc[0]
+                    piece = piece[~kept]
+                if len(piece):
+                    out, memory = step(now, piece.drop(columns=MEMORY), memory)
+                    yield out.assign(**{MEMORY: None})[names]
+        if now is not None:
+            yield remembered(now, memory)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = lambda name: f"{path}/{name}/{(number - 1) % 2}"
+        ready = batch
+        if wait is not None:
+            micros = F.unix_micros(at)
+            before = spark.read.schema("mark long").parquet(old("mark")).first()[0] if number else None
+            top = F.floor(F.max(micros) / 1000) * 1000 - wait
+            mark = batch.agg(F.greatest(top, F.lit(before).cast("long")).cast("long").alias("mark")).first()[0]
+            every = batch if before is None else batch.where(micros > before)
+            if number:
+                every = every.unionByName(spark.read.schema(batch.schema).parquet(old("waiting")))
+            ready = every.where(micros <= F.lit(mark).cast("long"))
+            every.where(micros > F.lit(mark).cast("long")).write.mode("overwrite").parquet(f"{path}/waiting/{number % 2}")
+            spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(f"{path}/mark/{number % 2}")
+        ready = ready.withColumn(MEMORY, F.lit(None).cast("string"))
+        if number:
+            last = spark.read.schema(layout).parquet(f"{path}/rows/batch={number - 1}").where(F.col(MEMORY).isNotNull())
+            ready = ready.unionByName(last.select(key, MEMORY), allowMissingColumns=True)
+        # What a key remembers comes before its rows.
+        ordered = ready.repartition(key).sortWithinPartitions(key, F.col(MEMORY).isNull(), F.asc_nulls_last(at), *tie)
+        ordered.mapInPandas(run, layout).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return rows.writeStream.foreachBatch(apply)
+
+
+def ordered_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that the batches of batches_in_order() have given so far."""
+    layout = StructType([*StructType.fromDDL(schema).fields, StructField(MEMORY, StringType())])
+    return spark.read.schema(layout).parquet(f"{path}/rows").where(F.col(MEMORY).isNull()).drop(MEMORY, "batch")
+
+
+def gate_schema(at: str) -> str:
+    return f"symbol string, {at} {'double' if at == 'minute' else 'timestamp'}, close double, classify boolean"
+
+
+def gate_batches(bars: DataFrame, path: str, minutes: float, delta: float, at: str = "minute", delay: str | None = None, tie: Sequence[str] = ()) -> DataStreamWriter:
+    """gate_classification() (at is minute) or gate_in_order() (a timestamp, with a delay), as batches_in_order() of gate_schema()."""
+
+    def step(key: tuple, frame: pd.DataFrame, memory: str | None) -> tuple[pd.DataFrame, str]:
+        rows = pd.DataFrame({"minute": frame["_minute"].to_numpy(), "close": frame["close"].to_numpy()})
+        go, last = gate(rows, tuple(json.loads(memory)) if memory else None, minutes, delta)
+        return frame.assign(symbol=key[0], classify=go)[["symbol", at, "close", "classify"]], json.dumps(last)
+
+    time = F.col(at) if at == "minute" else F.col(at).cast("timestamp")
+    minute = time if at == "minute" else F.unix_micros(time) / 6e7
+    rows = bars.select("symbol", time.alias(at), minute.alias("_minute"), F.col("close").cast("double").alias("close"), *tie)
+    return batches_in_order(rows, path, step, gate_schema(at), at, delay, tie)
+
+
+def advice_schema(at: str) -> str:
+    return f"symbol string, {at} {'double' if at == 'minute' else 'timestamp'}, lo double, lc double, so double, sc double"
+
+
+def advice_batches(
+    features: DataFrame, path: str, buygain: float, sellgain: float, openthreshold: float, at: str = "minute", delay: str | None = None, tie: Sequence[str] = ()
+) -> DataStreamWriter:
+    """stream_advice() (at is minute) or limits_in_order() (a timestamp, with a delay), as batches_in_order() of advice_schema()."""
+
+    def step(key: tuple, frame: pd.DataFrame, memory: str | None) -> tuple[pd.DataFrame, str]:
+        now, out = json.loads(memory) if memory else dict(NO_LIMITS), []
+        for label, score, close in zip(frame["label"], frame["score"], frame["close"], strict=True):
+            now = advised(now, label, score, close, buygain, sellgain, openthreshold)
+            out.append((now["lo"], now["lc"], now["so"], now["sc"]))
+        found = pd.DataFrame(out, columns=["lo", "lc", "so", "sc"], index=frame.index)
+        return found.assign(symbol=key[0], **{at: frame[at]}), json.dumps(now)
+
+    time = F.col(at) if at == "minute" else F.col(at).cast("timestamp")
+    rows = features.select("symbol", time.alias(at), "label", F.col("score").cast("double").alias("score"), F.col("close").cast("double").alias("close"), *tie)
+    return batches_in_order(rows, path, step, advice_schema(at), at, delay, tie)
+
+
 def gate_in_order(bars: DataFrame, minutes: float, delta: float, delay: str, at: str = "opentime") -> DataFrame:
     """gate_classification() by time: symbol, opentime, close and classify, as a pass over all bars in order gives them."""
 
