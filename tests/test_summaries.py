@@ -138,6 +138,29 @@ def test_limits_in_order_equal_one_pass(spark, tmp_path):
     assert got == {k: v for k, v in want.items() if k[1] <= until}
 
 
+@pytest.mark.parametrize("delay", [None, "10 minutes"])
+def test_limits_of_batches_equal_one_pass(spark, tmp_path, delay):
+    """In pieces of seven rows; rows of equal time go by their id."""
+    r = random.Random(19)
+    rows = [("AB"[i % 2], START + dt.timedelta(minutes=i - i % 4), r.choice(["longopen", "shortopen", "allclose"]), r.random(), 100.0 + i, i) for i in range(80)]
+    df = spark.createDataFrame([(*x, i // 20) for i, x in enumerate(rows)], "symbol string, opentime timestamp, label string, score double, close double, event_id int, part int")
+    df = df.withColumn("minute", F.unix_micros("opentime") / 6e7).orderBy(F.desc("event_id"))
+    at = "minute" if delay is None else "opentime"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        run(L.advice_batches(stream(spark, df, tmp_path, 4), f"{tmp_path}/out", 0.01, 0.05, 0.4, at, delay, ["event_id"]), tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, until = [], rows[-1][1] - dt.timedelta(minutes=10)
+    for s in "AB":
+        now = dict(L.NO_LIMITS)
+        for x in (x for x in rows if x[0] == s):
+            now = L.advised(now, *x[2:5], 0.01, 0.05, 0.4)
+            if delay is None or x[1] <= until:
+                want.append((s, x[1].timestamp() / 60 if delay is None else x[1], *(now[k] for k in ("lo", "lc", "so", "sc"))))
+    assert sorted(map(tuple, L.ordered_rows(spark, f"{tmp_path}/out", L.advice_schema(at)).collect())) == sorted(want)
+
+
 def test_walks_are_the_same_for_all(spark):
     frame, df = walk(spark)
     assert len(frame) == df.count()

@@ -384,9 +384,9 @@ def _(spark, d):
 def _(spark, d):
     label = F.when(F.col("event_id") % 7 == 0, "longopen").when(F.col("event_id") % 7 == 3, "shortopen").otherwise("allclose")
     rows = _events(spark, d).where("value is not null").select(
-        F.col("event_type").alias("symbol"), _minute().alias("minute"), label.alias("label"), F.lit(0.9).alias("score"), F.col("value").alias("close")
+        F.col("event_type").alias("symbol"), _minute().alias("minute"), label.alias("label"), F.lit(0.9).alias("score"), F.col("value").alias("close"), "event_id"
     )
-    return _drained(spark, L.stream_advice(rows, 0.01, 0.05, 0.5), "append")
+    return _ordered(spark, lambda path: L.advice_batches(rows, path, 0.01, 0.05, 0.5, tie=["event_id"]), L.advice_schema("minute"))
 
 
 @query("l6_feed_heartbeats", "SELECT event_type AS symbol, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY ALL")
