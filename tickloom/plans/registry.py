@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.features import rolling_regression
@@ -21,9 +21,15 @@ DIGITS = 6
 TIE = 1e-4
 
 
+def whole(x: Column) -> Column:
+    """The nearest whole number, of two the one away from zero as in DuckDB (rint takes the even one)."""
+    near = F.rint(x)
+    return near + F.when((x > 0) & (x - near == 0.5), 1.0).when((x < 0) & (x - near == -0.5), -1.0).otherwise(0.0)
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to DIGITS digits, without negative zeros."""
-    digits = lambda c: F.rint(F.col(f"`{c}`") * 10.0**DIGITS + TIE) / 10.0**DIGITS + F.lit(0.0)
+    """Doubles to DIGITS digits, without negative zeros. From 2**40 on, TIE is too small to move a number off the middle."""
+    digits = lambda c: whole(F.col(f"`{c}`") * 10.0**DIGITS + TIE) / 10.0**DIGITS + F.lit(0.0)
     return df.select(*[digits(c).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
 
 

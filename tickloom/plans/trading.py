@@ -349,8 +349,8 @@ GATE = "e.minute - w.m >= 60 OR abs(e.close - w.c) / greatest(abs(w.c), 1e-6) >=
     "minute close",
 )
 def _(spark, d):
-    rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), _minute().alias("minute"), F.col("value").alias("close"))
-    return _drained(spark, L.gate_classification(rows, 60.0, 0.5), "append")
+    rows = _events(spark, d).where("value is not null").select(F.col("event_type").alias("symbol"), _minute().alias("minute"), F.col("value").alias("close"), "event_id")
+    return _ordered(spark, lambda path: L.gate_batches(rows, path, 60.0, 0.5, tie=["event_id"]), L.gate_schema("minute"))
 
 
 def _minute():
