@@ -259,7 +259,7 @@ def batches_in_order(rows: DataFrame, path: str, step: Step, schema: str, at: st
                 every = every.unionByName(spark.read.schema(batch.schema).parquet(old("waiting")))
             ready = every.where(micros <= F.lit(mark).cast("long"))
             every.where(micros > F.lit(mark).cast("long")).write.mode("overwrite").parquet(f"{path}/waiting/{number % 2}")
-            spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(f"{path}/mark/{number % 2}")
+            spark.range(0, 1, 1, 1).select(F.lit(mark).cast("long").alias("mark")).write.mode("overwrite").parquet(f"{path}/mark/{number % 2}")
         ready = ready.withColumn(MEMORY, F.lit(None).cast("string"))
         if number:
             last = spark.read.schema(layout).parquet(f"{path}/rows/batch={number - 1}").where(F.col(MEMORY).isNotNull())
